@@ -1,3 +1,10 @@
 """Evidenza: a PySpark-native evidence retrieval and memory analytics engine."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions go to the executors by value, so the package needs to be installed on the driver only
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
