@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidenza.llm import conversations, cooccurrence, near_records, packing, survivors, tokens, vectors
+from evidenza.llm import conversations, cooccurrence, near_records, packing, personal, survivors, tokens, truncation, vectors
 from evidenza.runtime import table
 
 
@@ -56,6 +56,21 @@ def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuilt(table(spark, sf_dir, "messages"), table(spark, sf_dir, "sessions"))
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = personal.texts(table(spark, sf_dir, "turns"), "turns", "id", ["user_text", "assistant_text"])
+    return turns.unionByName(personal.texts(table(spark, sf_dir, "memories"), "memories", "id", ["content"]))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal(_personal_texts(spark, sf_dir), table(spark, sf_dir, "known_names"))
+    return found.select("src", "row_id", "field", "kind", "item").distinct()
+
+
+def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _personal_texts(spark, sf_dir)
+    return personal.replaced(rows, personal.personal(rows, table(spark, sf_dir, "known_names")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -65,4 +80,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(counts, "doc_id", "n")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p5_conversations, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = truncation.endings(table(spark, sf_dir, "documents"))
+    return judged.where("truncated").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_source(truncation.endings(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p5_conversations, p6_found, p6_replaced, p7_ids, p8_containers, p9_found, p9_by_source)}
