@@ -13,9 +13,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next(iter(queries().values()))(spark, sf_dir)
 
 
+def _parts() -> tuple:
+    from evidenza.plans import retrieval
+
+    return (retrieval,)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for p in _parts() for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in _parts() for k, v in p.ORACLE.items()}
