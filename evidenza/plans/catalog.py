@@ -14,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts() -> tuple:
-    from evidenza.plans import retrieval
+    from evidenza.plans import evidence, retrieval
 
-    return (retrieval,)
+    return (retrieval, evidence)
 
 
 def queries() -> dict[str, Query]:
