@@ -14,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts() -> tuple:
-    from evidenza.plans import evidence, retrieval
+    from evidenza.plans import archive, evidence, retrieval
 
-    return (retrieval, evidence)
+    return (retrieval, evidence, archive)
 
 
 def queries() -> dict[str, Query]:

@@ -63,5 +63,5 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("memory_id"), F.concat(F.lit("agent-"), (F.col("user_id") % 8).cast("string")).alias("agent"), F.col("user_id"),
         kind.alias("signal_type"), F.when(kind == "error", -1).otherwise(1).alias("direction"), F.when(kind == "purchase", 1.0).when(kind == "click", 0.5).when(kind == "signup", 0.8).when(kind == "error", 1.0).otherwise(0.2).alias("weight"),
-        kind.isin("purchase", "error").alias("explicit"), F.col("ts").alias("created_at"),
+        kind.isin("purchase", "error").alias("explicit"), F.col("ts").cast("timestamp").alias("created_at"),
     )
