@@ -29,7 +29,7 @@ NAME = "byte_bpe_50k"
 LEXICON = 32_768
 #: Texts with a longer run of signs without blanks, or of blanks, are folded with a heap, in Python: the expression takes quadratic time.
 LONG = 64
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 14
 # The pattern of the tokenizer in the syntax of Java, where \s and \S are spelled out, as Java's know ASCII only.
 _S = r"\t\n\x0B\f\r\x{85}\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -61,22 +61,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value named once, so a large literal stands in the plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(word: Column, rank: Column) -> Column:
     """Token ids of one word: its bytes as pieces (a character a byte), merged by rank until no adjacent pair has one."""
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     pieces = F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.substring(latin, i, F.lit(1)))
-    start = F.struct(pieces.alias("p"), F.lit(False).alias("done"))
+    state = lambda p, done: F.struct(p.alias("p"), F.lit(done).alias("done"))
 
-    def merge(state: Column, _: Column) -> Column:
-        p = state["p"]
+    def merge(state_: Column, _: Column) -> Column:
+        p = state_["p"]
         found = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: _find(rank, F.concat(x, F.get(p, i + 1)), _BUCKETS))
-        pick = F.struct(F.array_min(found).alias("r"), found.alias("f"))
-        step = F.element_at(F.transform(F.array(pick), lambda s: F.when(s["r"].isNull(), F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(
-            F.element_at(F.transform(F.array(F.array_position(s["f"], s["r"]).cast("int")), lambda at: F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.greatest(F.size(p) - at - 1, F.lit(0)))).alias("p"), F.lit(False).alias("done"))), 1))), 1)
-        return F.when(state["done"] | (F.size(p) < 2), F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(step)
+        joined = lambda at: F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.greatest(F.size(p) - at - 1, F.lit(0))))
+        step = _let(found, lambda f: _let(F.array_min(f), lambda r: F.when(r.isNull(), state(p, True)).otherwise(_let(F.array_position(f, r).cast("int"), lambda at: state(joined(at), False)))))
+        return F.when(state_["done"] | (F.size(p) < 2), state(p, True)).otherwise(step)
 
-    merged = F.aggregate(F.sequence(F.lit(1), F.length(latin)), start, merge, lambda s: s["p"])
+    merged = F.aggregate(F.sequence(F.lit(1), F.length(latin)), state(pieces, False), merge, lambda s: s["p"])
     return F.transform(merged, lambda x: _find(rank, x, _BUCKETS))
 
 
@@ -111,7 +114,7 @@ def lexicon(texts: DataFrame, text: str, limit: int = LEXICON, folder: str = TOK
     each = texts.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     top = each.where(F.length("w") <= LONG).orderBy(F.desc("n"), "w").limit(limit)
     spread = top.repartition(max(1, texts.sparkSession.sparkContext.defaultParallelism))
-    return [(r["w"], r["ids"]) for r in spread.select("w", fold(F.col("w"), _rank_literal(folder, name)).alias("ids")).collect()]
+    return [(r["w"], r["ids"]) for r in spread.select("w", _let(_rank_literal(folder, name), lambda rank: fold(F.col("w"), rank)).alias("ids")).collect()]
 
 
 def encoded(df: DataFrame, key: str, text: str, limit: int = LEXICON, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -120,12 +123,15 @@ def encoded(df: DataFrame, key: str, text: str, limit: int = LEXICON, folder: st
     Rows are encoded one by one, so repeats and null keys stay. Other columns are ignored; an empty table gives an
     empty result.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483"):  # the default, no bound; the driver keeps printed plans, and these hold the literals
+        spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     run = rf"[^{_S}]{{{LONG},}}|[{_S}]{{{LONG},}}"
     short, long = rows.where(~F.col("text").rlike(run)), rows.where(F.col("text").rlike(run))
     known = _literal(lexicon(short, "text", limit, folder, name), "array<int>", _BUCKETS)
-    rank = _rank_literal(folder, name)
-    ids = F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(known, w, _BUCKETS), fold(w, rank))))
+    both = F.struct(known.alias("known"), _rank_literal(folder, name).alias("rank"))
+    ids = _let(both, lambda d: F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(d["known"], w, _BUCKETS), fold(w, d["rank"])))))
 
     @F.pandas_udf("array<int>")
     def heaped(lists: pd.Series) -> pd.Series:
