@@ -32,6 +32,7 @@ LONG = 64
 _BUCKETS = 1 << 14
 # The pattern of the tokenizer in the syntax of Java, where \s and \S are spelled out, as Java's know ASCII only.
 _S = r"\t\n\x0B\f\r\x{85}\p{Z}"
+_BLANKS = "\t\n\x0b\x0c\r\x85 \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
@@ -83,6 +84,15 @@ def fold(word: Column, rank: Column) -> Column:
     return F.transform(merged, lambda x: _find(rank, x, _BUCKETS))
 
 
+def _runs(text: Column) -> Column:
+    """Whether a text may have a word of ``LONG`` signs or blanks: said of too many rather than of too few, as it only picks the way.
+
+    Pieces between blanks bound the words without blanks; many blank pieces may be one long run of mixed blanks.
+    """
+    pieces = F.split(text, " ")
+    return F.contains(text, F.lit(" " * LONG)) | _let(pieces, lambda p: F.exists(p, lambda w: F.length(w) >= LONG) | (F.size(F.filter(p, lambda w: F.btrim(w, F.lit(_BLANKS)) == "")) >= LONG // 2))
+
+
 def _rank_literal(folder: str, name: str) -> Column:
     return _literal([(k.decode("latin-1"), v) for k, v in ranks(folder, name).items()], "int", _BUCKETS)
 
@@ -127,9 +137,8 @@ def encoded(df: DataFrame, key: str, text: str, limit: int = LEXICON, folder: st
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483"):  # the default, no bound; the driver keeps printed plans, and these hold the literals
         spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    run = rf"[^{_S}]{{{LONG},}}|[{_S}]{{{LONG},}}"
-    short, long = rows.where(~F.col("text").rlike(run)), rows.where(F.col("text").rlike(run))
-    known = _literal(lexicon(short, "text", limit, folder, name), "array<int>", _BUCKETS)
+    short, long = rows.where(~_runs(F.col("text"))), rows.where(_runs(F.col("text")))
+    known = _literal(lexicon(rows, "text", limit, folder, name), "array<int>", _BUCKETS)
     both = F.struct(known.alias("known"), _rank_literal(folder, name).alias("rank"))
     ids = _let(both, lambda d: F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(d["known"], w, _BUCKETS), fold(w, d["rank"])))))
 
