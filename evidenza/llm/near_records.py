@@ -30,8 +30,13 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, size: int) -> Column:
     """Sorted distinct hashes of the runs of ``size`` adjacent words; fewer words give none."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, size), " ")))))
+
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) >= size, F.sequence(F.lit(1), F.size(t) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(t, i, size), " ")))))
+
+    # named once, else the words would be found anew for each run
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
