@@ -40,9 +40,9 @@ def terms(c: Column, most: int = 12, stop: list[str] = STOPWORDS) -> Column:
 
 def phrases(c: Column, most: int = 8) -> Column:
     """Runs of three, two and one words, longest first, distinct."""
-    t = tokens(c)
-    runs = lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.array_distinct(F.concat(runs(3), runs(2), runs(1))), 1, most)
+    runs = lambda t, n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # the tokens are named once, else they would be found anew for each run
+    return F.element_at(F.transform(F.array(tokens(c)), lambda t: F.slice(F.array_distinct(F.concat(runs(t, 3), runs(t, 2), runs(t, 1))), 1, most)), 1)
 
 
 def token_estimate(c: Column, per: int = 3) -> Column:
@@ -141,7 +141,7 @@ def claim_parts(subject: Column, c: Column) -> Column:
 
 
 def contradicts(a: Column, b: Column) -> Column:
-    """Two token arrays that share all but one word of the smaller and differ in the number of negations, or hold the two sides of an antonym in otherwise like words."""
+    """Two token arrays with words in common that share all but one word of the smaller and differ in the number of negations, or hold the two sides of an antonym in otherwise like words."""
     shared, small = F.size(F.array_intersect(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
     count = lambda t: F.size(F.filter(t, lambda w: w.isin(*NEGATIONS)))
     flip = ((count(a) % 2) != (count(b) % 2)) & (shared >= small - 1)
@@ -149,7 +149,7 @@ def contradicts(a: Column, b: Column) -> Column:
     anti = F.lit(False)
     for x, y in ANTONYMS:
         anti = anti | (has(a, x) & ~has(a, y) & has(b, y) & ~has(b, x)) | (has(a, y) & ~has(a, x) & has(b, x) & ~has(b, y))
-    return flip | (anti & (shared >= F.greatest(F.lit(1), small - 2)))
+    return (shared >= 1) & (flip | (anti & (shared >= F.greatest(F.lit(1), small - 2))))
 
 
 def excerpt(c: Column, term: Column, around: int = 40) -> Column:
