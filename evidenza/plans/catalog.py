@@ -14,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts() -> tuple:
-    from evidenza.plans import archive, evidence, retrieval
+    from evidenza.plans import archive, evidence, retrieval, streams
 
-    return (retrieval, evidence, archive)
+    return (retrieval, evidence, archive, streams)
 
 
 def queries() -> dict[str, Query]:
