@@ -24,6 +24,8 @@ ROUNDS = 3
 SUPPORT, SHARE = 3, 0.5
 #: Most patterns that are kept, the best supported ones.
 PATTERNS = 5_000
+#: Most common words that a task of the last pass holds.
+SKIPPED = 20_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # Signs spelled out in email addresses, kinds of streets, and titles, which are no part of a name.
@@ -33,6 +35,7 @@ _STREETS = "road street avenue lane row close way drive crescent terrace hill co
 _GERMAN = "straße strasse weg gasse platz allee ufer ring damm steig pfad"
 _ROMANCE = "rue calle avenue boulevard chemin place impasse avenida plaza paseo camino via viale piazza quai allée"
 _TITLES = "mr mrs ms miss dr prof sir madam herr frau hr mme mlle sr sra project projekt projet"
+_NO_NAMES = frozenset(_TITLES.split())
 
 
 def _rx(words: str) -> str:
@@ -53,6 +56,7 @@ _ADDRESS = re.compile(
     re.I,
 )
 _PERSON = re.compile(rf"(?<![\w@.+-])(?=(?P<a>{_NAMEWORD}|{_L}\.)(?P<c>, | )(?:(?P<m>{_L}\.) )?(?P<b>{_NAMEWORD}|{_L}\.)(?![\w@+]))", re.I)
+_START = re.compile(rf"(?<![\w@.+-])(?:{_NAMEWORD}|{_L}\.)", re.I)
 _CANDIDATES = "src string, row_id string, field string, at int, till int, kind string, item string, inst string, first string, last string, cased boolean, sure int, pats array<string>"
 
 
@@ -104,17 +108,21 @@ def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
         yield a, b, "id_number", s, re.sub(r"\W", "", s.lower()), sure
 
 
-def _people(text: str, taken: list[tuple[int, int]], cased_only: bool) -> Iterator[tuple]:
-    for m in _PERSON.finditer(text):
-        a, comma, mid, b = m.group("a"), m.group("c") == ", ", m.group("m"), m.group("b")
-        if len(a) == 2 and len(b) == 2 or comma and mid and len(b) > 2 or len(b) == 2 and not comma:
+def _people(text: str, taken: list[tuple[int, int]], cased_only: bool, skip: frozenset[str]) -> Iterator[tuple]:
+    for word in _START.finditer(text):
+        w = word.group()
+        if cased_only and not w[0].isupper() or w.lower() in skip:
+            continue
+        m = _PERSON.match(text, word.start())
+        if m is None:
             continue
-        if comma and len(a) == 2:
+        a, comma, mid, b = m.group("a"), m.group("c") == ", ", m.group("m"), m.group("b")
+        if b.lower() in skip or len(a) == 2 and len(b) == 2 or comma and mid and len(b) > 2 or len(b) == 2 and not comma or comma and len(a) == 2:
             continue
-        if a.lower().rstrip(".") in _TITLES.split() or b.lower() in _TITLES.split():
+        if a.lower().rstrip(".") in _NO_NAMES or b.lower() in _NO_NAMES:
             continue
         given, family = (b, a) if comma else (a, b)
-        shape = all(len(w) == 2 or w[0].isupper() for w in (a, b))
+        shape = all(len(x) == 2 or x[0].isupper() for x in (a, b))
         if cased_only and not shape:
             continue
         at, till = m.start("a"), m.end("b")
@@ -125,7 +133,7 @@ def _people(text: str, taken: list[tuple[int, int]], cased_only: bool) -> Iterat
         yield at, till, "name", text[at:till], f"{given} {family}".lower(), given.lower(), family.lower(), shape
 
 
-def _found(cased_only: bool, kinds: tuple[str, ...]):
+def _found(cased_only: bool, kinds: tuple[str, ...], skip: frozenset[str] = frozenset()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CANDIDATES.split(", ")]
         for batch in batches:
@@ -142,8 +150,9 @@ def _found(cased_only: bool, kinds: tuple[str, ...]):
                     for a, b, kind, item, inst, sure in _numbers(text, mails + places):
                         rows.append((src, row_id, field, a, b, kind, item, inst, None, None, True, sure, _around(text, a, b)))
                 if "name" in kinds:
-                    for a, b, kind, item, inst, first, last, shape in _people(text, mails + places, cased_only):
-                        rows.append((src, row_id, field, a, b, kind, item, inst, first, last, shape, 0, _around(text, a, b)))
+                    for a, b, kind, item, inst, first, last, shape in _people(text, mails + places, cased_only, skip):
+                        pats = _around(text, a, b) if cased_only else [text[max(0, a - 61) : a], text[b : b + 41]]
+                        rows.append((src, row_id, field, a, b, kind, item, inst, first, last, shape, 0, pats))
             if rows:
                 schema = pa.schema([("src", pa.string()), ("row_id", pa.string()), ("field", pa.string()), ("at", pa.int32()), ("till", pa.int32()), ("kind", pa.string()), ("item", pa.string()), ("inst", pa.string()), ("first", pa.string()), ("last", pa.string()), ("cased", pa.bool_()), ("sure", pa.int32()), ("pats", pa.list_(pa.string()))])
                 yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows))], schema=schema)
@@ -151,6 +160,13 @@ def _found(cased_only: bool, kinds: tuple[str, ...]):
     return run
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns the text before and after a place, kept in ``pats``, into its pieces of context."""
+    for batch in batches:
+        pats = [_around(a + b, len(a), len(a)) for a, b in batch.column("pats").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("pats"), "pats", pa.array(pats, pa.list_(pa.string())))
+
+
 def _worth(cands: DataFrame, accepted: DataFrame, support: int, share: float) -> DataFrame:
     """(kind, pat, worth): patterns by the share of their distinct instances that are accepted."""
     each = cands.select("kind", "inst", F.explode("pats").alias("pat")).distinct()
@@ -213,20 +229,24 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     # at those that the texts mostly write in small letters
     word = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+"), F.lit(0))).alias("w")).where(F.length("w") > 1)
     word = word.groupBy("w").agg(F.count("*").alias("n")).groupBy(F.lower("w").alias("word")).agg(F.sum(F.when(F.lower("w") == F.col("w"), F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("n"))
-    common = broadcast_if_small(cut(word.where((F.col("low") >= 3) & (2 * F.col("low") > F.col("n"))).select("word")))
+    frequent = cut(word.where((F.col("low") >= 3) & (2 * F.col("low") > F.col("n"))).select("word", "n"))
+    common = broadcast_if_small(frequent.select("word"))
     pairs = learn.where((F.col("kind") == "name") & (F.length("first") > 2)).join(accepted, ["kind", "inst"], "left_semi").select("first", "last").distinct()
     part = lambda c, k: listed.where(F.col("name_kind") == k).select(F.col("word").alias(c)).unionByName(pairs.groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") >= 2).select(c).join(common.withColumnRenamed("word", c), c, "left_anti")).distinct()
     firsts, lasts = cut(part("first", "given")), cut(part("last", "family"))
     firsts, lasts = broadcast_if_small(firsts.withColumn("g", F.lit(1))), broadcast_if_small(lasts.withColumn("f", F.lit(1)))
-    people = rows.mapInArrow(_found(False, ("name",)), _CANDIDATES)
+    # the commonest of them, so many at most, are passed over at once; the join drops the rest
+    skip = frozenset(r["word"] for r in frequent.orderBy(F.desc("n"), "word").limit(SKIPPED).collect())
+    people = rows.mapInArrow(_found(False, ("name",), skip), _CANDIDATES)
     people = people.join(common.withColumnRenamed("word", "first"), "first", "left_anti").join(common.withColumnRenamed("word", "last"), "last", "left_anti")
-    people = people.join(firsts, "first", "left").join(lasts, "last", "left")
-    left = good.where((F.col("kind") == "name") & (F.col("worth") >= 0.5)).select(F.col("pat"), "worth")
-    one = people.where((F.col("g") == 1) & (F.col("f") == 1) | (F.length("first") == 2) & (F.col("f") == 1))
-    rest = people.where(~((F.coalesce("g", F.lit(0)) == 1) & (F.coalesce("f", F.lit(0)) == 1)) & ~((F.length("first") == 2) & (F.coalesce("f", F.lit(0)) == 1)) & ((F.col("g") == 1) | (F.col("f") == 1) | F.col("cased")))
-    part_known = (F.coalesce("g", F.lit(0)) + F.coalesce("f", F.lit(0))).alias("k")
+    people = people.join(firsts, "first", "left").join(lasts, "last", "left").withColumns({"g": F.coalesce("g", F.lit(0)), "f": F.coalesce("f", F.lit(0))})
+    whole = ((F.col("g") == 1) | (F.length("first") == 2)) & (F.col("f") == 1)
     cols = ["src", "row_id", "field", "at", "till", "kind", "item"]
-    hit = rest.select(*cols, part_known, F.explode("pats").alias("pat")).join(F.broadcast(left), "pat").groupBy(*cols).agg(F.max("k").alias("k"), F.max("worth").alias("worth"), F.count("*").alias("c"))
+    people = people.where((F.col("g") == 1) | (F.col("f") == 1) | F.col("cased")).select(*cols, whole.alias("whole"), (F.col("g") + F.col("f")).alias("k"), "pats")
+    people = cut(people.mapInArrow(_contexts, people.schema))
+    left = good.where((F.col("kind") == "name") & (F.col("worth") >= 0.5)).select(F.col("pat"), "worth")
+    one, rest = people.where("whole"), people.where("NOT whole")
+    hit = rest.select(*cols, "k", F.explode("pats").alias("pat")).join(F.broadcast(left), "pat").groupBy(*cols).agg(F.max("k").alias("k"), F.max("worth").alias("worth"), F.count("*").alias("c"))
     hit = hit.where((F.col("k") >= 1) | (F.col("worth") >= 0.9) | ((F.col("worth") >= 0.6) & (F.col("c") >= 2)))
     names = one.select(*cols).unionByName(hit.select(*cols))
 
