@@ -23,9 +23,9 @@ from evidenza.runtime import broadcast_if_small, cut
 AROUND, RATE, LEAST = 40, 0.01, 4
 #: How often texts with an open ending are complete, by sort of ending, before their words are looked at; how likely a
 #: complete ending must be; how often a word must be seen elsewhere than as a text's last to be known, or the share of open
-#: endings that it must make up.
+#: endings that it must make up, and the least number of them.
 COMPLETE = {"l": 0.8, "p": 0.7, "e": 0.5}
-CLOSE, KNOWN, USUAL = 0.5, 3, 0.01
+CLOSE, KNOWN, USUAL, USUAL_LEAST = 0.5, 3, 0.01, 20
 _HELD = 1_500_000
 
 _LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)]|#{1,6}|>)\s")
@@ -236,7 +236,7 @@ def _decided(ends: DataFrame, open_: DataFrame, counts: DataFrame) -> DataFrame:
     complete = F.create_map(*[F.lit(x) for kv in COMPLETE.items() for x in kv])[F.col("sort")]
     both = odds(F.col("p1")) * odds(F.col("p2")) / odds(F.col("p0")) / odds(F.col("p0")) * odds(complete)
     opened = ends.agg(F.count_if(F.col("kind") != "closed").alias("n")).first()["n"]
-    unknown = (zero(F.col("last_all")) - zero(F.col("last_f_total")) < KNOWN) & (zero(F.col("last_f_total")) < USUAL * opened)
+    unknown = (zero(F.col("last_all")) - zero(F.col("last_f_total")) < KNOWN) & (zero(F.col("last_f_total")) < max(USUAL_LEAST, USUAL * opened))
     q = q.select("key", F.when(unknown, 0.0).otherwise(both / (1 + both)).alias("p_close"))
 
     tails = ends.where(F.col("kind") == "link").groupBy("tail").agg(F.count("*").alias("n"))

@@ -35,9 +35,13 @@ def near_truth(rows, k, least):
             by[m][i] = np.array(e, np.float32).astype(float)
     out = set()
     for m, vs in by.items():
-        for a, x in vs.items():
-            near = sorted((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 12), b) for b, y in vs.items() if b != a)
-            out |= {(m, a, b) for s, b in near[:k] if -s >= least}
+        ids = sorted(vs)
+        x = np.stack([vs[i] for i in ids])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        sims = x @ x.T
+        np.fill_diagonal(sims, -2)
+        for a, row in zip(ids, sims):
+            out |= {(m, a, ids[j]) for j in np.argsort(-row, kind="stable")[:k] if row[j] >= least}
     return out
 
 
@@ -307,7 +311,8 @@ def cut_documents():
                 text = text[:-1] + "x"
             cut.add(i)
         elif i % 50 == 1:
-            text = text[: len(text) // 2].rstrip(". ") + " The croo"
+            at = next(k for k in range(len(text) // 2, len(text)) if text[k - 2 : k + 1].isalpha())  # inside a word
+            text = text[:at]
             cut.add(i)
         elif i % 50 == 2:
             text += "\n- " + sentence() + "\n- " + sentence()
