@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import text
+from evidenza.runtime import cut
 
 
 def _kept_links(memories: DataFrame, links: DataFrame, most: int) -> DataFrame:
@@ -15,15 +16,31 @@ def _kept_links(memories: DataFrame, links: DataFrame, most: int) -> DataFrame:
 
 
 def contradictions(memories: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): memories of one agent, linked to the same entities, whose statements contradict one another.
+    """(a, b): memories of one agent that share any entity and whose statements contradict one another.
 
-    Candidates share their two smallest entities, a key far rarer than one entity, so a hot entity makes no hot group.
+    Candidates meet by words, not by entities, so a hot entity makes no hot group, and exactly: a contradiction misses at
+    most one word of the smaller statement (negations), or one beside its own side of the antonym, so one of its two,
+    or of its three rarest words is in the other. Only statements that differ in negations or hold the two sides of
+    an antonym meet at all, equal statements of an agent count once, and the entities are compared at the end.
     """
-    kept = _kept_links(memories, links, 2).groupBy("memory_id").agg(F.min("entity_id").alias("e1"), F.max("entity_id").alias("e2"))
-    rows = memories.join(kept, F.col("id") == F.col("memory_id")).select("id", "agent", "e1", "e2", text.tokens(F.col("content")).alias("t"))
-    x, y = rows.alias("x"), rows.alias("y")
-    same = (F.col("x.agent") == F.col("y.agent")) & (F.col("x.e1") == F.col("y.e1")) & (F.col("x.e2") == F.col("y.e2")) & (F.col("x.id") < F.col("y.id"))
-    return x.join(y, same).where(text.contradicts(F.col("x.t"), F.col("y.t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    linked = memories.join(links.select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "agent", text.tokens(F.col("content")).alias("t")).where((F.size("t") > 0) & F.col("agent").isNotNull())
+    said = cut(linked.groupBy("agent", "t").agg(F.min("id").alias("s")))
+    # a way to contradict is named own/other, and meets other/own; # is no sign of a word
+    negated = F.size(F.filter("t", lambda w: w.isin(*text.NEGATIONS))) % 2 == 1
+    holds = lambda x, y: F.when(F.array_contains("t", x) & ~F.array_contains("t", y), f"{x}/{y}").when(F.array_contains("t", y) & ~F.array_contains("t", x), f"{y}/{x}")
+    ways = F.array_compact(F.array(F.when(negated, "#1/#0").otherwise("#0/#1"), *[holds(x, y) for x, y in text.ANTONYMS]))
+    words = said.select("s", "agent", F.size(F.array_distinct("t")).alias("n"), ways.alias("ways"), F.explode(F.array_distinct("t")).alias("w"))
+    often = words.groupBy("agent", "w").agg(F.count("*").alias("often"))
+    rare = words.join(often, ["agent", "w"]).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("often", "w"))).where("r <= 3")
+    own, other = F.split_part("way", F.lit("/"), F.lit(1)), F.split_part("way", F.lit("/"), F.lit(2))
+    x = rare.select("s", "agent", "n", "w", "r", F.explode("ways").alias("way")).where(((F.col("r") <= 2) | ~F.startswith("way", F.lit("#"))) & (F.col("w") != own)).select("agent", "w", "way", F.col("s").alias("x"), F.col("n").alias("nx"))
+    y = words.select("agent", "w", "s", "n", F.explode("ways").alias("way")).select("agent", "w", F.concat(other, F.lit("/"), own).alias("way"), F.col("s").alias("y"), F.col("n").alias("ny"))
+    met = x.join(y, ["agent", "w", "way"]).where(F.col("nx") <= F.col("ny")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    of = lambda c: said.select(F.col("s").alias(c), F.col("t").alias(f"t{c}"))
+    pairs = met.join(of("x"), "x").join(of("y"), "y").where(text.contradicts(F.col("tx"), F.col("ty"))).select("x", "y")
+    of = lambda c, i: linked.join(said, ["agent", "t"]).select("id", F.col("s").alias(c)).join(links.select(F.col("memory_id").alias("id"), "entity_id"), "id").select(c, "entity_id", F.col("id").alias(i))
+    both = pairs.join(of("x", "i"), "x").join(of("y", "j"), ["y", "entity_id"])
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def corroborated(memories: DataFrame, links: DataFrame, most: int = 5, step: float = 0.05, cap: float = 0.95) -> DataFrame:

@@ -164,6 +164,21 @@ def test_contradicting_memories(spark):
     assert [(r["a"], r["b"]) for r in lifecycle.contradictions(m, links).collect()] == [("a", "b")]
 
 
+def test_contradictions_share_any_one_entity(spark):
+    r = random.Random(5)
+    words = ["lamp", "door", "open", "closed", "not", "never", "red", "on", "off", "shed", "light", "dark", "always"]
+    rows = [(f"m{k:03d}", r.choice(["x", "y"]), " ".join(r.choice(words) for _ in range(r.randrange(0, 8)))) for k in range(120)]
+    rows += [("p", "z", "the lamp is on"), ("q", "z", "the lamp is not on"), ("r", "z", "the lamp is not on"), ("s", "z", "the lamp is off")]
+    linked = {i: {f"e{r.randrange(12):02d}" for _ in range(r.randrange(0, 5))} for i, _, _ in rows} | {"p": {"e01", "e02", "e09"}, "q": {"e00", "e03", "e09"}, "r": {"e04"}, "s": {"e09"}}
+    m = spark.createDataFrame(rows, "id string, agent string, content string")
+    links = spark.createDataFrame([(i, e) for i in linked for e in linked[i]], "memory_id string, entity_id string")
+    got = [(x["a"], x["b"]) for x in lifecycle.contradictions(m, links).collect()]
+    a, b = m.select(F.col("id").alias("a"), F.col("agent").alias("g"), text.tokens(F.col("content")).alias("t")), m.select(F.col("id").alias("b"), F.col("agent").alias("h"), text.tokens(F.col("content")).alias("u"))
+    want = {(x["a"], x["b"]) for x in a.join(b, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b"))).where(text.contradicts(F.col("t"), F.col("u"))).collect() if linked[x["a"]] & linked[x["b"]]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert ("p", "q") in want and ("p", "s") in want and not any("r" in p for p in got)
+
+
 def test_merge_edit_upsert(spark):
     m = spark.createDataFrame([("g", "a", "one", ["t"], 1), ("g", "b", "one", None, 2), ("g", "c", "two", ["u", "t"], 3)], "g string, id string, content string, tags array<string>, at int")
     r = lifecycle.merged(m, "g", "id", "content", "tags", "at").first()
