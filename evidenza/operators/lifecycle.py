@@ -74,15 +74,19 @@ def ledger_conflicts(operations: DataFrame, key: list[str], payload: str) -> Dat
 
 
 def merged(rows: DataFrame, group: str, key: str, content: str, tags: str, order: str) -> DataFrame:
-    """One new record a group: distinct contents joined in order, tags in order of appearance, trust of the best, ids replaced.
+    """One new record a group: distinct contents joined in order, tags in order of appearance, ids replaced and their number.
 
-    Groups are duplicate groups of bounded size; at most 1,000 members give their content.
+    Contents and tags are reduced to their first appearance before they are gathered, so copies in a large group cost
+    nothing; ``n`` needs no list, and ``replaced`` is gathered only where it is asked for.
     """
-    w = Window.partitionBy(group).orderBy(order, key)
-    kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 1000)
-    lists = kept.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(content).alias("c"), F.col(tags).alias("t"), F.col(key).alias("k")))).alias("l"))
-    contents = F.array_join(F.array_distinct(F.filter(F.transform("l", lambda e: e["c"]), lambda c: c.isNotNull())), " | ")
-    return lists.select(group, contents.alias("content"), F.array_distinct(F.flatten(F.transform("l", lambda e: F.coalesce(e["t"], F.array().cast("array<string>"))))).alias("tags"), F.transform("l", lambda e: e["k"]).alias("replaced"))
+    at = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    rows = rows.select(F.col(group).alias("g"), at.alias("at"), F.col(content).alias("c"), F.col(tags).alias("t"))
+    firsts = lambda df, by: df.groupBy("g", "v").agg(F.min(by).alias("at")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("l"))
+    contents = firsts(rows.where(F.col("c").isNotNull()).select("g", "at", F.col("c").alias("v")), "at").alias("c")
+    labels = firsts(rows.select("g", "at", F.posexplode("t").alias("p", "v")), F.struct("at", "p")).alias("t")
+    all_ = rows.groupBy("g").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list("at")), lambda e: e["k"]).alias("replaced")).alias("a")
+    out = all_.join(contents, F.col("a.g").eqNullSafe(F.col("c.g")), "left").join(labels, F.col("a.g").eqNullSafe(F.col("t.g")), "left")
+    return out.select(F.col("a.g").alias(group), F.coalesce(F.array_join("c.l", " | "), F.lit("")).alias("content"), F.coalesce("t.l", F.array().cast("array<string>")).alias("tags"), "replaced", "n")
 
 
 def edited(memories: DataFrame, edits: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def dream_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def same_fact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir).where("superseded_by IS NOT NULL")
     out = lifecycle.merged(m, "superseded_by", "id", "content", "tags", "created_at")
-    return out.select("superseded_by", F.md5("content").alias("content_md5"), F.size("tags").alias("n_tags"), F.size("replaced").alias("n"))
+    return out.select("superseded_by", F.md5("content").alias("content_md5"), F.size("tags").alias("n_tags"), F.col("n").cast("int").alias("n"))
 
 
 def edit_event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,17 @@ def test_merge_edit_upsert(spark):
     assert {x["k"] for x in lifecycle.new_only(new, old, ["k"]).collect()} == {3}
 
 
+def test_merge_of_a_large_group(spark):
+    rows = [("g", f"m{k:04d}", f"text {k % 1500}", [f"tag {k % 1300}", "all"], k) for k in range(3000)] + [("h", "x", None, None, 1), ("h", "y", None, [], None), (None, "z", "alone", ["b", None, "b", "a"], 1)]
+    m = spark.createDataFrame(rows, "g string, id string, content string, tags array<string>, at int")
+    got = {r["g"]: r for r in lifecycle.merged(m, "g", "id", "content", "tags", "at").collect()}
+    g = got["g"]
+    assert g["replaced"] == [f"m{k:04d}" for k in range(3000)] and g["n"] == 3000 and g["content"] == " | ".join(f"text {k}" for k in range(1500))
+    assert g["tags"] == ["tag 0", "all"] + [f"tag {k}" for k in range(1, 1300)]
+    assert (got["h"]["content"], got["h"]["tags"], got["h"]["replaced"], got["h"]["n"]) == ("", [], ["y", "x"], 2)
+    assert (got[None]["content"], got[None]["tags"], got[None]["n"]) == ("alone", ["b", None, "a"], 1) and len(got) == 3
+
+
 def test_entity_mentions(spark):
     df = spark.createDataFrame([(1, "The Blue Lamp is near Blue. Ask Sam at Blue Lamp"), (2, None), (3, "")], "id int, t string")
     got = [(r["id"], r["name"]) for r in graph.entity_mentions(df, "id", "t").orderBy("id", "rank").collect()]
