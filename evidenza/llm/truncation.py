@@ -2,7 +2,8 @@
 
 For each source, the hazard of a length is the share of texts that end there among those that reach it. A field limit
 makes one length's hazard stand out against its neighbours'; each length is tested against the pooled hazard around it,
-with the false discovery rate held over all tests. A text is then judged by its ending. At a significant length any
+with the false discovery rate held over all tests. Copies of a text in a source count once in this.
+A text is then judged by its ending. At a significant length any
 ending without a proper close counts as cut. Elsewhere the last words decide: how often the last word, and a word after
 the two before it, end a line of that sort in the corpus. A word the corpus doesn't know otherwise was cut itself.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -119,11 +121,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_ENDS = "key string, source string, chars int, bytes int, kind string, last string, ctx string, tail string"
+_ENDS = "key string, source string, chars int, bytes int, kind string, last string, ctx string, tail string, same string"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a text ends with: kind is closed, cut (for certain), or list, prose, ellipsis (to be judged by its words)."""
+    """What a text ends with: kind is closed, cut (for certain), or list, prose, ellipsis (to be judged by its words). same is equal for equal texts."""
     for batch in batches:
         rows = []
         for key, source, text in zip(batch.column("key").to_pylist(), batch.column("source").to_pylist(), batch.column("text").to_pylist()):
@@ -157,7 +159,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ctx = [("", "^"), ("", "^"), *n]
             last = n[-1][0] if n else ""
             tail = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "#", line.split(" ")[-1])) if kind == "link" else ""
-            rows.append((key, source, len(text), len(text.encode("utf-8", "surrogatepass")), kind, last, f"{ctx[-3][1]} {ctx[-2][1]} _" if n else "", tail))
+            raw = text.encode("utf-8", "surrogatepass")
+            rows.append((key, source, len(text), len(raw), kind, last, f"{ctx[-3][1]} {ctx[-2][1]} _" if n else "", tail, blake2b(raw, digest_size=16).hexdigest()))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), *[pa.array(c, pa.string()) for c in cols[4:]]], names=[x.split()[0] for x in _ENDS.split(", ")])
@@ -243,7 +246,9 @@ def _decided(ends: DataFrame, open_: DataFrame, counts: DataFrame) -> DataFrame:
     most = tails.agg(F.sum("n").alias("links"))
     tails = broadcast_if_small(tails.join(F.broadcast(most)).where(F.col("n") >= 0.1 * F.col("links")).select("tail", F.lit(1.0).alias("usual")))
 
-    lengths = ends.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"), (F.col("kind") != "closed").alias("open")).select("source", "x.unit", "x.length", "open")
+    # copies of a text say no more of its source's limits than the text itself
+    each = ends.select("source", "same", "chars", "bytes", "kind").distinct()
+    lengths = each.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"), (F.col("kind") != "closed").alias("open")).select("source", "x.unit", "x.length", "open")
     limits = broadcast_if_small(cut(significant_lengths(lengths).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("b"))))
     out = ends.join(q, "key", "left").join(tails, "tail", "left").join(limits, "source", "left")
     limited = F.coalesce(F.array_contains("c", F.col("chars")) | F.array_contains("b", F.col("bytes")), F.lit(False))

@@ -336,6 +336,18 @@ def test_cut_texts(spark):
     assert truncation.endings(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_copies_of_a_complete_text(spark):
+    rows, cut = cut_documents()
+    ends = {"list": "The garden needs silver.\n- The crisp lantern", "heading": "The mirror warms the kettle.\n# The wooden garden", "link": "The kettle covers it. See http://a.test/x?y=1&z=22"}
+    rows += [(2000 + 1000 * j + k, x, "free", "clash") for j, x in enumerate(ends.values()) for k in range(400 if j == 0 else 12)]
+    judged = truncation.endings(spark.createDataFrame(rows, "doc_id bigint, text string, source string, key string")).cache()
+    assert judged.where("doc_id >= 2000 AND limited").count() == 0 and judged.where("doc_id >= 2000").count() == 424
+    assert judged.where("doc_id BETWEEN 2000 AND 3999 AND truncated").count() == 0
+    got = {int(x["doc_id"]) for x in judged.where("truncated").collect()}
+    assert len(got & cut) >= 0.97 * len(cut)
+    assert {x["source"]: x["n_limited"] for x in truncation.by_source(judged).collect()}["free"] == 0
+
+
 def test_significant_lengths(spark):
     r = random.Random(3)
     rows = [("s", "chars", r.randrange(50, 900), True) for _ in range(800)] + [("s", "chars", 300, True)] * 30 + [("s", "chars", 500, False)] * 30
