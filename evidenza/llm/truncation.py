@@ -6,6 +6,7 @@ with the false discovery rate held over all tests. Copies of a text in a source
 A text is then judged by its ending. At a significant length any
 ending without a proper close counts as cut. Elsewhere the last words decide: how often the last word, and a word after
 the two before it, end a line of that sort in the corpus. A word the corpus doesn't know otherwise was cut itself.
+Only distinct texts are evidence, and none whose tail is the text's own.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ AROUND, RATE, LEAST = 40, 0.01, 4
 #: endings that it must make up, and the least number of them.
 COMPLETE = {"l": 0.8, "p": 0.7, "e": 0.5}
 CLOSE, KNOWN, USUAL, USUAL_LEAST = 0.5, 3, 0.01, 20
+#: Texts whose last characters are the same, but for digits, case and blanks, are no evidence for one another.
+TAIL = 60
 _HELD = 1_500_000
 
 _LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)]|#{1,6}|>)\s")
@@ -58,6 +61,17 @@ def _ending(line: str) -> tuple[list[str], bool]:
     return toks, stop
 
 
+def _place(toks: list[str]) -> tuple[int, bool]:
+    """The number of tokens before the closing signs and stops of a line, and whether there is a stop."""
+    k = len(toks)
+    while k and (toks[k - 1] in _CLOSERS):
+        k -= 1
+    stop = bool(k) and toks[k - 1] in _STOPS
+    while k and (toks[k - 1] in _STOPS or toks[k - 1] in _CLOSERS):
+        k -= 1
+    return k, stop
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (sort, key, ends, total) of last words and of contexts, by sort of line: p prose without a stop, l lists and headings, e any; f: last words of texts."""
     tot, end = Counter(), Counter()
@@ -91,12 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ctx = [f"{a[1]} {b[1]} _" for a, b in zip([("", "^"), ("", "^"), *pairs], [("", "^"), *pairs])]  # of token i: the two before it
                 tot.update([(sort, w) for w in last])
                 tot.update([(sort, c) for c in ctx[: len(last)]])
-                k = len(toks)
-                while k and (toks[k - 1] in _CLOSERS):
-                    k -= 1
-                stop = bool(k) and toks[k - 1] in _STOPS
-                while k and (toks[k - 1] in _STOPS or toks[k - 1] in _CLOSERS):
-                    k -= 1
+                k, stop = _place(toks)
                 if k and k < len(toks) and toks[k] == "…" or k and not stop:
                     for key in (last[k - 1], ctx[k - 1]):
                         end["e", key] += 1
@@ -121,11 +130,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_ENDS = "key string, source string, chars int, bytes int, kind string, last string, ctx string, tail string, same string"
+_ENDS = "key string, source string, chars int, bytes int, kind string, last string, ctx string, tail string, same string, end string, own int"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a text ends with: kind is closed, cut (for certain), or list, prose, ellipsis (to be judged by its words). same is equal for equal texts."""
+    """What a text ends with: kind is closed, cut (for certain), or list, prose, ellipsis (to be judged by its words). same is equal for equal texts, end for those with the same
+    last characters; own is 1 if ``_counts`` takes the text's own last words as an ending of its kind."""
     for batch in batches:
         rows = []
         for key, source, text in zip(batch.column("key").to_pylist(), batch.column("source").to_pylist(), batch.column("text").to_pylist()):
@@ -160,10 +170,14 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = n[-1][0] if n else ""
             tail = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "#", line.split(" ")[-1])) if kind == "link" else ""
             raw = text.encode("utf-8", "surrogatepass")
-            rows.append((key, source, len(text), len(raw), kind, last, f"{ctx[-3][1]} {ctx[-2][1]} _" if n else "", tail, blake2b(raw, digest_size=16).hexdigest()))
+            end = re.sub(r"\d+", "0", " ".join(body[-4 * TAIL :].lower().split()))[-TAIL:]
+            whole = _TOKEN.findall(body[bare.rfind("\n") + 1 :].split("\n", 1)[0])
+            k, stopped = _place(whole)
+            own = k == len(toks) and (kind == "list" or not stopped or kind == "ellipsis" and k < len(whole) and whole[k] == "…")
+            rows.append((key, source, len(text), len(raw), kind, last, f"{ctx[-3][1]} {ctx[-2][1]} _" if n else "", tail, blake2b(raw, digest_size=16).hexdigest(), blake2b(end.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), int(own)))
         if rows:
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), *[pa.array(c, pa.string()) for c in cols[4:]]], names=[x.split()[0] for x in _ENDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), *[pa.array(c, pa.string()) for c in cols[4:-1]], pa.array(cols[-1], pa.int32())], names=[x.split()[0] for x in _ENDS.split(", ")])
 
 
 def significant_lengths(lengths: DataFrame, around: int = AROUND, rate: float = RATE, least: int = LEAST) -> DataFrame:
@@ -204,7 +218,7 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     are a source of their own. Texts are judged whole; an empty table gives an empty result, other columns are ignored.
     """
     rows = df.where(F.col(text).rlike(rf"[^{_BLANK}]")).select(F.col(key).cast("string").alias("key"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
-    counts = rows.select("text").mapInArrow(_counts, "sort string, key string, ends bigint, total bigint").groupBy("sort", "key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
+    counts = rows.select("text").distinct().mapInArrow(_counts, "sort string, key string, ends bigint, total bigint").groupBy("sort", "key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
     ends = rows.mapInArrow(_judged, _ENDS)
     open_ = ends.where(F.col("kind").isin("list", "prose", "ellipsis"))
     return _decided(ends, open_, counts).select(F.col("key").alias(key), "source", F.col("chars").alias("length"), "limited", "kind", "p_close", "truncated")
@@ -220,7 +234,10 @@ def _decided(ends: DataFrame, open_: DataFrame, counts: DataFrame) -> DataFrame:
     rate = {"l": (lines[0] + 1) / (lines[1] + 10), "p": (prose[0] + 1) / (prose[1] + 10), "e": (base.get("e", (0, 0))[0] + 1) / (lines[1] + prose[1] + 10)}
     prior = F.create_map(*[F.lit(x) for kv in rate.items() for x in kv])[F.col("sort")]
 
-    needed = ends.where(F.col("kind").isin(*sorts)).select("key", sort.alias("sort"), F.col("last"), F.col("ctx"))
+    # texts with the same tail are judged as one, and m of them, mo as endings, are left out of the evidence
+    alike = ["kind", "last", "ctx", "end"]
+    texts = ends.select("same", *alike, "tail", "own").distinct()
+    needed = texts.where(F.col("kind").isin(*sorts)).groupBy(*alike).agg(F.count("*").alias("m"), F.sum("own").alias("mo")).withColumn("sort", sort)
     keys = needed.select("sort", F.explode(F.array("last", "ctx")).alias("k")).distinct()
     # endings of any sort are seen against all occurrences, in prose and lists
     seen = counts.groupBy("key").agg(F.sum(F.when(F.col("sort") != "f", F.col("total")).otherwise(0)).alias("all"), F.sum(F.when(F.col("sort") == "f", F.col("total")).otherwise(0)).alias("f_total"), F.sum(F.when(F.col("sort") == "e", F.col("ends")).otherwise(0)).alias("e_ends"), *[F.sum(F.when(F.col("sort") == s, F.col(c)).otherwise(0)).alias(f"{s}_{c}") for s in ("l", "p") for c in ("ends", "total")])
@@ -230,19 +247,17 @@ def _decided(ends: DataFrame, open_: DataFrame, counts: DataFrame) -> DataFrame:
     named = lambda c: seen.select(F.col("key").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("all", "f_total", "e_ends", "l_ends", "l_total", "p_ends", "p_total")])
     q = needed.join(named("last"), "last", "left").join(named("ctx"), "ctx", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    # the text's own ending isn't evidence for itself
-    own = F.when(F.col("sort") == "e", 0).otherwise(1)
-    share = lambda c: (F.greatest(zero(pick(c, "ends")) - own, F.lit(0)) + prior * 2) / (F.greatest(zero(pick(c, "total")) - own, F.lit(0)) + 2)
+    share = lambda c: (F.greatest(zero(pick(c, "ends")) - F.col("mo"), F.lit(0)) + prior * 2) / (F.greatest(zero(pick(c, "total")) - F.col("m"), F.lit(0)) + 2)
     q = q.withColumn("p1", share("last")).withColumn("p2", share("ctx")).withColumn("p0", prior)
     odds = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
     # each share over the base rate says how much likelier the words are at an end
     complete = F.create_map(*[F.lit(x) for kv in COMPLETE.items() for x in kv])[F.col("sort")]
     both = odds(F.col("p1")) * odds(F.col("p2")) / odds(F.col("p0")) / odds(F.col("p0")) * odds(complete)
-    opened = ends.agg(F.count_if(F.col("kind") != "closed").alias("n")).first()["n"]
-    unknown = (zero(F.col("last_all")) - zero(F.col("last_f_total")) < KNOWN) & (zero(F.col("last_f_total")) < max(USUAL_LEAST, USUAL * opened))
-    q = q.select("key", F.when(unknown, 0.0).otherwise(both / (1 + both)).alias("p_close"))
+    opened = texts.agg(F.count_if(F.col("kind") != "closed").alias("n")).first()["n"]
+    unknown = (zero(F.col("last_all")) - zero(F.col("last_f_total")) < KNOWN) & (zero(F.col("last_f_total")) - F.col("m") + 1 < max(USUAL_LEAST, USUAL * opened))
+    q = q.select(*alike, F.when(unknown, 0.0).otherwise(both / (1 + both)).alias("p_close"))
 
-    tails = ends.where(F.col("kind") == "link").groupBy("tail").agg(F.count("*").alias("n"))
+    tails = texts.where(F.col("kind") == "link").groupBy("tail").agg(F.count("*").alias("n"))
     most = tails.agg(F.sum("n").alias("links"))
     tails = broadcast_if_small(tails.join(F.broadcast(most)).where(F.col("n") >= 0.1 * F.col("links")).select("tail", F.lit(1.0).alias("usual")))
 
@@ -250,7 +265,7 @@ def _decided(ends: DataFrame, open_: DataFrame, counts: DataFrame) -> DataFrame:
     each = ends.select("source", "same", "chars", "bytes", "kind").distinct()
     lengths = each.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"), (F.col("kind") != "closed").alias("open")).select("source", "x.unit", "x.length", "open")
     limits = broadcast_if_small(cut(significant_lengths(lengths).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("b"))))
-    out = ends.join(q, "key", "left").join(tails, "tail", "left").join(limits, "source", "left")
+    out = ends.join(q, alike, "left").join(tails, "tail", "left").join(limits, "source", "left")
     limited = F.coalesce(F.array_contains("c", F.col("chars")) | F.array_contains("b", F.col("bytes")), F.lit(False))
     p = F.when(F.col("kind") == "link", F.coalesce("usual", F.lit(0.0))).when(F.col("kind") == "closed", 1.0).when(F.col("kind") == "cut", 0.0).otherwise(F.coalesce("p_close", F.lit(0.0)))
     out = out.withColumn("limited", limited).withColumn("p_close", p)

@@ -348,6 +348,22 @@ def test_copies_of_a_complete_text(spark):
     assert {x["source"]: x["n_limited"] for x in truncation.by_source(judged).collect()}["free"] == 0
 
 
+def test_repeated_cut_texts(spark):
+    rows, cut = cut_documents()
+    heads = [x for i, x, source, _ in rows if i < 900 and i not in cut and source == "free" and x.endswith(".")]
+    cuts = {3000: [heads[0] + " The croo"] * 60, 4000: [heads[1] + " Sometimes wooden lantern"] * 3, 5000: [f"{x} The mirror covers the garden. Sometimes, crisp and silver and narrow, bicycle" for x in heads[2:32]], 6000: [x + " The pebb" for x in heads[40:55]], 7000: [heads[60] + " Rather narrow the…"] * 40}
+    rows += [(at + k, x, "free", "clash") for at, xs in cuts.items() for k, x in enumerate(xs)]
+    judged = truncation.endings(spark.createDataFrame(rows, "doc_id bigint, text string, source string, key string")).cache()
+    got = {int(x["doc_id"]) for x in judged.where("truncated").collect()}
+    assert {at: len([i for i in got if at <= i < at + 1000]) for at in cuts} == {at: len(xs) for at, xs in cuts.items()}
+    assert len(got & cut) >= 0.97 * len(cut) and len({i for i in got if i < 3000} - cut) <= 0.03 * len(cut)
+    # copies of a text are judged like the text alone
+    alone = truncation.endings(spark.createDataFrame([r for r in rows if r[0] < 3000 or r[0] % 1000 == 0 or 5000 <= r[0] < 7000], "doc_id bigint, text string, source string, key string"))
+    p = lambda df: {int(x["doc_id"]): round(x["p_close"], 9) for x in df.collect()}
+    all_, one = p(judged), p(alone)
+    assert {i: all_[i] for i in one} == one
+
+
 def test_significant_lengths(spark):
     r = random.Random(3)
     rows = [("s", "chars", r.randrange(50, 900), True) for _ in range(800)] + [("s", "chars", 300, True)] * 30 + [("s", "chars", 500, False)] * 30
