@@ -22,8 +22,6 @@ from evidenza.runtime import broadcast_if_small, cut
 ROUNDS = 3
 #: A pattern counts with so many distinct accepted instances, and from this share of accepted ones on.
 SUPPORT, SHARE = 3, 0.5
-#: Most patterns that are kept, the best supported ones.
-PATTERNS = 5_000
 #: Most common words that a task of the last pass holds.
 SKIPPED = 20_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -172,7 +170,7 @@ def _worth(cands: DataFrame, accepted: DataFrame, support: int, share: float) ->
     each = cands.select("kind", "inst", F.explode("pats").alias("pat")).distinct()
     each = each.join(accepted.select("kind", "inst", F.lit(1).alias("yes")), ["kind", "inst"], "left")
     p = each.groupBy("kind", "pat").agg(F.count("yes").alias("pos"), F.count("*").alias("all"))
-    return p.where((F.col("pos") >= support) & (F.col("pos") >= share * F.col("all"))).select("kind", "pat", (F.col("pos") / F.col("all")).alias("worth"), "pos").orderBy(F.desc("pos"), "kind", "pat").limit(PATTERNS)
+    return p.where((F.col("pos") >= support) & (F.col("pos") >= share * F.col("all"))).select("kind", "pat", (F.col("pos") / F.col("all")).alias("worth"))
 
 
 def learned(cands: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +182,7 @@ def learned(cands: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: i
     for r in range(rounds):
         need = share * (0.5 + 0.5 * r / max(1, rounds - 1))
         patterns = cut(_worth(cands, accepted, support, need))
-        hit = cands.select("kind", "inst", F.explode("pats").alias("pat")).join(F.broadcast(patterns), ["kind", "pat"])  # at most PATTERNS rows
+        hit = cands.select("kind", "inst", F.explode("pats").alias("pat")).join(broadcast_if_small(patterns), ["kind", "pat"])
         # one strong pattern, or two different ones that together leave little doubt
         new = hit.groupBy("kind", "inst", "pat").agg(F.max("worth").alias("w")).groupBy("kind", "inst").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("w"))))).alias("s"), F.max("w").alias("m"))
         new = new.where((F.col("m") >= need) & (F.col("s") >= 0.6)).select("kind", "inst")
@@ -212,15 +210,16 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     cands = rows.mapInArrow(_found(True, ("email", "name")), _CANDIDATES)
     cands = cands.join(given, "first", "left").join(family, "last", "left")
     cands = cut(cands.withColumn("sure", F.when((F.col("g") == 1) & (F.col("f") == 1), 1).otherwise(F.col("sure"))).drop("g", "f"))
-    learn = cands.where(F.col("sure") >= 0)
-    seeds = cands.where(F.col("sure") == 1).select("kind", "inst").distinct()
+    # emails are always certain and need no pattern
+    learn = cands.where((F.col("sure") >= 0) & (F.col("kind") != "email"))
+    seeds = learn.where(F.col("sure") == 1).select("kind", "inst").distinct()
     patterns, accepted = learned(learn, seeds)
 
     # numbers and addresses: an occurrence is taken if it is certain or stands in a place worth it
     others = cands.where(F.col("kind") != "name").withColumn("n", F.monotonically_increasing_id())
     good = patterns.select("kind", "pat", "worth")
     best = F.max("worth").alias("worth")
-    scored = others.where(F.col("sure") == 0).select("n", "kind", F.explode("pats").alias("pat")).join(F.broadcast(good), ["kind", "pat"]).groupBy("n").agg(best)
+    scored = others.where(F.col("sure") == 0).select("n", "kind", F.explode("pats").alias("pat")).join(broadcast_if_small(good), ["kind", "pat"]).groupBy("n").agg(best)
     others = cut(others.join(scored, "n", "left"))
     others = others.where((F.col("sure") == 1) | (F.col("worth") >= 0.5))
     certain = F.when(F.col("sure") == 1, 0.5).otherwise(0.4 * F.col("worth"))
@@ -246,7 +245,7 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     people = cut(people.mapInArrow(_contexts, people.schema))
     left = good.where((F.col("kind") == "name") & (F.col("worth") >= 0.5)).select(F.col("pat"), "worth")
     one, rest = people.where("whole"), people.where("NOT whole")
-    hit = rest.select(*cols, "k", F.explode("pats").alias("pat")).join(F.broadcast(left), "pat").groupBy(*cols).agg(F.max("k").alias("k"), F.max("worth").alias("worth"), F.count("*").alias("c"))
+    hit = rest.select(*cols, "k", F.explode("pats").alias("pat")).join(broadcast_if_small(left), "pat").groupBy(*cols).agg(F.max("k").alias("k"), F.max("worth").alias("worth"), F.count("*").alias("c"))
     hit = hit.where((F.col("k") >= 1) | (F.col("worth") >= 0.9) | ((F.col("worth") >= 0.6) & (F.col("c") >= 2)))
     names = one.select(*cols).unionByName(hit.select(*cols))
 

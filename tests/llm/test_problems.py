@@ -220,6 +220,15 @@ def test_personal(spark):
     assert personal.personal(rows, known.limit(0)).where("kind = 'email'").count() == 2
 
 
+def test_every_pattern_is_kept(spark):
+    # 5,500 places of certain numbers with more support than the one place of the only uncertain number
+    pats = [("phone", f"p{k}-{j}", 1, [f"L1:w{k}"]) for k in range(5500) for j in range(4)] + [("phone", f"q{j}", 1, ["L1:rare"]) for j in range(3)] + [("phone", "asked", 0, ["L1:rare"])]
+    cands = spark.createDataFrame(pats, "kind string, inst string, sure int, pats array<string>")
+    patterns, accepted = personal.learned(cands, cands.where("sure = 1").select("kind", "inst").distinct())
+    assert patterns.where("pat = 'L1:rare'").count() == 1 and patterns.count() == 5501
+    assert accepted.where("inst = 'asked'").count() == 1
+
+
 # 7
 def public_encoder():
     tokenizers = pytest.importorskip("tokenizers")
