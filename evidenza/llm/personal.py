@@ -225,7 +225,7 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     certain = F.when(F.col("sure") == 1, 0.5).otherwise(0.4 * F.col("worth"))
 
     # names: the parts of accepted pairs make the lexicon; the last pass looks at words in any case of letters, but not
-    # at those that the texts mostly write in small letters
+    # at those that the texts mostly write in small letters, unless they are listed parts of a whole, capitalised name
     word = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+"), F.lit(0))).alias("w")).where(F.length("w") > 1)
     word = word.groupBy("w").agg(F.count("*").alias("n")).groupBy(F.lower("w").alias("word")).agg(F.sum(F.when(F.lower("w") == F.col("w"), F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("n"))
     frequent = cut(word.where((F.col("low") >= 3) & (2 * F.col("low") > F.col("n"))).select("word", "n"))
@@ -235,11 +235,12 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     firsts, lasts = cut(part("first", "given")), cut(part("last", "family"))
     firsts, lasts = broadcast_if_small(firsts.withColumn("g", F.lit(1))), broadcast_if_small(lasts.withColumn("f", F.lit(1)))
     # the commonest of them, so many at most, are passed over at once; the join drops the rest
-    skip = frozenset(r["word"] for r in frequent.orderBy(F.desc("n"), "word").limit(SKIPPED).collect())
+    skip = frozenset(r["word"] for r in frequent.join(broadcast_if_small(listed.select("word").distinct()), "word", "left_anti").orderBy(F.desc("n"), "word").limit(SKIPPED).collect())
     people = rows.mapInArrow(_found(False, ("name",), skip), _CANDIDATES)
-    people = people.join(common.withColumnRenamed("word", "first"), "first", "left_anti").join(common.withColumnRenamed("word", "last"), "last", "left_anti")
+    people = people.join(common.select(F.col("word").alias("first"), F.lit(True).alias("cf")), "first", "left").join(common.select(F.col("word").alias("last"), F.lit(True).alias("cl")), "last", "left")
     people = people.join(firsts, "first", "left").join(lasts, "last", "left").withColumns({"g": F.coalesce("g", F.lit(0)), "f": F.coalesce("f", F.lit(0))})
     whole = ((F.col("g") == 1) | (F.length("first") == 2)) & (F.col("f") == 1)
+    people = people.where((F.col("cf").isNull() & F.col("cl").isNull()) | (F.col("cased") & whole))  # common words are in the lexicon only if listed
     cols = ["src", "row_id", "field", "at", "till", "kind", "item"]
     people = people.where((F.col("g") == 1) | (F.col("f") == 1) | F.col("cased")).select(*cols, whole.alias("whole"), (F.col("g") + F.col("f")).alias("k"), "pats")
     people = cut(people.mapInArrow(_contexts, people.schema))

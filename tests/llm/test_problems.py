@@ -220,6 +220,17 @@ def test_personal(spark):
     assert personal.personal(rows, known.limit(0)).where("kind = 'email'").count() == 2
 
 
+def test_listed_names_that_are_words(spark):
+    rows, known = personal_rows(spark)
+    plain = [("t", f"w{k}", "f", "we mark the young plants on the hill with grace, and mark young ones twice") for k in range(6)]
+    named = [("t", "gh", "f", "Yesterday Grace Hill wrote."), ("t", "hg", "f", "Signed Young, Mark today"), ("t", "my", "f", "Our vet Mark Young left a number"), ("t", "mp", "f", "Then Mark Plants arrived")]
+    rows = rows.unionByName(spark.createDataFrame(plain + named, "src string, row_id string, field string, text string"))
+    known = known.unionByName(spark.createDataFrame([("Grace", "given"), ("Mark", "given"), ("Hill", "family"), ("Young", "family")], "name string, name_kind string"))
+    got = {(x["row_id"], x["item"]) for x in personal.personal(rows, known).where("kind = 'name'").collect()}
+    assert {("gh", "Grace Hill"), ("hg", "Young, Mark"), ("my", "Mark Young"), ("low", "ada quillby")} <= got
+    assert not [x for x in got if x[0][0] == "w" or x[0] == "mp"]
+
+
 def test_every_pattern_is_kept(spark):
     # 5,500 places of certain numbers with more support than the one place of the only uncertain number
     pats = [("phone", f"p{k}-{j}", 1, [f"L1:w{k}"]) for k in range(5500) for j in range(4)] + [("phone", f"q{j}", 1, ["L1:rare"]) for j in range(3)] + [("phone", "asked", 0, ["L1:rare"])]
