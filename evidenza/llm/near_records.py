@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidenza.runtime import cut
+from evidenza.runtime import broadcast_if_small, cut
 
 #: Bands and registers a band for similarity of 0.5 and more: a pair of exactly 0.5 becomes a candidate with 0.985.
 BANDS, ROWS = 132, 5
+#: Records of one band that a task pairs with one another; a larger band is split over tasks, every pair still meeting once.
+#: Which bands are large is estimated from one record of so many, as it only decides who does the work.
+SPLIT, ESTIMATE = 1000, 64
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -102,14 +105,13 @@ def near_records(df: DataFrame, key: str, text: str, size: int = 2, least: float
     sets = texts.select("id", shingles(words(F.col("text")), size).alias("elements")).where(F.size("elements") > 0)
     sets = sets.select("id", "elements", F.xxhash64("elements").alias("h1"), F.hash("elements").alias("h2"))
     reps = cut(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("elements").alias("elements")).withColumn("n", F.monotonically_increasing_id()))
-    members = sets.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
-
-    keys = reps.select(F.col("n").alias("rep"), "elements").mapInArrow(_bands(bands, rows), "rep bigint, keys array<bigint>")
-    keys = keys.select("rep", F.explode("keys").alias("band"))
-    pairs = keys.alias("x").join(keys.alias("y"), F.col("x.band") == F.col("y.band")).where(F.col("x.rep") < F.col("y.rep"))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    one = reps.select(F.col("n").alias("a"), F.col("rep").alias("ra"), F.col("elements").alias("ea"))
-    two = reps.select(F.col("n").alias("b"), F.col("rep").alias("rb"), F.col("elements").alias("eb"))
+    members = sets.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("id", "rep")
+
+    # what joins grows with the data, and the planner can't see how many bands a record has: never broadcast
+    signed = cut(reps.select(F.col("n").alias("rep"), "elements").mapInArrow(_bands(bands, rows), "rep bigint, keys array<bigint>"))
+    pairs = _met(signed)
+    one = reps.select(F.col("n").alias("a"), F.col("rep").alias("ra"), F.col("elements").alias("ea")).hint("merge")
+    two = reps.select(F.col("n").alias("b"), F.col("rep").alias("rb"), F.col("elements").alias("eb")).hint("merge")
     both = pairs.join(one, "a").join(two, "b")
     both = both.withColumn("shared", F.size(F.array_intersect("ea", "eb")))
     both = both.withColumn("sim", F.col("shared") / (F.size("ea") + F.size("eb") - F.col("shared")))
@@ -117,9 +119,34 @@ def near_records(df: DataFrame, key: str, text: str, size: int = 2, least: float
     return links, members
 
 
+def _met(signed: DataFrame, split: int | None = None, estimate: int | None = None) -> DataFrame:
+    """(a, b) with a < b: records (rep, keys) that share a key.
+
+    A key of more than about ``split`` records is dealt to several tasks: each record stands in one part as the first of
+    a pair, and in every part as the second.
+    """
+    split, estimate = split or SPLIT, estimate or ESTIMATE
+    exploded = lambda df: df.select("rep", F.explode("keys").alias("band"))
+    some = exploded(signed.where(F.pmod(F.xxhash64("rep"), F.lit(estimate)) == 0)).groupBy("band").agg(F.count("*").alias("n"))
+    large = cut(some.where(F.col("n") * estimate > split).select("band", F.ceil(F.col("n") * estimate / split).cast("int").alias("parts")))
+    bands = exploded(signed)
+    rest = bands
+    if not large.isEmpty():
+        large = broadcast_if_small(large)
+        rest = bands.join(large, "band", "left_anti")
+    side = lambda c: rest.select("band", F.col("rep").alias(c))
+    met = side("a").join(side("b").hint("merge"), "band").select("a", "b")
+    if rest is not bands:
+        hot = bands.join(large, "band")
+        first = hot.select("band", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("part"), F.col("rep").alias("a"))
+        second = hot.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"))
+        met = met.unionByName(first.join(second.hint("merge"), ["band", "part"]).select("a", "b"))
+    return met.where("a < b").distinct()
+
+
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) with a < b of records, from links of representatives and membership; for results that are defined as pairs of records."""
     m = members
-    same = m.alias("x").join(m.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    across = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
+    same = m.alias("x").join(m.alias("y").hint("merge"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("ia")).hint("merge"), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("ib")).hint("merge"), "b")
     return same.unionByName(across.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))).distinct()

@@ -104,6 +104,21 @@ def test_near_records(spark):
     assert near_records.expanded(*near_records.near_records(empty, "id", "content")).count() == 0
 
 
+def test_large_bands_are_dealt(spark):
+    rows = [(k, [b for b, n in ((1, 1), (2, 2), (3, 9), (4, 40)) if k < n]) for k in range(40)]
+    df = spark.createDataFrame(rows, "rep bigint, keys array<bigint>")
+    want = {(a, b) for a, b in combinations(range(40), 2)}
+    for split in (3, 10, 1000):
+        got = [(x["a"], x["b"]) for x in near_records._met(df, split, 1).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_growing_broadcast(spark, small):
+    df = QUERIES["p2_found"](spark, small)
+    df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_probminhash_estimates_weighted_similarity():
     """Registers agree with the probability Jaccard similarity, for equal and for unequal weights."""
     m = 4096
