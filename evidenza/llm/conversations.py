@@ -1,4 +1,8 @@
-"""Rebuilding conversations from message rows: thread finding, ordering and validation."""
+"""Rebuilding conversations from message rows: grouping, ordering and validation.
+
+Conversations are the connected components of one set of links: a message is tied to the session that it names, and a
+message without a session to those that it replies to or quotes. Alternating large and small stars find them.
+"""
 
 from __future__ import annotations
 
@@ -35,25 +39,51 @@ def counting(df: DataFrame) -> DataFrame:
     return alike.unionByName(rows.where(F.col("session").isNull()).select("session", "role", "ts", "content", "id"))
 
 
-def threads(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(id, thread) of counting messages without a session: components over reply and quote links.
+def _node() -> Column:
+    """What a message is called among the links: by its id, or by its content if it has none."""
+    unnamed = F.md5(F.to_json(F.struct("session", "role", F.unix_micros("ts").alias("ts"), "content")))
+    return F.when(F.col("id").isNotNull(), F.concat(F.lit("m:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("n:"), unnamed))
+
+
+def _thread_links(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(a, b): reply and quote links between messages (with ``node``) that have no session.
 
-    ``links`` may give reply links (id, reply_to). A quote link ties a message to the messages without a session whose
-    whole content its lines starting with ">" repeat. A message no link reaches is a thread of its own; a thread is
-    called "thread-" and its smallest id.
+    A quote link ties a message whose lines starting with ">" repeat the whole content of others to the first of them,
+    if that one is earlier. ``links`` may give reply links (id, reply_to).
     """
-    loose = rows.where(F.col("session").isNull() & F.col("id").isNotNull())
-    quoting = loose.where(F.col("content").rlike(r"(?m)^>\s*\S"))
-    quoted = F.regexp_replace(F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^>[^\n]*"), F.lit(0)), "\n"), r"(?m)^>\s?", "")
+    loose = rows.where(F.col("session").isNull())
+    at = F.struct(F.col("ts").isNull().alias("undated"), F.col("ts"), F.col("id"))
     text = lambda c: F.md5(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "))
-    pairs = quoting.select(F.col("id").alias("a"), text(quoted).alias("h")).join(loose.select(F.col("id").alias("b"), text(F.col("content")).alias("h")), "h")
-    # a text that many messages share links to its first message only; the others are tied to that one
-    edges = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    quoted = F.regexp_replace(F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^>[^\n]*"), F.lit(0)), "\n"), r"(?m)^>\s?", "")
+    quoting = loose.where(F.col("content").rlike(r"(?m)^>\s*\S")).select(F.col("node").alias("a"), at.alias("a_at"), text(quoted).alias("h"))
+    # of a text that many messages share only the first counts, so a common text makes no large group
+    first = loose.groupBy(text(F.col("content")).alias("h")).agg(F.min(F.struct(at.alias("at"), "node")).alias("first"))
+    edges = quoting.join(first, "h").where(F.col("first.at") < F.col("a_at")).select("a", F.col("first.node").alias("b"))
     if links is not None:
-        edges = edges.unionByName(links.select(F.col("id").alias("a"), F.col("reply_to").alias("b")).join(loose.select(F.col("id").alias("a")), "a", "left_semi").join(loose.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
-    found = connected_components(edges)
-    name = F.concat(F.lit("thread-"), F.coalesce("component", "id").cast("string"))
-    return loose.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", name.alias("thread"))
+        named = loose.where(F.col("id").isNotNull())
+        one, two = named.select(F.col("id").alias("from_id"), F.col("node").alias("a")), named.select(F.col("id").alias("to_id"), F.col("node").alias("b"))
+        replies = links.select(F.col("id").alias("from_id"), F.col("reply_to").alias("to_id"))
+        edges = edges.unionByName(replies.join(one, "from_id").join(two, "to_id").select("a", "b"))
+    return edges
+
+
+def grouped(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The counting messages with ``session`` as struct(is_thread, name): the conversation each belongs to.
+
+    A message no link reaches is a thread of its own; a thread is called "thread-" and its smallest id, or a digest of
+    its content if no message of it has an id.
+    """
+    rows = cut(rows.withColumn("node", _node()))
+    # "a:" sorts before the messages, so a session is the smallest node of its component
+    stated = rows.where(F.col("session").isNotNull()).select(F.col("node").alias("a"), F.concat(F.lit("a:"), F.col("session")).alias("b"))
+    found = connected_components(stated.unionByName(_thread_links(rows, links)))
+    rows = rows.drop("session").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = ~F.startswith("component", F.lit("a:"))
+    smallest = rows.where(own).groupBy("component").agg(F.min("id").alias("smallest"))
+    rows = rows.join(smallest, "component", "left")
+    thread = F.concat(F.lit("thread-"), F.coalesce(F.col("smallest").cast("string"), F.substring("component", 3, 40)))
+    name = F.when(own, thread).otherwise(F.expr("substring(component, 3)"))
+    return rows.select(F.struct(own.alias("is_thread"), name.alias("name")).alias("session"), "role", "ts", "content", "id")
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -78,17 +108,16 @@ def conversations(messages: DataFrame, sessions: DataFrame | None = None, links:
     user or assistant has no timestamp, the first of them is an assistant, or two assistant messages follow each other);
     no_reply (a user message is followed by a user message or by nothing). Empty tables give no conversation.
     """
-    rows = counting(messages)
+    rows = grouped(counting(messages), links)
+    return _judged(rows, messages, sessions)
+
+
+def _judged(rows: DataFrame, messages: DataFrame, sessions: DataFrame | None) -> DataFrame:
     names = messages.select(F.col("session_id").alias("session"))
     if sessions is not None:
         names = names.unionByName(sessions.select(F.col("id").alias("session")))
-    names = names.where(F.col("session").isNotNull()).distinct().withColumn("is_thread", F.lit(False))
-    loose = threads(rows, links)
-    threaded = rows.where(F.col("session").isNull()).drop("session").join(loose, "id").select(F.struct(F.lit(True).alias("is_thread"), F.col("thread").alias("name")).alias("session"), "role", "ts", "content", "id")
-    named = rows.where(F.col("session").isNotNull()).withColumn("session", F.struct(F.lit(False).alias("is_thread"), F.col("session").alias("name")))
-    rows = named.select("session", "role", "ts", "id").unionByName(threaded.select("session", "role", "ts", "id"))
-    names = names.select(F.struct("is_thread", F.col("session").alias("name")).alias("session"))
-    names = names.unionByName(loose.select(F.struct(F.lit(True).alias("is_thread"), F.col("thread").alias("name")).alias("session")).distinct())
+    names = names.where(F.col("session").isNotNull()).distinct().select(F.struct(F.lit(False).alias("is_thread"), F.col("session").alias("name")).alias("session"))
+    names = names.unionByName(rows.where("session.is_thread").select("session").distinct())
 
     said = F.col("role").isin("user", "assistant")
     facts = rows.groupBy("session").agg(
@@ -122,10 +151,9 @@ def rebuilt(messages: DataFrame, sessions: DataFrame | None = None, links: DataF
 
     Turns are numbered from 1 in order of timestamp, then id; messages that are passed over are left out.
     """
-    kept = conversations(messages, sessions, links).where(F.col("reason").isNull())
-    rows = counting(messages)
-    loose = threads(rows, links)
-    said = rows.join(loose, "id", "left").select(F.coalesce("session", "thread").alias("conversation"), F.col("session").isNull().alias("is_thread"), "id", "role", "ts", "content")
+    rows = cut(grouped(counting(messages), links))
+    kept = _judged(rows, messages, sessions).where(F.col("reason").isNull())
+    said = rows.select(F.col("session.name").alias("conversation"), F.col("session.is_thread").alias("is_thread"), "id", "role", "ts", "content")
     said = said.where(F.col("role").isin("user", "assistant")).join(kept.select("conversation", "is_thread"), ["conversation", "is_thread"], "left_semi")
     # read twice below, so the ranges are written down once
     said = cut(said.repartitionByRange("conversation", "is_thread", "ts", "id").withColumn("part", F.spark_partition_id()))

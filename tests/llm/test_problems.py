@@ -202,6 +202,13 @@ def test_reply_links(spark):
     assert got == {"thread-1": None, "thread-5": None}
 
 
+def test_quotes_link_to_the_first_earlier_message(spark):
+    rows = [message(1, None, "user", "ok then", 5), message(2, None, "assistant", "> ok then\nyes", 6), message(3, None, "user", "ok then", 7), message(4, None, "assistant", "> later words\nno", 1), message(5, None, "user", "later words", 2),
+            message(6, "s", "user", "in a session", 1), message(7, None, "assistant", "> in a session\nno", 2), message(None, None, "user", "unnamed", 3), message(9, None, "assistant", "> unnamed\nyes", 4)]
+    got = {x["conversation"]: (x["reason"], x["n_messages"]) for x in conversations.conversations(spark.createDataFrame(rows, MSG)).collect()}
+    assert got == {"thread-1": (None, 2), "thread-3": ("no_reply", 1), "thread-4": ("broken", 1), "thread-5": ("no_reply", 1), "s": ("no_reply", 1), "thread-7": ("broken", 1), "thread-9": (None, 2)}
+
+
 def test_long_conversation_over_many_ranges(spark):
     rows = [message(i, "hot", "user" if i % 2 == 0 else "assistant", f"t{i}", i) for i in range(4000)]
     df = spark.createDataFrame(rows, MSG).repartition(8)
