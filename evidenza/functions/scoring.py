@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Trust, weight and authority by source, and the ranks of visibility.
 INITIAL_TRUST = {"import": 0.9, "manual": 0.9, "vault": 0.8, "hindsight": 0.7, "conversation": 0.6, "dream": 0.6}
 SOURCE_WEIGHT = {"conversation": 1.3, "manual": 1.3, "import": 1.3, "hindsight": 1.3, "dream": 1.1, "cron": 1.1, "sensor": 1.1, "email": 1.1, "vault": 0.7}
-AUTHORITY = {"manual": 1.0, "import": 0.9, "vault": 0.85, "conversation": 0.8, "hindsight": 0.75, "email": 0.7, "sensor": 0.7, "cron": 0.65, "dream": 0.55}
+AUTHORITY = {"manual": 1.0, "conversation": 0.9, "import": 0.8, "vault": 0.85, "hindsight": 0.7, "dream": 0.55, "cron": 0.6, "sensor": 0.65, "email": 0.7}
+CALIBRATION = {"vault": 0.15, "import": 0.05, "manual": 0.10, "conversation": 0.0, "hindsight": -0.05}
 VISIBILITY = {"private": 0, "shared": 1, "fleet": 2}
 
 
@@ -47,10 +48,15 @@ def decayed_trust(value: Column, age_days: Column, half_life: float = 30.0, floo
     return F.greatest(decayed(value, age_days, half_life), F.lit(floor))
 
 
-def calibrated_trust(source: Column, verified: Column, seen: Column, age_days: Column) -> Column:
-    """Initial trust of the source, with steps for verification, repeats, manual origin and age; at most 0.95, two places."""
-    t = lookup(INITIAL_TRUST, source, 0.5) + F.when(verified, 0.1).otherwise(0.0) + F.least(F.lit(0.1), F.lit(0.02) * (F.coalesce(seen, F.lit(1)) - 1))
-    t = t + F.when(source == "manual", 0.1).otherwise(0.0) + F.when(age_days < 1, 0.05).when(age_days < 7, 0.03).when(age_days < 30, 0.01).otherwise(0.0)
+def or_half(c: Column) -> Column:
+    """A missing value, and 0, count as 0.5."""
+    return F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(0.5))
+
+
+def calibrated_trust(source: Column, confidence: Column, verified: Column, age_days: Column) -> Column:
+    """The confidence with steps for the source, verification and age since the last update; at most 0.95, two places."""
+    t = or_half(confidence) + lookup(CALIBRATION, source, 0.0) + F.when(verified, 0.1).otherwise(0.0)
+    t = t + F.when(age_days < 1, 0.05).when(age_days < 7, 0.03).when(age_days < 30, 0.01).otherwise(0.0)
     return F.bround(F.least(t, F.lit(0.95)), 2)
 
 

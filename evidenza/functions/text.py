@@ -5,17 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Short lists of our own; every function takes another list as a parameter.
+# A short list of our own; every function takes another as a parameter.
 STOPWORDS = "a an and are as at be but by for from had has have he her his i in is it its me my no not of on or our she so that the their them then there they this to was we were what when where which who why will with you your".split()
-HISTORY_WORDS = ["history", "historical", "previously", "formerly", "used to", "back then", "in the past", "originally", "earlier"]
-TRANSIENT_WORDS = ["now", "currently", "today", "tonight", "right now", "at the moment", "this morning"]
-NEGATIONS = ["not", "no", "never", "cannot", "without", "none"]
-ANTONYMS = [("before", "after"), ("above", "below"), ("inside", "outside"), ("open", "closed"), ("on", "off"), ("over", "under"), ("enabled", "disabled"), ("always", "never"), ("light", "dark"), ("early", "late")]
-VERBS = [("prefers", "prefers"), ("uses", "uses"), ("needs", "needs"), ("keeps", "keeps"), ("stores", "stores"), ("replaces", "replaces"), ("is", "is")]
 
-
-def _any(words: list[str]) -> str:
-    return r"(?i)(^|[^a-z0-9])(" + "|".join(words) + r")([^a-z0-9]|$)"
+# The words and classes below decide results and must be these, in this order.
+HISTORY_WORDS = "when|then|before|previously|used to|historical|history|at that time"
+TRANSIENT_WORDS = "currently|now|is at|today|tonight|this morning|right now"
+NEGATIONS = ["not", "no", "never", "none", "n't", "cannot", "cant", "without", "isn't", "wasn't", "aren't", "weren't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shouldn't", "couldn't", "isn", "wasn", "aren"]
+ANTONYMS = [("on", "off"), ("online", "offline"), ("up", "down"), ("open", "closed"), ("enabled", "disabled"), ("yes", "no"), ("true", "false"), ("active", "inactive"), ("private", "shared"), ("light", "dark"), ("start", "stop"), ("allow", "block"), ("accept", "reject"), ("pass", "fail")]
+CLAIM_VERBS = "prefers?|likes?|uses?|works on|owns?|lives in|is named"
+CORRECTIONS = "switched|changed|updated|now prefers?|no longer|instead of|correction"
+STATEMENT_KINDS = [
+    ("correction", r"correct(?:ion|ed)?|actually|not\s+[\p{L}\p{N}_]+\s+but|wrong"),
+    ("abandoned", "abandon(?:ed|ing)?|withdrawn|dropped|rejected|no longer"),
+    ("unresolved", "unresolved|open question|still need to decide|undecided|tbd"),
+    ("conflict", "conflict|contradict(?:ion|s|ory)?|disagree|both options"),
+    ("decision", "decid(?:e|ed|ing)|agreed|selected|adopted|we will|choose|chosen"),
+    ("proposal", "propos(?:e|ed|al)|suggest(?:ed|ion)?|could|might|should"),
+]
+ARCHETYPES = [
+    ("historical", r"when|before|previously|used to|historical|history|at that time|last time|in [0-9]{4}|[0-9]{4}-[01][0-9]-[0-3][0-9]"),
+    ("document_lookup", "file|document|note|vault|markdown|folder|path"),
+    ("troubleshooting", "error|failure|broken|bug|issue|traceback|exception|doesn't work|not working"),
+    ("preference", "prefer|preference|like|likes|favorite|favourite|usually"),
+    ("project_state", "status|state|progress|milestone|todo|blocked|project"),
+    ("delegation", "delegate|delegated|subagent|hand off|child task"),
+    ("procedure", "how do|how to|configure|setup|install|steps|procedure"),
+    ("person_or_entity", "who is|person|user|team|colleague|friend|owner"),
+    ("general_recall", "remember|recall|what did|tell me|according to"),
+]
+MEMORY_WORDS = "remember|recall|did we|do we|what did|what do|decide|decided|status of|last time|previously|before|earlier|who is|what is|where is|how many|which|configure|setup|preference|prefers|policy|policies"
+GREETINGS = "hey|hi|hello|yo|sup|howdy|thanks|thank you|ok|okay|sure|yes|no|cool|nice|got it|bye|good night|how are you|how's it going|what's up|whats up"
+SCOPE_WORDS = [("fleet", "timezone|name|email|prefers|hates|wants|language|region|location"), ("shared", "project|repo|hardware|server|network|decision|agreed|plan|build")]
+QUESTION_WORDS = "a an and are can did does do for from how i in is it me my of on please the according another based computer mention mentioned say says tell told their then they to was we what when where which who why would you your".split()
+
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def whole(words: str) -> str:
+    """A pattern of alternatives that stand as whole words, in any case."""
+    return rf"(?i)(?:^|{_EDGE})(?:{words})(?:{_EDGE}|$)"
 
 
 def content_key(c: Column) -> Column:
@@ -78,21 +107,29 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def historical_intent(c: Column, words: list[str] = HISTORY_WORDS) -> Column:
-    return F.coalesce(c.rlike(_any(words)) | c.rlike(r"20[0-9]{2}-[0-9]{2}-[0-9]{2}"), F.lit(False))
+def historical_intent(c: Column, words: str = HISTORY_WORDS) -> Column:
+    """Words of history, or a date of this century."""
+    return F.coalesce(c.rlike(whole(words)) | c.rlike(whole("20[0-9]{2}-[01][0-9]-[0-3][0-9]")), F.lit(False))
+
+
+def retrieval_words(c: Column) -> Column:
+    """The words of a question that are left to search for: without words of history, possessive endings and question words; all of it if none is left."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), whole(HISTORY_WORDS), " ")
+    found = F.transform(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_'’-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"['’]s$", ""))
+    left = F.array_join(F.filter(found, lambda w: (w != "") & ~F.lower(w).isin(*QUESTION_WORDS)), " ")
+    return F.coalesce(F.nullif(F.btrim(left, F.lit(" ?.,")), F.lit("")), F.trim(c))
 
 
 def needs_memory(c: Column) -> Column:
-    """False for null, blank and mere greetings, else true."""
-    plain = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    greeting = plain.rlike(r"^(hi|hello|hey|thanks|thank you|ok|okay|ok thanks|yes please|got it|sounds good|great)[ .!,👍]*$")
-    return (plain != "") & ~greeting
+    """Whether a question is worth a search: words that ask for memory, else anything but a mere greeting; false for null and blank."""
+    plain = F.trim(F.coalesce(c, F.lit("")))
+    return (plain != "") & (plain.rlike(whole(MEMORY_WORDS)) | ~plain.rlike(rf"(?i)^(?:{GREETINGS})[!?.]*$"))
 
 
-def transient(c: Column, words: list[str] = TRANSIENT_WORDS, allow_temporal: bool = False) -> Column:
+def transient(c: Column, words: str = TRANSIENT_WORDS, allow_temporal: bool = False) -> Column:
     """States of the moment: percentages and clock times, and unless allowed words such as now and today."""
-    hit = c.rlike(r"[0-9]+ ?%") | c.rlike(r"(^|[^0-9])[0-2]?[0-9]:[0-5][0-9]([^0-9]|$)")
-    return F.coalesce(hit if allow_temporal else hit | c.rlike(_any(words)), F.lit(False))
+    hit = c.rlike(rf"(?:^|{_EDGE})[0-9]{{1,3}}\s*%[\p{{L}}\p{{N}}_]") | c.rlike(whole("percent")) | c.rlike(whole(r"[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?"))
+    return F.coalesce(hit if allow_temporal else hit | c.rlike(whole(words)), F.lit(False))
 
 
 SECRET = r"(?i)(password|passwd|secret|token|api[_-]?key)\s*(=|:|is)\s*[A-Za-z0-9+/_.-]{6,}|sk-[A-Za-z0-9]{16,}|://[^/ :@]+:[^/ @]+@"
@@ -103,56 +140,66 @@ def has_secret(c: Column) -> Column:
     return F.coalesce(c.rlike(SECRET), F.lit(False))
 
 
+def _classed(t: Column, classes: list[tuple[str, str]], otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for name, words in reversed(classes):
+        out = F.when(t.rlike(whole(words)), name).otherwise(out)
+    return out
+
+
 def statement_kind(c: Column) -> Column:
-    """question, instruction, correction, preference, event, state or note, by the first rule that holds."""
-    t = F.lower(F.trim(c))
-    return (
-        F.when(t.rlike(r"\?[\"')]*$"), "question").when(t.rlike(r"^(please|keep|note|remember|mention)[ ,:]"), "instruction")
-        .when(t.rlike(r"(^|[^a-z])(actually|correction|instead of|no longer)([^a-z]|$)"), "correction").when(t.rlike(r"(^|[^a-z])(prefers?|likes?|favou?rs?)([^a-z]|$)"), "preference")
-        .when(t.rlike(r"^(on|every) (monday|tuesday|wednesday|thursday|friday|saturday|sunday)|^we [a-z]+ed "), "event").when(t.rlike(r"(^|[^a-z])(is|are|was|were|has|have)([^a-z]|$)"), "state").otherwise("note")
-    )
+    """correction, abandoned, unresolved, conflict, decision or proposal, by the first that holds, else discussion."""
+    return _classed(F.coalesce(c, F.lit("")), STATEMENT_KINDS, "discussion")
 
 
 def query_archetype(c: Column) -> Column:
-    """Kind of a question, by the first rule that holds; unknown for null and blank."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return (
-        F.when(t == "", "unknown").when(t.rlike(r"^(when|what time|how long)[^a-z]"), "temporal").when(t.rlike(r"^where[^a-z]"), "location").when(t.rlike(r"^who[^a-z]"), "person")
-        .when(t.rlike(r"^(why|how)[^a-z]"), "explanation").when(t.rlike(r"^(which|what)[^a-z]"), "selection").when(t.rlike(r"^(did|does|do|is|are|was|were|has|have)[^a-z]"), "confirmation")
-        .when(t.rlike(r"^(can|could|would|please)[^a-z]"), "request").otherwise("general_recall")
-    )
+    """Kind of a question, by the first class that holds; unknown for null, blank and all else."""
+    return _classed(F.coalesce(c, F.lit("")), ARCHETYPES, "unknown")
 
 
 def visibility_guess(c: Column) -> Column:
-    """fleet before shared before private, by words of each."""
-    t = F.lower(c)
-    return F.when(t.rlike(r"(^|[^a-z])(everyone|all agents|company|fleet|public)([^a-z]|$)"), "fleet").when(t.rlike(r"(^|[^a-z])(team|shared|together|household|project)([^a-z]|$)"), "shared").otherwise("private")
+    """fleet before shared before private, by parts of words."""
+    out = F.lit("private")
+    for name, words in reversed(SCOPE_WORDS):
+        out = F.when(F.lower(c).rlike(words), name).otherwise(out)
+    return out
 
 
 def claim_parts(subject: Column, c: Column) -> Column:
-    """struct(predicate, object) of a statement about the subject; another statement is (states, text)."""
-    body = F.trim(F.when(F.startswith(F.lower(c), F.lower(subject)), F.substring(c, F.length(subject) + 1, F.length(c))).otherwise(c))
-    body = F.trim(F.regexp_replace(body, r"(?i)^(now|currently|still) ", ""))
-    body = F.rtrim(F.regexp_replace(body, r"[.!]+$", ""))
-    out = F.struct(F.lit("states").alias("predicate"), body.alias("object"))
-    for verb, name in reversed(VERBS):
-        out = F.when(F.startswith(F.lower(body), F.lit(verb + " ")), F.struct(F.lit(name).alias("predicate"), F.trim(F.substring(body, len(verb) + 1, 100_000)).alias("object"))).otherwise(out)
-    return out
+    """struct(predicate, object) of a statement about the subject, by a few verbs; any other statement is (states, text)."""
+    body = F.rtrim(F.regexp_replace(F.trim(c), r"[.?!]+$", ""))
+    own = F.startswith(F.lower(body), F.lower(subject)) & (F.length(subject) > 0) & F.substring(body, F.length(subject) + 1, F.lit(1)).rlike(r"\s")
+    rest = F.when(own, F.regexp_replace(F.substring(body, F.length(subject) + 1, F.length(body)), r"^\s+", "")).otherwise(body)
+    rest = F.regexp_replace(rest, r"(?i)^(?:now|currently|still)\s+", "")
+    pattern = rf"(?i)^({CLAIM_VERBS})\s+([^\n]+)\z"
+    verb = F.regexp_replace(F.lower(F.regexp_extract(rest, pattern, 1)), r"\s+", "_")
+    return F.when((rest != body) & (verb != ""), F.struct(verb.alias("predicate"), F.trim(F.regexp_extract(rest, pattern, 2)).alias("object"))).otherwise(F.struct(F.lit("states").alias("predicate"), body.alias("object")))
+
+
+def claim_value(c: Column) -> Column:
+    """A subject, predicate or object in its comparable form."""
+    return F.regexp_replace(F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(" .!?"))), r"\s+", " ")
+
+
+def said_words(c: Column) -> Column:
+    """Words between white space, lower-cased, without outer punctuation; null gives an empty array."""
+    return F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\r\n\f\x0b]+"), lambda w: w != ""), lambda w: F.btrim(F.lower(w), F.lit(".,!?;:\"'()[]")))
 
 
 def contradicts(a: Column, b: Column) -> Column:
-    """Two token arrays with words in common that share all but one word of the smaller and differ in the number of negations, or hold the two sides of an antonym in otherwise like words."""
-    shared, small = F.size(F.array_intersect(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    """Two word arrays (``said_words``): unlike numbers of negations and all but one of the other words of the smaller in common, or the two
+    sides of an antonym and all but two."""
+    plain = lambda t: F.filter(F.array_distinct(t), lambda w: ~w.isin(*NEGATIONS))
     count = lambda t: F.size(F.filter(t, lambda w: w.isin(*NEGATIONS)))
-    flip = ((count(a) % 2) != (count(b) % 2)) & (shared >= small - 1)
-    has = lambda t, w: F.array_contains(t, w)
+    shared, small = F.size(F.array_intersect(plain(a), plain(b))), F.least(F.size(plain(a)), F.size(plain(b)))
+    flip = (count(a) != count(b)) & (shared >= 1) & (shared >= small - 1)
     anti = F.lit(False)
     for x, y in ANTONYMS:
-        anti = anti | (has(a, x) & ~has(a, y) & has(b, y) & ~has(b, x)) | (has(a, y) & ~has(a, x) & has(b, x) & ~has(b, y))
-    return (shared >= 1) & (flip | (anti & (shared >= F.greatest(F.lit(1), small - 2))))
+        anti = anti | (F.array_contains(a, x) & F.array_contains(b, y)) | (F.array_contains(a, y) & F.array_contains(b, x))
+    return flip | (anti & (shared >= F.greatest(F.lit(1), small - 2)))
 
 
-def excerpt(c: Column, term: Column, around: int = 40) -> Column:
+def excerpt(c: Column, term: Column, around: int = 1000) -> Column:
     """The stretch around the first place of the term, else the head; place and term are compared in lower case."""
     at = F.instr(F.lower(c), term)
     return F.substring(c, F.greatest(F.lit(1), at - around), F.lit(2 * around + 1))

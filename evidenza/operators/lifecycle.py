@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidenza.functions import text
+from evidenza.functions import scoring, text
 from evidenza.runtime import cut
 
 
@@ -18,24 +20,25 @@ def _kept_links(memories: DataFrame, links: DataFrame, most: int) -> DataFrame:
 def contradictions(memories: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b): memories of one agent that share any entity and whose statements contradict one another.
 
-    Candidates meet by words, not by entities, so a hot entity makes no hot group, and exactly: a contradiction misses at
-    most one word of the smaller statement (negations), or one beside its own side of the antonym, so one of its two,
-    or of its three rarest words is in the other. Only statements that differ in negations or hold the two sides of
+    Candidates meet by words, not by entities, so a hot entity makes no hot group, and exactly: but for negations, a
+    contradiction misses at most one word of the smaller statement, or two beside an antonym, so one of its two or three
+    rarest words is in the other. Only statements that may differ in negations or hold the two sides of
     an antonym meet at all, equal statements of an agent count once, and the entities are compared at the end.
     """
-    linked = memories.join(links.select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "agent", text.tokens(F.col("content")).alias("t")).where((F.size("t") > 0) & F.col("agent").isNotNull())
+    linked = memories.join(links.select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "agent", text.said_words(F.col("content")).alias("t")).where((F.size("t") > 0) & F.col("agent").isNotNull())
     said = cut(linked.groupBy("agent", "t").agg(F.min("id").alias("s")))
-    # a way to contradict is named own/other, and meets other/own; # is no sign of a word
-    negated = F.size(F.filter("t", lambda w: w.isin(*text.NEGATIONS))) % 2 == 1
-    holds = lambda x, y: F.when(F.array_contains("t", x) & ~F.array_contains("t", y), f"{x}/{y}").when(F.array_contains("t", y) & ~F.array_contains("t", x), f"{y}/{x}")
-    ways = F.array_compact(F.array(F.when(negated, "#1/#0").otherwise("#0/#1"), *[holds(x, y) for x, y in text.ANTONYMS]))
-    words = said.select("s", "agent", F.size(F.array_distinct("t")).alias("n"), ways.alias("ways"), F.explode(F.array_distinct("t")).alias("w"))
+    # what a statement shows, and what it must meet: no negation or some, and a side of an antonym
+    negated = F.exists("t", lambda w: w.isin(*text.NEGATIONS))
+    sides = [(x, y) for p in text.ANTONYMS for x, y in (p, p[::-1])]
+    shows = F.array_compact(F.array(F.when(negated, "#some").otherwise("#none"), *[F.when(F.array_contains("t", x), x) for x in sorted({x for x, _ in sides})]))
+    meets = F.array_compact(F.array(F.lit("#some"), F.when(negated, "#none"), *[F.when(F.array_contains("t", x), y) for x, y in sides]))
+    plain = F.filter(F.array_distinct("t"), lambda w: ~w.isin(*text.NEGATIONS))
+    words = said.select("s", "agent", F.size(plain).alias("n"), shows.alias("shows"), meets.alias("meets"), F.explode(plain).alias("w"))
     often = words.groupBy("agent", "w").agg(F.count("*").alias("often"))
     rare = words.join(often, ["agent", "w"]).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("often", "w"))).where("r <= 3")
-    own, other = F.split_part("way", F.lit("/"), F.lit(1)), F.split_part("way", F.lit("/"), F.lit(2))
-    x = rare.select("s", "agent", "n", "w", "r", F.explode("ways").alias("way")).where(((F.col("r") <= 2) | ~F.startswith("way", F.lit("#"))) & (F.col("w") != own)).select("agent", "w", "way", F.col("s").alias("x"), F.col("n").alias("nx"))
-    y = words.select("agent", "w", "s", "n", F.explode("ways").alias("way")).select("agent", "w", F.concat(other, F.lit("/"), own).alias("way"), F.col("s").alias("y"), F.col("n").alias("ny"))
-    met = x.join(y, ["agent", "w", "way"]).where(F.col("nx") <= F.col("ny")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    x = rare.select("s", "agent", "n", "w", "r", F.explode(F.array_distinct("meets")).alias("way")).where((F.col("r") <= 2) | ~F.startswith("way", F.lit("#"))).select("agent", "w", "way", F.col("s").alias("x"), F.col("n").alias("nx"))
+    y = words.select("agent", "w", F.explode("shows").alias("way"), F.col("s").alias("y"), F.col("n").alias("ny"))
+    met = x.join(y, ["agent", "w", "way"]).where((F.col("nx") <= F.col("ny")) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     of = lambda c: said.select(F.col("s").alias(c), F.col("t").alias(f"t{c}"))
     pairs = met.join(of("x"), "x").join(of("y"), "y").where(text.contradicts(F.col("tx"), F.col("ty"))).select("x", "y")
     of = lambda c, i: linked.join(said, ["agent", "t"]).select("id", F.col("s").alias(c)).join(links.select(F.col("memory_id").alias("id"), "entity_id"), "id").select(c, "entity_id", F.col("id").alias(i))
@@ -44,16 +47,25 @@ def contradictions(memories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def corroborated(memories: DataFrame, links: DataFrame, most: int = 5, step: float = 0.05, cap: float = 0.95) -> DataFrame:
-    """(id, n_corroborating, boosted): for each memory the number of its first entities that other memories share, and its raised trust.
+    """(id, n_raises, boosted): each memory's trust once all have been stored in order of (created_at, id).
 
-    Whether an entity is shared comes from its count, so a hot entity is counted, not joined with itself.
+    A memory that is stored raises, once each, the earlier memories of its agent that share one of its first ``most`` entities,
+    and itself once if there are any. Raises beyond those that lead from 0 to the cap change nothing, so of each entity only
+    so many of the newest first-linked memories are looked at, and a hot entity makes no group of pairs.
     """
-    kept = _kept_links(memories, links, most)
-    n = kept.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1").select("entity_id", F.lit(1).alias("shared"))
-    per = kept.join(n, "entity_id", "left").groupBy(F.col("memory_id").alias("id")).agg(F.count("shared").alias("n_corroborating"))
-    rows = memories.select("id", F.coalesce("trust", F.lit(0.5)).alias("t")).join(per, "id", "left")
-    k = F.coalesce("n_corroborating", F.lit(0))
-    return rows.select("id", k.alias("n_corroborating"), F.when(k > 0, F.greatest(F.col("t"), F.least(F.lit(cap), F.col("t") + step * k))).otherwise(F.col("t")).alias("boosted"))
+    enough = math.ceil(cap / step)
+    at = F.struct(F.coalesce(F.unix_micros("created_at"), F.lit(0)).alias("t"), F.col("id"))
+    m = memories.select("id", "agent", at.alias("at"))
+    named = lambda df: df.join(m.withColumnRenamed("id", "memory_id"), "memory_id")
+    linked, firsts = named(links.select("memory_id", "entity_id").distinct()), named(_kept_links(memories, links, most))
+    newest = firsts.withColumn("r", F.row_number().over(Window.partitionBy("agent", "entity_id").orderBy(F.desc("at")))).where(F.col("r") <= enough)
+    later = linked.join(newest.select("agent", "entity_id", F.col("at").alias("by_at"), F.col("memory_id").alias("by")), ["agent", "entity_id"]).where(F.col("by_at") > F.col("at"))
+    later = later.groupBy(F.col("memory_id").alias("id")).agg(F.least(F.countDistinct("by"), F.lit(enough)).alias("later"))
+    oldest = linked.groupBy("agent", "entity_id").agg(F.min("at").alias("oldest"))
+    own = firsts.join(oldest, ["agent", "entity_id"]).groupBy(F.col("memory_id").alias("id")).agg(F.max(F.col("oldest") < F.col("at")).cast("int").alias("own"))
+    rows = memories.select("id", scoring.or_half(F.col("trust")).alias("t")).join(later, "id", "left").join(own, "id", "left")
+    k = F.least(F.coalesce("later", F.lit(0)) + F.coalesce("own", F.lit(0)), F.lit(enough)).cast("bigint")
+    return rows.select("id", k.alias("n_raises"), F.when(k > 0, F.least(F.lit(cap), F.col("t") + step * k)).otherwise(F.col("t")).alias("boosted"))
 
 
 def new_only(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:

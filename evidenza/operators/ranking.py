@@ -22,9 +22,10 @@ def duplicate_penalty(df: DataFrame, by: list[str], content: str, order: list, p
 
 
 def signal(trust: Column, confidence: Column, verified: Column, seen: Column, source: Column) -> Column:
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    """The quality of evidence in 0 to 1; missing trust and confidence count 0.5. The weights are fixed values."""
     corroborated = F.least(F.lit(1.0), (F.greatest(F.coalesce(seen, F.lit(1)), F.lit(1)) - 1) / 4)
-    return 0.35 * zero(trust) + 0.30 * zero(confidence) + 0.15 * F.when(verified, 1.0).otherwise(0.0) + 0.10 * corroborated + 0.10 * scoring.lookup(scoring.AUTHORITY, source, 0.65)
+    out = 0.35 * scoring.or_half(trust) + 0.30 * scoring.or_half(confidence) + 0.15 * F.when(verified, 1.0).otherwise(0.0) + 0.10 * corroborated + 0.10 * scoring.lookup(scoring.AUTHORITY, source, 0.65)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out))
 
 
 def applicability(status: Column, valid: Column | None = None, condition: Column | None = None) -> Column:

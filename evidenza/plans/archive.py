@@ -150,7 +150,7 @@ def signal_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receipt_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
-    return feedback.closed_receipts(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", 3600)
+    return feedback.closed_receipts(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id")
 
 
 def retention_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +330,7 @@ ORACLE = {
     "round_robin_sample": _SEEN.replace("AND session_id IS NOT NULL)", "AND session_id IS NOT NULL AND timestamp IS NOT NULL)") + " SELECT v.session_id, id, n AS turn FROM v JOIN (SELECT session_id, min(timestamp) AS began FROM v GROUP BY 1) f USING (session_id) ORDER BY n, began, v.session_id LIMIT 80",
     "history_terms_search": _SEEN.replace(" AND session_id IS NOT NULL)", ")") + f" SELECT session_id, id FROM v WHERE {_HAS}",
     "matching_sessions": _SEEN.replace(" AND session_id IS NOT NULL)", ")") + f" SELECT session_id, min(id) AS first_id, count(*) AS n FROM v WHERE {_HAS} GROUP BY 1",
-    "excerpt_window": "SELECT doc_id, md5(substring(text, greatest(1, instr(lower(text), 'lantern') - 40)::BIGINT, 81)) AS excerpt_md5 FROM documents WHERE contains(lower(text), 'lantern')",
+    "excerpt_window": "SELECT doc_id, md5(substring(text, greatest(1, instr(lower(text), 'lantern') - 1000)::BIGINT, 2001)) AS excerpt_md5 FROM documents WHERE contains(lower(text), 'lantern')",
     "session_version_digest": _SEEN + """, p AS (SELECT session_id, count(*) AS n, max(id) AS last, sum(('0x' || sha256(id || '|' || coalesce(role, '') || '|' || coalesce(content, ''))[1:12])::HUGEINT) AS mark FROM v GROUP BY 1)
       SELECT session_id, n, sha256(n || '|' || last || '|' || mark) AS version FROM p""",
     "unextracted_turns": MEM + f", {TURN_CTE} SELECT id, extraction_status FROM t WHERE coalesce(extraction_status, '') <> 'done' AND id::VARCHAR NOT IN (SELECT source_id FROM m WHERE source_id IS NOT NULL)",
@@ -341,7 +341,7 @@ ORACLE = {
     "pair_synergy": f"""WITH {SIG_CTE}, p AS (SELECT *, lead(memory_id) OVER (PARTITION BY user_id ORDER BY created_at, id) AS nx FROM g), q AS (SELECT least(memory_id, nx) AS a, greatest(memory_id, nx) AS b, sum(CASE WHEN direction > 0 THEN weight ELSE 0 END) AS pos, sum(CASE WHEN direction < 0 THEN weight ELSE 0 END) AS neg
       FROM p WHERE nx IS NOT NULL AND nx <> memory_id GROUP BY 1, 2) SELECT a, b, round((pos - neg) / greatest(1, pos + neg), 6) AS synergy, round(1 - exp(-(pos + neg) / 6), 6) AS confidence FROM q""",
     "signal_daily_rollup": f"WITH {SIG_CTE} SELECT created_at::DATE AS day, agent, signal_type, count(*) AS n, round(sum(weight), 6) AS total, max(weight) AS top FROM g GROUP BY 1, 2, 3",
-    "receipt_close": "SELECT c.event_id AS closing_id, arg_max(o.event_id, (o.ts, o.event_id)) AS opened_id FROM events c JOIN events o ON c.user_id = o.user_id AND o.event_type = 'view' AND c.event_type = 'purchase' AND o.ts <= c.ts AND c.ts - o.ts <= INTERVAL 1 HOUR GROUP BY 1",
+    "receipt_close": "SELECT c.event_id AS closing_id, arg_max(o.event_id, (o.ts, o.event_id)) AS opened_id FROM events c JOIN events o ON c.user_id = o.user_id AND o.event_type = 'view' AND c.event_type = 'purchase' AND o.ts <= c.ts AND c.ts - o.ts <= INTERVAL 300 SECOND GROUP BY 1",
     "retention_newest": f"WITH {SIG_CTE} SELECT agent, id FROM (SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY created_at DESC, id DESC) AS r FROM g) WHERE r <= 50",
     "sampling_hash": "SELECT event_id FROM events WHERE ('0x' || sha256(event_id::VARCHAR)[1:13])::BIGINT / pow(16, 13) < 0.05",
     "retry_state_machine": """WITH l AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'claimed' ELSE 'enqueued' END AS e FROM events),

@@ -33,7 +33,7 @@ def quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quality_ranked(rows, "agent", "id", 20).select("agent", "id", F.round("quality", 6).alias("quality"), "rank")
 
 
-_AUTH = "CASE source WHEN 'manual' THEN 1.0 WHEN 'import' THEN 0.9 WHEN 'vault' THEN 0.85 WHEN 'conversation' THEN 0.8 WHEN 'hindsight' THEN 0.75 WHEN 'email' THEN 0.7 WHEN 'sensor' THEN 0.7 WHEN 'cron' THEN 0.65 WHEN 'dream' THEN 0.55 ELSE 0.65 END::DOUBLE"
+_AUTH = "CASE source WHEN 'manual' THEN 1.0 WHEN 'conversation' THEN 0.9 WHEN 'import' THEN 0.8 WHEN 'vault' THEN 0.85 WHEN 'hindsight' THEN 0.7 WHEN 'dream' THEN 0.55 WHEN 'cron' THEN 0.6 WHEN 'sensor' THEN 0.65 WHEN 'email' THEN 0.7 ELSE 0.65 END::DOUBLE"
 _LANE = MEM + f""", r AS (SELECT *, coalesce(confidence, 0) AS score FROM m WHERE content IS NOT NULL),
 n AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN 0.05 + 0.95 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) WHEN score > 0 THEN 1.0 ELSE 0.01 END::DOUBLE AS relevance,
   CASE WHEN row_number() OVER (PARTITION BY agent, {KEY('content')} ORDER BY score DESC, id) > 1 THEN 0.65 ELSE 1.0 END::DOUBLE AS diversity FROM r WINDOW w AS (PARTITION BY agent, type))"""
@@ -100,7 +100,7 @@ def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corroboration_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lifecycle.corroborated(tables.memories(spark, sf_dir).where("status = 'active'"), tables.links(spark, sf_dir))
-    return out.select("id", "n_corroborating", F.round("boosted", 6).alias("boosted"))
+    return out.select("id", "n_raises", F.round("boosted", 6).alias("boosted"))
 
 
 def trust_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +110,9 @@ def trust_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trust_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tables.memories(spark, sf_dir)
-    age = scoring.age_days(F.col("created_at"), tables.NOW)
-    return m.select("id", scoring.calibrated_trust(F.col("source"), F.col("verified"), F.col("seen_count"), age).alias("calibrated"))
+    m = tables.memories(spark, sf_dir).where("status = 'active'")
+    age = scoring.age_days(F.coalesce("updated_at", "created_at"), tables.NOW)
+    return m.select("id", scoring.calibrated_trust(F.col("source"), F.col("confidence"), F.col("verified"), age).alias("calibrated"))
 
 
 def trust_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,14 +164,20 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (lane_normalize, duplicate_penalty, quality_rank, best_per_content, claim_versions, active_claim_latest, claim_validity_asof, claim_conflict_class, reconcile_decision, reconcile_sequence, claim_group_winner, content_dedup_hash, seen_count_rollup, contradiction_pairs, corroboration_boost, trust_decay, trust_calibration, trust_histogram, transient_filter, secret_scan, statement_kind, archetype_classify, visibility_heuristic, claim_parts, token_estimates, greedy_budget_pack, context_pack)}
 
-_INITIAL = "CASE source WHEN 'import' THEN 0.9 WHEN 'manual' THEN 0.9 WHEN 'vault' THEN 0.8 WHEN 'hindsight' THEN 0.7 WHEN 'conversation' THEN 0.6 WHEN 'dream' THEN 0.6 ELSE 0.5 END::DOUBLE"
+_WHOLE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:%s)(?:[^\p{L}\p{N}_]|$)"
+
+
+def _classes(column: str, classes: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{_WHOLE % w}') THEN '{n}'" for n, w in classes) + f" ELSE '{otherwise}' END"
+
+
 _CLAIM = "WITH " + CLAIM_CTE
 _PACK = MEM + """, r AS (SELECT agent, id, greatest(1, ceil(len(content) / 3))::INT AS cost, row_number() OVER (PARTITION BY agent ORDER BY coalesce(confidence, 0) DESC, id) AS n FROM m WHERE content IS NOT NULL),"""
 ORACLE = {
     "lane_normalize": _LANE + " SELECT id, round(relevance, 6) AS relevance FROM n",
     "duplicate_penalty": _LANE + " SELECT id, diversity FROM n",
     "quality_rank": _LANE + f""", q AS (SELECT agent, id, relevance * diversity * CASE WHEN status IN ('superseded', 'historical') THEN 0.45 WHEN status IN ('contradicted', 'unresolved') THEN 0.85 ELSE 1.0 END
-      * (0.8 + 0.4 * (0.35 * coalesce(trust, 0) + 0.3 * coalesce(confidence, 0) + 0.15 * CASE WHEN verified THEN 1 ELSE 0 END + 0.1 * least(1.0, (greatest(coalesce(seen_count, 1), 1) - 1) / 4) + 0.1 * {_AUTH})) AS quality FROM n)
+      * (0.8 + 0.4 * (0.35 * coalesce(nullif(trust, 0), 0.5) + 0.3 * coalesce(nullif(confidence, 0), 0.5) + 0.15 * CASE WHEN verified THEN 1 ELSE 0 END + 0.1 * least(1.0, (greatest(coalesce(seen_count, 1), 1) - 1) / 4) + 0.1 * {_AUTH})) AS quality FROM n)
       SELECT agent, id, round(quality, 6) AS quality, rank FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY round(quality, 9) DESC, id) AS rank FROM q) WHERE rank <= 20""",
     "best_per_content": MEM + f" SELECT id, agent FROM (SELECT id, agent, row_number() OVER (PARTITION BY {KEY('content')} ORDER BY coalesce(confidence, 0) DESC, id) AS r FROM m WHERE content IS NOT NULL) WHERE r = 1",
     "claim_versions": _CLAIM + " SELECT id, row_number() OVER w AS version, coalesce(lag(object) OVER w <> object, true) AS changed, lead(observed_at) OVER w AS valid_to FROM c WINDOW w AS (PARTITION BY subject, predicate ORDER BY observed_at, id)",
@@ -193,22 +199,39 @@ ORACLE = {
     "seen_count_rollup": "SELECT id, count(*) AS n_rows, count(DISTINCT coalesce(epoch_us(updated_at), 0)) AS n_versions, max(seen_count) AS stated FROM memories WHERE id IS NOT NULL GROUP BY id",
     "trust_decay": MEM + f" SELECT id, round(greatest(CASE WHEN coalesce(trust, 0.5) > 0 THEN coalesce(trust, 0.5) * pow(0.5, {_AGE % 'coalesce(updated_at, created_at)'} / 30) ELSE 0 END, 0.3), 6) AS decayed FROM m WHERE status = 'active'",
     "trust_histogram": MEM + " SELECT round_even(trust, 1) AS bucket, count(*) AS n FROM m WHERE trust IS NOT NULL GROUP BY 1",
-    "transient_filter": MEM + r" SELECT id FROM m WHERE regexp_matches(content, '[0-9]+ ?%') OR regexp_matches(content, '(^|[^0-9])[0-2]?[0-9]:[0-5][0-9]([^0-9]|$)') OR regexp_matches(content, '(?i)(^|[^a-z0-9])(now|currently|today|tonight|right now|at the moment|this morning)([^a-z0-9]|$)')",
+    "transient_filter": MEM + r" SELECT id FROM m WHERE regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%[\p{L}\p{N}_]') OR regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)')"
+      + " OR regexp_matches(content, '" + _WHOLE % "percent|currently|now|is at|today|tonight|this morning|right now" + "')",
     "secret_scan": MEM + r" SELECT id FROM m WHERE regexp_matches(coalesce(content, '') || chr(10) || coalesce(metadata, ''), '(?i)(password|passwd|secret|token|api[_-]?key)\s*(=|:|is)\s*[A-Za-z0-9+/_.-]{6,}|sk-[A-Za-z0-9]{16,}|://[^/ :@]+:[^/ @]+@')",
-    "statement_kind": MEM + r""" SELECT CASE WHEN regexp_matches(x, '\?["'')]*$') THEN 'question' WHEN regexp_matches(x, '^(please|keep|note|remember|mention)[ ,:]') THEN 'instruction' WHEN regexp_matches(x, '(^|[^a-z])(actually|correction|instead of|no longer)([^a-z]|$)') THEN 'correction'
-      WHEN regexp_matches(x, '(^|[^a-z])(prefers?|likes?|favou?rs?)([^a-z]|$)') THEN 'preference' WHEN regexp_matches(x, '^(on|every) (monday|tuesday|wednesday|thursday|friday|saturday|sunday)|^we [a-z]+ed ') THEN 'event'
-      WHEN regexp_matches(x, '(^|[^a-z])(is|are|was|were|has|have)([^a-z]|$)') THEN 'state' ELSE 'note' END AS kind, type, count(*) AS n FROM (SELECT lower(trim(content)) AS x, type FROM m) GROUP BY 1, 2""",
-    "archetype_classify": r"""SELECT id, CASE WHEN x = '' THEN 'unknown' WHEN regexp_matches(x, '^(when|what time|how long)[^a-z]') THEN 'temporal' WHEN regexp_matches(x, '^where[^a-z]') THEN 'location' WHEN regexp_matches(x, '^who[^a-z]') THEN 'person'
-      WHEN regexp_matches(x, '^(why|how)[^a-z]') THEN 'explanation' WHEN regexp_matches(x, '^(which|what)[^a-z]') THEN 'selection' WHEN regexp_matches(x, '^(did|does|do|is|are|was|were|has|have)[^a-z]') THEN 'confirmation' WHEN regexp_matches(x, '^(can|could|would|please)[^a-z]') THEN 'request' ELSE 'general_recall' END AS archetype,
-      x <> '' AND NOT regexp_matches(x, '^(hi|hello|hey|thanks|thank you|ok|okay|ok thanks|yes please|got it|sounds good|great)[ .!,👍]*$') AS needs_memory FROM (SELECT id, lower(trim(coalesce(any_value(user_text), ''), ' ')) AS x FROM turns WHERE id IS NOT NULL GROUP BY id)""",
-    "visibility_heuristic": MEM + r" SELECT id, CASE WHEN regexp_matches(lower(content), '(^|[^a-z])(everyone|all agents|company|fleet|public)([^a-z]|$)') THEN 'fleet' WHEN regexp_matches(lower(content), '(^|[^a-z])(team|shared|together|household|project)([^a-z]|$)') THEN 'shared' ELSE 'private' END AS guess FROM m WHERE content IS NOT NULL",
+    "statement_kind": MEM + " SELECT " + _classes("coalesce(content, '')", [("correction", r"correct(?:ion|ed)?|actually|not\s+[\p{L}\p{N}_]+\s+but|wrong"), ("abandoned", "abandon(?:ed|ing)?|withdrawn|dropped|rejected|no longer"), ("unresolved", "unresolved|open question|still need to decide|undecided|tbd"),
+      ("conflict", "conflict|contradict(?:ion|s|ory)?|disagree|both options"), ("decision", "decid(?:e|ed|ing)|agreed|selected|adopted|we will|choose|chosen"), ("proposal", "propos(?:e|ed|al)|suggest(?:ed|ion)?|could|might|should")], "discussion") + " AS kind, type, count(*) AS n FROM m GROUP BY 1, 2",
+    "archetype_classify": "SELECT id, " + _classes("x", [("historical", r"when|before|previously|used to|historical|history|at that time|last time|in [0-9]{4}|[0-9]{4}-[01][0-9]-[0-3][0-9]"), ("document_lookup", "file|document|note|vault|markdown|folder|path"),
+      ("troubleshooting", "error|failure|broken|bug|issue|traceback|exception|doesn''t work|not working"), ("preference", "prefer|preference|like|likes|favorite|favourite|usually"), ("project_state", "status|state|progress|milestone|todo|blocked|project"), ("delegation", "delegate|delegated|subagent|hand off|child task"),
+      ("procedure", "how do|how to|configure|setup|install|steps|procedure"), ("person_or_entity", "who is|person|user|team|colleague|friend|owner"), ("general_recall", "remember|recall|what did|tell me|according to")], "unknown")
+      + " AS archetype, x <> '' AND (regexp_matches(x, '" + _WHOLE % "remember|recall|did we|do we|what did|what do|decide|decided|status of|last time|previously|before|earlier|who is|what is|where is|how many|which|configure|setup|preference|prefers|policy|policies"
+      + "') OR NOT regexp_matches(x, '(?i)^(?:hey|hi|hello|yo|sup|howdy|thanks|thank you|ok|okay|sure|yes|no|cool|nice|got it|bye|good night|how are you|how''s it going|what''s up|whats up)[!?.]*$')) AS needs_memory FROM (SELECT id, trim(coalesce(any_value(user_text), ''), ' ') AS x FROM turns WHERE id IS NOT NULL GROUP BY id)",
+    "visibility_heuristic": MEM + " SELECT id, CASE WHEN regexp_matches(lower(content), 'timezone|name|email|prefers|hates|wants|language|region|location') THEN 'fleet' WHEN regexp_matches(lower(content), 'project|repo|hardware|server|network|decision|agreed|plan|build') THEN 'shared' ELSE 'private' END AS guess FROM m WHERE content IS NOT NULL",
     "token_estimates": "SELECT doc_id, greatest(1, ceil(len(text) / 3))::INT AS n, CASE WHEN greatest(1, ceil(len(text) / 3)) <= 50 THEN len(text) ELSE len(rtrim(substring(text, 1, 149), ' ')) + 1 END AS fitted, CASE WHEN len(text) <= 200 THEN len(text) ELSE 200 END AS head_tail FROM documents WHERE text IS NOT NULL",
     "greedy_budget_pack": "WITH RECURSIVE " + _PACK[len("WITH "):] + """ f AS (SELECT agent, n, id, cost, CASE WHEN cost <= 400 THEN cost ELSE 0 END AS used, cost <= 400 AS kept FROM r WHERE n = 1
       UNION ALL SELECT r.agent, r.n, r.id, r.cost, f.used + CASE WHEN f.used + r.cost <= 400 THEN r.cost ELSE 0 END, f.used + r.cost <= 400 FROM f JOIN r ON r.agent = f.agent AND r.n = f.n + 1 WHERE r.n <= 60)
       SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY n) AS position, cost FROM f WHERE kept""",
-    "corroboration_boost": MEM + """, """ + LINK_CTE + """, k AS (SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY memory_id ORDER BY entity_id) AS r FROM l JOIN m ON m.id = l.memory_id AND m.status = 'active') WHERE r <= 5),
-      e AS (SELECT entity_id FROM k GROUP BY 1 HAVING count(*) > 1), n AS (SELECT memory_id, count(*) FILTER (WHERE entity_id IN (SELECT entity_id FROM e)) AS n FROM k GROUP BY 1)
-      SELECT m.id, coalesce(n.n, 0) AS n_corroborating, round(CASE WHEN n.n > 0 THEN greatest(coalesce(trust, 0.5), least(0.95, coalesce(trust, 0.5) + 0.05 * n.n)) ELSE coalesce(trust, 0.5) END, 6) AS boosted FROM m LEFT JOIN n ON n.memory_id = m.id WHERE status = 'active'""",
-    "trust_calibration": MEM + f""", a AS (SELECT *, {_AGE % 'created_at'} AS age FROM m) SELECT id, round_even(least(0.95::DOUBLE, {_INITIAL} + CASE WHEN verified THEN 0.1 ELSE 0.0 END::DOUBLE + least(0.1::DOUBLE, 0.02::DOUBLE * (coalesce(seen_count, 1) - 1))
-      + CASE WHEN source = 'manual' THEN 0.1 ELSE 0.0 END::DOUBLE + CASE WHEN age < 1 THEN 0.05 WHEN age < 7 THEN 0.03 WHEN age < 30 THEN 0.01 ELSE 0.0 END::DOUBLE), 2) AS calibrated FROM a""",
+    "corroboration_boost": MEM + """, """ + LINK_CTE + """, a AS (SELECT id, agent, coalesce(nullif(trust, 0), 0.5) AS t, {'t': coalesce(epoch_us(created_at), 0), 'id': id} AS at FROM m WHERE status = 'active'),
+      k AS (SELECT l.memory_id, l.entity_id, a.agent, a.at, row_number() OVER (PARTITION BY memory_id ORDER BY entity_id) AS r FROM l JOIN a ON a.id = l.memory_id),
+      n AS (SELECT x.memory_id AS id, count(DISTINCT y.memory_id) AS n FROM k x JOIN k y ON x.agent = y.agent AND x.entity_id = y.entity_id AND y.r <= 5 AND y.at > x.at GROUP BY 1),
+      o AS (SELECT DISTINCT y.memory_id AS id FROM k x JOIN k y ON x.agent = y.agent AND x.entity_id = y.entity_id AND y.r <= 5 AND y.at > x.at)
+      SELECT id, k AS n_raises, round(CASE WHEN k > 0 THEN least(0.95, t + 0.05 * k) ELSE t END, 6) AS boosted FROM (SELECT a.id, a.t, least(19, coalesce(n.n, 0) + CASE WHEN o.id IS NULL THEN 0 ELSE 1 END) AS k FROM a LEFT JOIN n ON n.id = a.id LEFT JOIN o ON o.id = a.id)""",
+    "trust_calibration": MEM + f""", a AS (SELECT *, {_AGE % 'coalesce(updated_at, created_at)'} AS age FROM m WHERE status = 'active') SELECT id, round_even(least(0.95::DOUBLE, coalesce(nullif(confidence, 0), 0.5)
+      + CASE source WHEN 'vault' THEN 0.15 WHEN 'import' THEN 0.05 WHEN 'manual' THEN 0.10 WHEN 'hindsight' THEN -0.05 ELSE 0.0 END::DOUBLE + CASE WHEN verified THEN 0.1 ELSE 0.0 END::DOUBLE
+      + CASE WHEN age < 1 THEN 0.05 WHEN age < 7 THEN 0.03 WHEN age < 30 THEN 0.01 ELSE 0.0 END::DOUBLE), 2) AS calibrated FROM a""",
+    "contradiction_pairs": MEM + f", {LINK_CTE}" + r""", t AS (SELECT id, agent, list_transform(list_filter(regexp_split_to_array(content, '[ \t\r\n\f\x0b]+'), lambda x: x <> ''), lambda x: trim(lower(x), '.,!?;:"''()[]')) AS t FROM m WHERE status = 'active' AND content IS NOT NULL),
+      w AS (SELECT id, agent, t, list_distinct(list_filter(t, lambda x: NOT list_contains(@NEG, x))) AS p, len(list_filter(t, lambda x: list_contains(@NEG, x))) AS n FROM t),
+      c AS (SELECT DISTINCT x.memory_id AS a, y.memory_id AS b FROM l x JOIN l y ON x.entity_id = y.entity_id AND x.memory_id < y.memory_id),
+      s AS (SELECT a, b, x.t AS ta, y.t AS tb, x.n AS na, y.n AS nb, len(list_intersect(x.p, y.p)) AS both_, least(len(x.p), len(y.p)) AS small FROM c JOIN w x ON x.id = a JOIN w y ON y.id = b AND x.agent = y.agent)
+      SELECT a, b FROM s WHERE (na <> nb AND both_ >= 1 AND both_ >= small - 1) OR (both_ >= greatest(1, small - 2) AND len(list_filter(@ANT, lambda p: (list_contains(ta, p[1]) AND list_contains(tb, p[2])) OR (list_contains(ta, p[2]) AND list_contains(tb, p[1])))) > 0)"""
+    .replace("@NEG", "['not','no','never','none','n''t','cannot','cant','without','isn''t','wasn''t','aren''t','weren''t','don''t','doesn''t','didn''t','won''t','wouldn''t','shouldn''t','couldn''t','isn','wasn','aren']")
+    .replace("@ANT", "[['on','off'],['online','offline'],['up','down'],['open','closed'],['enabled','disabled'],['yes','no'],['true','false'],['active','inactive'],['private','shared'],['light','dark'],['start','stop'],['allow','block'],['accept','reject'],['pass','fail']]"),
+    "claim_parts": MEM + r""", c AS (SELECT id, split_part(content, ' ', 1) AS s, rtrim(regexp_replace(trim(content, ' '), '[.?!]+$', ''), ' ') AS b FROM m WHERE content IS NOT NULL),
+      o AS (SELECT *, CASE WHEN starts_with(lower(b), lower(s)) AND len(s) > 0 AND regexp_matches(substring(b, len(s) + 1, 1), '\s') THEN regexp_replace(substring(b, len(s) + 1), '^\s+', '') ELSE b END AS r0 FROM c),
+      r AS (SELECT *, regexp_replace(r0, '(?i)^(?:now|currently|still)\s+', '') AS r FROM o),
+      v AS (SELECT *, CASE WHEN r <> b THEN regexp_replace(lower(regexp_extract(r, @P, 1)), '\s+', '_', 'g') ELSE '' END AS v FROM r)
+      SELECT id, CASE WHEN v <> '' THEN v ELSE 'states' END AS predicate, md5(CASE WHEN v <> '' THEN trim(regexp_extract(r, @P, 2), ' ') ELSE b END) AS object_md5 FROM v""".replace("@P", r"'(?i)^(prefers?|likes?|uses?|works on|owns?|lives in|is named)\s+([^\n]+)\z'"),
 }

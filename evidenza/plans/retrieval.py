@@ -146,8 +146,7 @@ ORACLE = {
     "locked_mask": r"""SELECT doc_id, locked, md5(CASE WHEN locked AND agent IS DISTINCT FROM 'agent-1' THEN '[locked]' ELSE text END) AS shown_md5 FROM (
       SELECT *, coalesce(regexp_matches(nullif(regexp_extract(text, '^---[ \t]*\r?\n([\s\S]*?)\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|$)', 1), ''), '(?m)^locked:[ \t]*true'), false) AS locked FROM documents WHERE text IS NOT NULL)""",
     "authorize_candidates": MEM + " SELECT id, agent, visibility, status FROM m WHERE id IN (SELECT memory_id FROM memory_vectors) AND status = 'active' AND (agent = 'agent-2' OR visibility = 'shared')",
-    "historical_status": r"""SELECT id, h AS historical, CASE WHEN h THEN 'active,superseded' ELSE 'active' END AS statuses FROM (SELECT id, coalesce(regexp_matches(any_value(user_text), '(?i)(^|[^a-z0-9])(history|historical|previously|formerly|used to|back then|in the past|originally|earlier)([^a-z0-9]|$)')
-      OR regexp_matches(any_value(user_text), '20[0-9]{2}-[0-9]{2}-[0-9]{2}'), false) AS h FROM turns WHERE id IS NOT NULL GROUP BY id)""",
+    "historical_status": r"""SELECT id, h AS historical, CASE WHEN h THEN 'active,superseded' ELSE 'active' END AS statuses FROM (SELECT id, coalesce(regexp_matches(any_value(user_text), '(?i)(?:^|[^\p{L}\p{N}_])(?:when|then|before|previously|used to|historical|history|at that time|20[0-9]{2}-[01][0-9]-[0-3][0-9])(?:[^\p{L}\p{N}_]|$)'), false) AS h FROM turns WHERE id IS NOT NULL GROUP BY id)""",
     "active_by_agent": MEM + " SELECT agent, id, rank FROM (SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY created_at DESC, id) AS rank FROM m WHERE status = 'active' AND created_at IS NOT NULL) WHERE rank <= 10",
     "missing_embeddings": MEM + f" SELECT id, status FROM m WHERE id NOT IN (SELECT memory_id FROM memory_vectors WHERE memory_id IS NOT NULL AND {_GOOD})",
     "hash_embedding": f"""SELECT id, sum(n)::BIGINT AS n_words, round(sqrt(sum(n * n)), 6) AS norm, max(pos) AS last_at FROM (SELECT id, (('0x' || sha256(w)[1:4])::INT % 16) AS pos, count(*) AS n FROM (SELECT id, unnest({TOKENS('name')}) AS w FROM entities) GROUP BY 1, 2) GROUP BY id""",
