@@ -58,14 +58,38 @@ def test_similar_vectors(spark):
 
 def test_similar_vectors_recall_with_blocks(spark, monkeypatch):
     """With stretches far shorter than the arrays, so that candidates come from the forest."""
-    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "PLACES", 256)
     monkeypatch.setattr(vectors, "REACH", 128)
     r = np.random.default_rng(2)
     centres = r.standard_normal((300, 32))
     rows = [(f"m{i:05d}", "x", [float(v) for v in centres[i % 300] + 0.3 * r.standard_normal(32)], 32, "") for i in range(4000)]
-    got = {(g["grp"], g["id"], g["other"]) for g in vectors.similar_vectors(spark.createDataFrame(rows, VEC)).collect()}
-    want = near_truth(rows, 8, 0.8)
+    found = lambda **o: {(g["grp"], g["id"], g["other"]) for g in vectors.similar_vectors(spark.createDataFrame(rows, VEC), **o).collect()}
+    got, want = found(), near_truth(rows, 8, 0.8)
     assert len(got & want) >= 0.9 * len(want)
+    # the fewer candidates are asked for, the deeper the level; a few still find most
+    fewer = found(wanted=300)
+    assert 0.7 * len(want) <= len(fewer & want) <= len(got & want)
+
+
+def test_stretches_and_borders(spark, monkeypatch):
+    """Counts of shared prefixes against brute force, also across batches, and results that don't depend on partitions."""
+    monkeypatch.setattr(vectors, "REACH", 16)
+    r = np.random.default_rng(5)
+    codes = np.sort(r.integers(0, 2**12, 300).astype(np.uint64) << np.uint64(52))
+    got = vectors._stretches(codes, 20, 260)
+    for i in (20, 77, 259):
+        for level in (1, 5, 12):
+            same = [j for j in range(300) if j != i and codes[i] >> np.uint64(64 - level) == codes[j] >> np.uint64(64 - level)]
+            assert got[i - 20, level - 1] == sum(-16 <= j - i <= 16 for j in same)
+    rows = [(f"m{i:04d}", "x", [float(v) for v in r.standard_normal(8)], 8, "") for i in range(900)]
+    results = []
+    for parts in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37" if parts == "40" else "10000")
+        results.append({(g["id"], g["other"]) for g in vectors.similar_vectors(spark.createDataFrame(rows, VEC), least=0.5, trees=4, wanted=64).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(results[0] ^ results[1]) <= 0.02 * len(results[0])
 
 
 def test_hot_set_of_equal_vectors(spark):
