@@ -39,6 +39,8 @@ GREETINGS = "hey|hi|hello|yo|sup|howdy|thanks|thank you|ok|okay|sure|yes|no|cool
 SCOPE_WORDS = [("fleet", "timezone|name|email|prefers|hates|wants|language|region|location"), ("shared", "project|repo|hardware|server|network|decision|agreed|plan|build")]
 QUESTION_WORDS = "a an and are can did does do for from how i in is it me my of on please the according another based computer mention mentioned say says tell told their then they to was we what when where which who why would you your".split()
 
+EXPANSION_STOPS = "the a an is are was were be of to in on for and or what who where how why did do does i you we they my your our me us".split()
+
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
@@ -230,3 +232,42 @@ def plain_markdown(c: Column) -> Column:
 def sampled(key: Column, rate: float) -> Column:
     """Deterministic: the same keys at every run, about ``rate`` of them."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / F.lit(float(16**13)) < rate
+
+
+def expansions(c: Column, most: int = 3) -> Column:
+    """Up to ``most`` search terms of a question: its capitalized names, then its words without stop words as one phrase."""
+    names = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][a-zA-Z0-9]+(?:[ \t\r\n]+[A-Z][a-zA-Z0-9]+)*)"), F.lit(1)), lambda n: F.trim(n))
+    names = F.filter(names, lambda n: ~F.lower(n).isin(*EXPANSION_STOPS))
+    phrase = F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\r\n,.;:!?]+"), lambda w: (w != "") & ~F.lower(w).isin(*EXPANSION_STOPS)), " ")
+    return F.slice(F.array_distinct(F.filter(F.concat(names, F.array(phrase)), lambda t: t != "")), 1, most)
+
+
+def local_endpoint(url: Column) -> Column:
+    """Whether an address is of this machine or a private network, by its host."""
+    host = F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)))
+    host = F.regexp_replace(host, r"\.$", "")
+    private = host.rlike(r"^(?:127|10)\.[0-9]+\.[0-9]+\.[0-9]+$|^192\.168\.[0-9]+\.[0-9]+$|^172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+$|^169\.254\.[0-9]+\.[0-9]+$|^\[(?:::1|f[cd][0-9a-f:]*|fe80:[0-9a-f:]*)\]$")
+    return ~F.startswith(host, F.lit("your-")) & (host.isin("localhost", "localhost.localdomain") | F.endswith(host, F.lit(".local")) | F.endswith(host, F.lit(".lan")) | private)
+
+
+def frontmatter_field(block: Column, name: str) -> Column:
+    """The plain value of a field of a frontmatter block; null without it or with an empty one."""
+    return F.nullif(F.btrim(F.regexp_extract(block, rf"(?m)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(" \t\"'")), F.lit(""))
+
+
+def frontmatter_tags(block: Column) -> Column:
+    """The tags of a frontmatter block, written as [a, b] or a, b; empty without any."""
+    inner = F.btrim(F.coalesce(frontmatter_field(block, "tags"), F.lit("")), F.lit("[] "))
+    return F.filter(F.transform(F.split(inner, ","), lambda t: F.btrim(t, F.lit(" \"'"))), lambda t: t != "")
+
+
+def json_slice(c: Column) -> Column:
+    """The JSON object in a text: all of it, else from the first brace to the last; null if neither is one."""
+    inner = F.regexp_extract(F.coalesce(c, F.lit("")), r"(\{[\s\S]*\})", 1)
+    good = lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{"))
+    return F.when(good(c), c).when(good(inner), inner)
+
+
+def fingerprint(c: Column) -> Column:
+    """Digest of a text's comparable form; null is the empty text."""
+    return F.sha2(content_key(F.coalesce(c, F.lit(""))), 256)

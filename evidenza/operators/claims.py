@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidenza.functions import text
+
 
 def versions(df: DataFrame, key: list[str], at: str, ident: str, value: str) -> DataFrame:
     """Each claim with the time it holds until (the next one's), whether its value differs from the one before, and its number."""
@@ -69,3 +71,23 @@ def reconciled(df: DataFrame, key: list[str]) -> DataFrame:
 
     rows = df.select(*columns).repartition(*key).sortWithinPartitions(*key, "observed_at", "id")
     return rows.mapInPandas(run, f"id {kinds['id']}, decision string, active_id {kinds['id']}")
+
+
+def projected(memories: DataFrame) -> DataFrame:
+    """(claim_id, memory_id, agent, subject, predicate, object, sentence, confidence, observed_at): statements of memories as claims.
+
+    A sentence whose first word is its subject and whose verb is one of a few known ones gives a claim; the subject
+    "general" and all other sentences give none. Null and empty contents have none.
+    """
+    rows = memories.where(F.col("content").isNotNull()).select("id", "agent", "confidence", "created_at", F.posexplode(text.sentences(F.col("content"))).alias("pos", "sentence"))
+    rows = rows.withColumn("subject", F.split("sentence", " ")[0]).withColumn("p", text.claim_parts(F.col("subject"), F.col("sentence")))
+    rows = rows.where((F.col("p.predicate") != "states") & (F.col("p.object") != "") & (F.lower("subject") != "general"))
+    return rows.select(F.concat_ws("#", "id", F.col("pos").cast("string")).alias("claim_id"), F.col("id").alias("memory_id"), "agent", "subject", "p.predicate", "p.object", "sentence", "confidence", F.col("created_at").alias("observed_at"))
+
+
+def text_conflict(sentence: Column, before: Column, value: Column) -> Column:
+    """What a statement is to the active one before it: compatible (none), update (it says so), duplicate (the same object) or unresolved."""
+    same = text.claim_value(before) == text.claim_value(value)
+    changed = sentence.rlike(text.whole(text.CORRECTIONS))
+    moved = sentence.rlike(text.whole(r"switched|changed|updated|now prefer|no longer|instead of|from [^\n]+ to"))
+    return F.when(before.isNull(), "compatible").when(changed & ~same, "update").when(same, "duplicate").when(moved, "update").otherwise("unresolved")

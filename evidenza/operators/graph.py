@@ -6,31 +6,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import text
-
-# Short lists of our own: words that begin sentences but name nothing, and verbs that type a relation.
-NO_NAMES = "the a an i we you it he she they this that these those there on in at every if when where why what which who how did does do can could please keep and but or not project update steps".split()
-VERBS = [("uses", ["uses", "reuses", "runs on", "powered by"]), ("prefers", ["prefers", "likes"]), ("part_of", ["part of", "inside", "within"]), ("replaces", ["replaces", "overrides", "outlasts"]), ("supports", ["supports", "protects", "guards"])]
-NAME = r"[A-Z][a-zA-Z0-9]+(?: [A-Z][a-zA-Z0-9]+)*"
+from evidenza.runtime import cut
+
+# A short list of our own: words that begin sentences but name nothing.
+NO_NAMES = "the a an i we you it he she they this that these those there on in at every if when where why what which who how did does do can could please keep and but or not project update steps monday tuesday wednesday thursday friday saturday sunday today tonight tomorrow yesterday".split()
+# What the words between two names say of their relation, first list first, and the types of entities.
+RELATIONS = [
+    ("uses", "uses|utilizes|employs|runs on|relies on|is built on|is powered by|is based on|is running on"),
+    ("depends_on", "depends on|requires|needs|consumes"),
+    ("owns", "owns|has|contains|includes|comprises"),
+    ("manages", "manages|controls|administers|orchestrates|coordinates"),
+    ("created", "created|built|developed|wrote|designed|authored|established|set up|configured"),
+    ("interacts_with", "connects to|talks to|sends to|interacts with|communicates with|integrates with|syncs with|pulls from|pushes to"),
+    ("monitors", "monitors|watches|tracks|observes|surveys|scans"),
+    ("references", "references|links to|cites|mentions|points to|refers to"),
+    ("part_of", "is part of|belongs to|is a member of|is a component of"),
+    ("uses", "is used by"), ("owns", "is owned by"), ("manages", "is managed by|is controlled by"), ("created", "is created by|is built by|is developed by"), ("monitors", "is monitored by"), ("references", "is referenced by"),
+    ("co_occurs", "and|or|with|alongside|beside|plus"),
+]
+ENTITY_TYPES = [
+    ("service", "server|daemon|service|api|endpoint|proxy|agent"),
+    ("project", "project|repo|repository|pipeline|migration|build"),
+    ("tool", "tool|cli|editor|ide|framework|library|plugin"),
+    ("place", "lab|datacenter|office|region|rack|site"),
+    ("person", "sister|brother|colleague|friend|manager|wife|husband"),
+    ("concept", "policy|preference|rule|protocol|standard|plan"),
+]
+NAME = r"[A-Z][a-zA-Z0-9]+(?:[ \t\r\n]+[A-Z][a-zA-Z0-9]+)*"
+
+
+def _names(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(id, sid, pos, s, name): capitalized names of each sentence, common words at their head dropped."""
+    rows = docs.select(F.col(key).alias("id"), F.posexplode(text.sentences(F.col(body))).alias("sid", "s"))
+    rows = rows.select("id", "sid", "s", F.posexplode(F.regexp_extract_all("s", F.lit(rf"(?:^|[^A-Za-z0-9_])({NAME})"), F.lit(1))).alias("pos", "raw"))
+    plain = F.regexp_replace("raw", r"[ \t\r\n]+", " ")
+    name = F.regexp_replace(plain, rf"(?i)^(?:(?:{'|'.join(NO_NAMES)})(?: |$))+", "")
+    return rows.select("id", "sid", "pos", "s", name.alias("name")).where(F.length("name") >= 3)
 
 
 def entity_mentions(docs: DataFrame, key: str, body: str, most: int = 15) -> DataFrame:
-    """(id, name, name_key, n): capitalized names of each text, best by length in words, then number, then name.
+    """(id, name, name_key, n, rank): the ``most`` most telling names of each text, longest in words first, then in order of appearance.
 
-    Leading common words are stripped; a name that is part of a longer name of the same text is left to it.
+    Upper and lower case don't make different names, the first spelling counts. A name that is part of a longer name of
+    the same text is left to it: the parts of a name are compared by words, of the lengths that names of the text have.
     """
-    rows = docs.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.col(body), F.lit(rf"(?:^|[^A-Za-z0-9])({NAME})"), F.lit(1))).alias("name"))
-    first = F.lower(F.split("name", " ")[0])
-    stripped = F.when(first.isin(*NO_NAMES), F.regexp_replace("name", r"^[^ ]+ ?", "")).otherwise(F.col("name"))
-    rows = rows.select("id", stripped.alias("name")).where(F.length("name") >= 3)
-    n = rows.groupBy("id", "name").agg(F.count("*").alias("n"))
-    # the names of one text, a bounded number
-    order = Window.partitionBy("id").orderBy(F.desc(F.size(F.split("name", " "))), F.desc("n"), "name")
-    n = n.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * most)
-    longer = n.groupBy("id").agg(F.collect_list("name").alias("names"))
-    kept = n.join(longer, "id").where(~F.exists("names", lambda o: (o != F.col("name")) & F.contains(F.concat(F.lit(" "), o, F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))))
-    order = Window.partitionBy("id").orderBy("r")
+    n = _names(docs, key, body).groupBy("id", F.lower("name").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("sid", "pos", "name")).alias("first"))
+    n = n.withColumn("words", F.size(F.split("low", " ")))
+    sizes = n.groupBy("id").agg(F.collect_set("words").alias("sizes"))
+    w = F.split("low", " ")
+    parts = F.flatten(F.transform(F.filter("sizes", lambda k: k < F.col("words")), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
+    inner = n.where("words > 1").join(sizes, "id").select("id", F.explode(parts).alias("low")).distinct()
+    kept = n.join(inner, ["id", "low"], "left_anti")
+    order = Window.partitionBy("id").orderBy(F.desc("words"), "first")
     kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return kept.select("id", "name", text.entity_key(F.col("name")).alias("name_key"), "n", "rank")
+    return kept.select("id", F.col("first.name").alias("name"), text.entity_key(F.col("first.name")).alias("name_key"), "n", "rank")
+
+
+def sentence_edges(docs: DataFrame, key: str, body: str, most: int = 15) -> DataFrame:
+    """(id, sid, name_a, name_b, relation): pairs of a text's chosen names that stand in one sentence, and what the words between say.
+
+    Only the chosen names of a text (``entity_mentions``) are paired, so a text has at most most * (most - 1) / 2 pairs a sentence.
+    """
+    chosen = entity_mentions(docs, key, body, most).select("id", F.lower("name").alias("low"), "rank")
+    said = _names(docs, key, body).select("id", "sid", "s", F.lower("name").alias("low")).distinct().join(chosen, ["id", "low"])
+    x, y = said.select("id", "sid", "s", F.col("low").alias("x")), said.select("id", "sid", F.col("low").alias("y"))
+    pairs = x.join(y, ["id", "sid"]).where(F.col("x") < F.col("y"))
+    low = F.lower(F.regexp_replace("s", r"[ \t\r\n]+", " "))
+    at, bt = F.instr(low, F.col("x")), F.instr(low, F.col("y"))
+    head, tail = F.least(at, bt), F.greatest(at, bt)
+    first = F.when(at < bt, F.length("x")).otherwise(F.length("y"))
+    between = F.trim(F.substring(low, head + first, F.greatest(F.lit(0), tail - head - first)))
+    return pairs.select("id", "sid", F.col("x").alias("name_a"), F.col("y").alias("name_b"), relation_type(between).alias("relation"))
 
 
 def resolved(mentions: DataFrame, key: list[str], ident: str = "entity_id") -> DataFrame:
@@ -75,11 +121,52 @@ def noise(entities: DataFrame, links: DataFrame, least: int = 1) -> DataFrame:
 def relation_type(between: Column) -> Column:
     """The type of a relation by the words between the two names, first list that occurs; related_to otherwise."""
     out = F.lit("related_to")
-    for name, words in reversed(VERBS):
-        out = F.when(F.lower(between).rlike(r"(^|[^a-z])(" + "|".join(words) + r")([^a-z]|$)"), name).otherwise(out)
+    for name, words in reversed(RELATIONS):
+        out = F.when(F.lower(between).rlike(words), name).otherwise(out)
+    return out
+
+
+def entity_type(name: Column, context: Column | None = None) -> Column:
+    """The type of an entity by words in its name or context, first list that occurs; null otherwise."""
+    said = F.lower(name if context is None else F.concat_ws(" ", name, context))
+    out = F.lit(None).cast("string")
+    for kind, words in reversed(ENTITY_TYPES):
+        out = F.when(said.rlike(words), kind).otherwise(out)
     return out
 
 
+def owned_edges(links: DataFrame, memories: DataFrame, most: int = 15) -> DataFrame:
+    """(agent, entity_a, entity_b): entities that an active memory of an agent links; the owner's evidence alone makes its edges."""
+    active = memories.where("status = 'active'").select(F.col("id").alias("memory_id"), "agent")
+    w = Window.partitionBy("memory_id").orderBy("entity_id")
+    kept = links.join(active, "memory_id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    x, y = kept.select("memory_id", "agent", F.col("entity_id").alias("entity_a")), kept.select("memory_id", F.col("entity_id").alias("entity_b"))
+    return x.join(y, "memory_id").where("entity_a < entity_b").select("agent", "entity_a", "entity_b").distinct()
+
+
+def searched(queries: DataFrame, entities: DataFrame, links: DataFrame, memories: DataFrame, depth: int = 2, limit: int = 20) -> DataFrame:
+    """(query_id, id, rank): active memories of the asking agent that are linked to the named entities or those within ``depth`` steps, newest first.
+
+    ``queries`` has (query_id, agent, name_key), ``entities`` (id, agent, name_key). An entity is a seed only if an active memory
+    of the agent is linked to it. Of each entity only its newest ``limit`` memories can be among a query's newest, so no hub's memories are joined whole.
+    """
+    mine = links.join(memories.where("status = 'active'").select(F.col("id").alias("memory_id"), "agent", "updated_at"), "memory_id")
+    seeds = queries.join(entities.select(F.col("id").alias("node"), "agent", "name_key"), ["agent", "name_key"]).select("query_id", "agent", "node")
+    seeds = seeds.join(mine.select("agent", F.col("entity_id").alias("node")), ["agent", "node"], "left_semi").distinct()
+    edges = owned_edges(links, memories)
+    both = edges.select("agent", F.col("entity_a").alias("node"), F.col("entity_b").alias("next")).unionByName(edges.select("agent", F.col("entity_b").alias("node"), F.col("entity_a").alias("next")))
+    seen = frontier = seeds
+    for _ in range(depth):
+        step = frontier.join(both, ["agent", "node"]).select("query_id", "agent", F.col("next").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["query_id", "agent", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    newest = [F.desc_nulls_last("updated_at"), "memory_id"]
+    top = mine.withColumn("_r", F.row_number().over(Window.partitionBy("agent", "entity_id").orderBy(*newest))).where(F.col("_r") <= limit).select("agent", F.col("entity_id").alias("node"), "memory_id", "updated_at")
+    found = seen.join(top, ["agent", "node"]).select("query_id", "memory_id", "updated_at").distinct()
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*newest))).where(F.col("rank") <= limit)
+    return found.select("query_id", F.col("memory_id").alias("id"), "rank")
+
+
 def promoted(sightings: DataFrame, key: list[str], member: str, least: int) -> DataFrame:
     """Names seen in at least ``least`` distinct members."""
     return sightings.groupBy(*key).agg(F.countDistinct(member).alias("n")).where(F.col("n") >= least)

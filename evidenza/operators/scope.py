@@ -28,10 +28,20 @@ def in_paths(path: Column, prefixes: list[str] | None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def document_allowed(source: Column, kind: Column, path: Column, prefixes: list[str] | None) -> Column:
+    """The path restriction of documents; memories that are none are never restricted by path."""
+    if prefixes is None:
+        return F.lit(True)
+    return ~F.coalesce((source == "vault") | (kind == "document"), F.lit(False)) | in_paths(path, prefixes)
+
+
 def effective_paths(asked: list[str] | None, allowed: list[str] | None) -> list[str] | None:
-    """Both restrictions at once: the narrower prefix of each compatible pair; none in common allows nothing."""
-    if asked is None or allowed is None:
-        return asked if allowed is None else allowed
+    """Both restrictions at once: the narrower prefix of each compatible pair; none in common allows nothing.
+
+    A restriction without prefixes, None or empty, doesn't bind the other; without any of either there is none.
+    """
+    if not asked or not allowed:
+        return (asked or allowed) or None
     plain = lambda xs: [x.replace("\\", "/").strip("/") for x in xs]
     below = lambda a, b: a == b or a.startswith(b + "/")
     return sorted({a if below(a, b) else b for a in plain(asked) for b in plain(allowed) if below(a, b) or below(b, a)})

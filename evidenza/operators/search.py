@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.runtime import broadcast_if_small
+from evidenza.runtime import broadcast_if_small, cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Vectors of a block, and bytes of queries up to which their blocks are broadcast.
+BLOCK, BROADCAST_BYTES = 256, 64 << 20
 
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -22,25 +24,28 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
     return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, body: str, queries: DataFrame, k: int = 10, eligible: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: str, body: str, queries: DataFrame, k: int = 10, eligible: Column | None = None, owner: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best documents that have all terms of a query.
 
     ``queries`` has (query_id, terms); ``eligible`` may name a condition on documents, applied before ranking while the statistics
-    stay those of all documents. The documents of a query's rarest term are its only candidates, so common terms never
+    stay those of all documents. With ``owner``, an expression on documents, queries also have a column ``owner`` and find
+    only documents of their own. The documents of a query's rarest term are its only candidates, so common terms never
     fan out. Score ties go to the smaller id; a query without terms finds nothing.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    sizes = docs.select(F.size(text.tokens(F.col(body))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = broadcast_if_small(terms.select("term").distinct())
-    rows = docs.select(F.col(key).alias("id"), (eligible if eligible is not None else F.lit(True)).alias("ok"), text.tokens(F.col(body)).alias("t"))
-    hits = rows.select("id", "ok", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    hits = hits.groupBy("id", "ok", "dl", "term").agg(F.count("*").alias("tf"))
+    own = owner if owner is not None else F.lit("")
+    terms = queries.select("query_id", *(["owner"] if owner is not None else [F.lit("").alias("owner")]), F.explode(F.array_distinct("terms")).alias("term"))
+    # the corpus is read into words once; the empty word stands for the document itself, whose length the statistics need
+    wanted = broadcast_if_small(terms.select("term").unionByName(queries.select(F.lit("").alias("term"))).distinct())
+    rows = docs.select(F.col(key).alias("id"), own.alias("owner"), (eligible if eligible is not None else F.lit(True)).alias("ok"), text.tokens(F.col(body)).alias("t"))
+    hits = rows.select("id", "owner", "ok", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(wanted, "term", "left_semi")
+    hits = cut(hits.groupBy("id", "owner", "ok", "dl", "term").agg(F.count("*").alias("tf")))
+    sizes = hits.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    need = known.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest"))
+    need = known.groupBy("query_id", "owner").agg(F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest"))
     hits = hits.where("ok")
-    cand = need.where(F.col("rarest.df") > 0).select("query_id", "n_terms", F.col("rarest.term").alias("term")).join(hits.select("term", "id"), "term").drop("term")
-    full = cand.join(known, "query_id").join(hits, ["id", "term"]).join(F.broadcast(sizes))  # one row
+    cand = need.where(F.col("rarest.df") > 0).select("query_id", "owner", "n_terms", F.col("rarest.term").alias("term")).join(hits.select("term", "owner", "id"), ["term", "owner"]).drop("term", "owner")
+    full = cand.join(known.drop("owner"), "query_id").join(hits.drop("owner"), ["id", "term"]).join(F.broadcast(sizes))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = full.groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("found")).where(F.col("found") == F.col("n_terms"))
@@ -53,60 +58,74 @@ def ranked(scored: DataFrame, query: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "id", "score", "rank")
 
 
-def _top(queries: list[tuple], k: int, least: float, block: int):
+_PACKED = "grp string, dim int, ids array<string>, mat binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors (grp, id, vec) as blocks of unit vectors of one group and length, at most BLOCK a block."""
+    held: dict[tuple, tuple[list, list]] = {}
+
+    def out(keys: list[tuple]) -> pa.RecordBatch:
+        blocks = [(key, *held.pop(key)) for key in keys]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _, _ in blocks]), pa.array([k[1] for k, _, _ in blocks], pa.int32()), pa.array([i for _, i, _ in blocks], pa.list_(pa.string())), pa.array([np.vstack(v).tobytes() for _, _, v in blocks], pa.binary())], names=["grp", "dim", "ids", "mat"])
+
+    for batch in batches:
+        vec = batch.column("vec")
+        offsets, flat = np.asarray(vec.offsets), np.asarray(vec.values.to_numpy(zero_copy_only=False), np.float64)
+        for i, (grp, ident) in enumerate(zip(batch.column("grp").to_pylist(), batch.column("id").to_pylist())):
+            v = flat[offsets[i] : offsets[i + 1]]
+            ids, rows = held.setdefault((grp, len(v)), ([], []))
+            ids.append(ident)
+            rows.append(v / np.linalg.norm(v))
+            if len(ids) >= BLOCK:
+                yield out([(grp, len(v))])
+        if sum(len(ids) for ids, _ in held.values()) > 8 * BLOCK:
+            yield out(list(held))
+    if held:
+        yield out(list(held))
+
+
+def _top(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim: dict[int, tuple[list, np.ndarray]] = {}
-        for dim in {len(v) for _, v in queries}:
-            part = [(i, v) for i, v in queries if len(v) == dim]
-            m = np.array([v for _, v in part], np.float64)
-            by_dim[dim] = ([i for i, _ in part], m / np.linalg.norm(m, axis=1)[:, None])
         for batch in batches:
-            ids = batch.column("id")
-            vec = batch.column("vec")
-            sizes = np.diff(np.asarray(vec.offsets))
-            flat = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            for dim, (names, q) in by_dim.items():
-                at = np.flatnonzero(sizes == dim)
-                if not len(at):
-                    continue
-                x = flat[(starts[at][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                for lo in range(0, len(names), block):
-                    s = q[lo : lo + block] @ x.T
-                    r, c = np.nonzero(s >= least)
-                    if k < s.shape[1]:
-                        # of this batch no row below a query's k-th best can be among its k best; equal ones stay
-                        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                        keep = s[r, c] >= kth[r] - 1e-9
-                        r, c = r[keep], c[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[lo + i] for i in r], pa.int64()), ids.take(pa.array(at[c])).cast(pa.int64()), pa.array(s[r, c])], names=["query_id", "id", "score"])
+            for dim, ids, mat, asked, qmat in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "mat", "asked", "qmat"))):
+                s = np.frombuffer(qmat).reshape(-1, dim) @ np.frombuffer(mat).reshape(-1, dim).T
+                r, c = np.nonzero(s >= least)
+                if k < s.shape[1]:
+                    # of this block no row below a query's k-th best can be among its k best; equal ones stay
+                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    keep = s[r, c] >= kth[r] - 1e-9
+                    r, c = r[keep], c[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(asked).take(pa.array(r)), pa.array(ids).take(pa.array(c)), pa.array(s[r, c])], names=["query_id", "id", "score"])
 
     return run
 
 
-def semantic(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, least: float = 0.3, most_queries: int = 20_000, block: int = 256) -> DataFrame:
+def semantic(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, least: float = 0.3, group: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k most similar vectors of each query by exact cosine, of at least ``least``.
 
-    The queries (query_id, vec) go to the vectors in groups of at most ``most_queries``, as blocks of a matrix product; each batch of
-    vectors keeps its own k best a query before anything is shuffled. Null, empty, non-finite and all-zero vectors are
-    neither found nor asked for; a query doesn't find itself. Ids are whole numbers.
+    ``queries`` has (query_id, vec) and the columns of ``group``; a query meets the vectors of its own group (such as model
+    and owner) and length only. Both sides are packed into blocks and compared as matrix products; each pair of blocks keeps
+    its k best a query before anything is shuffled. Blocks of queries are broadcast while they are small, by their measured bytes;
+    more of them go to every part of the vectors by a shuffle. Null, empty, non-finite and all-zero vectors are
+    neither found nor asked for; a query doesn't find itself.
     """
     fine = lambda v: v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(fine(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    asked = queries.where(fine(F.col("vec"))).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
-    n = asked.count()
-    parts = max(1, -(-n // most_queries))
-    out = None
-    for p in range(parts):
-        group = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        held = [(r["query_id"], list(r["vec"])) for r in group.collect()]
-        if held:
-            found = rows.mapInArrow(_top(held, k + 1, least, block), "query_id bigint, id bigint, score double")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    return ranked(out.where(F.col("query_id") != F.col("id")), "query_id", k)
+    of = F.concat_ws("\u0001", *[F.col(c) for c in group or []])
+    rows = vectors.where(fine(F.col(vector)) & F.col(key).isNotNull()).select(of.alias("grp"), F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    asked = queries.where(fine(F.col("vec"))).select(of.alias("grp"), F.col("query_id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    blocks = rows.mapInArrow(_packed, _PACKED)
+    asked = cut(asked.coalesce(8).mapInArrow(_packed, _PACKED)).select("grp", "dim", F.col("ids").alias("asked"), F.col("mat").alias("qmat"))
+    size = asked.agg(F.coalesce(F.sum(F.length("qmat")), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
+        pairs = blocks.join(F.broadcast(asked), ["grp", "dim"])
+    else:
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+        pairs = blocks.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge"), ["grp", "dim", "part"])
+    found = pairs.select("dim", "ids", "mat", "asked", "qmat").mapInArrow(_top(k + 1, least), "query_id string, id string, score double")
+    found = found.where(F.col("query_id") != F.col("id"))
+    return ranked(found.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]), F.col("id").cast(dict(vectors.dtypes)[key]), "score"), "query_id", k)
 
 
 def fused(lanes: list[DataFrame], k: int | None = None, constant: int = RRF_K) -> DataFrame:

@@ -55,11 +55,9 @@ def relation_upsert_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type of each sentence's relation by the words it has."""
-    m = tables.memories(spark, sf_dir).where("content IS NOT NULL")
-    s = m.select("id", F.posexplode(text.sentences(F.col("content"))).alias("pos", "s"))
-    typed = s.withColumn("relation", graph.relation_type(F.col("s")))
-    return typed.groupBy("relation").agg(F.count("*").alias("n_sentences"), F.countDistinct("id").alias("n_memories"))
+    """How many relations of names within one sentence are of which type."""
+    e = graph.sentence_edges(tables.memories(spark, sf_dir).where("content IS NOT NULL"), "id", "content")
+    return e.groupBy("relation").agg(F.count("*").alias("n_pairs"), F.countDistinct("id").alias("n_memories"))
 
 
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +318,6 @@ ORACLE = {
     "orphan_entities": "SELECT DISTINCT id FROM entities WHERE id NOT IN (SELECT entity_id FROM memory_entities WHERE entity_id IS NOT NULL AND memory_id IS NOT NULL)",
     "orphan_links": f"WITH {LINK_CTE} SELECT memory_id, entity_id FROM l WHERE memory_id NOT IN (SELECT id FROM memories WHERE id IS NOT NULL)",
     "relation_upsert_max": "SELECT entity_id, agent, max(CASE relation_role WHEN 'subject' THEN 1.0 WHEN 'object' THEN 0.7 ELSE 0.4 END)::DOUBLE AS strength, count(*) AS n_evidence FROM memory_entities WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1, 2",
-    "relation_typing": MEM + r""", s AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(content, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t]*\n', chr(1), 'g'), chr(1))) AS s FROM m WHERE content IS NOT NULL)
-      SELECT """ + "CASE " + " ".join(f"WHEN regexp_matches(lower(s), '(^|[^a-z])({'|'.join(w)})([^a-z]|$)') THEN '{n}'" for n, w in graph.VERBS) + " ELSE 'related_to' END AS relation, count(*) AS n_sentences, count(DISTINCT id) AS n_memories FROM s WHERE trim(s, ' ') <> '' GROUP BY 1",
     "entity_resolve": r"""SELECT agent, name_key, 'ent-' || sha256(agent || '|' || name_key)[1:12] AS entity_id FROM (SELECT DISTINCT coalesce(agent, '') AS agent, trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}. ]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS name_key FROM entities WHERE name IS NOT NULL)""",
     "session_candidates_keyset": f"""WITH {MSG_CTE}, {SES_CTE} SELECT id, started_at FROM s WHERE NOT coalesce(hidden, false) AND NOT coalesce(source IN ('kanban', 'subagent', 'tool'), false) AND started_at >= TIMESTAMPTZ '2025-01-25 00:00:00+00'
       AND id IN (SELECT session_id FROM g WHERE {_VIS} AND timestamp >= TIMESTAMPTZ '{_START}+00' AND timestamp < TIMESTAMPTZ '{_END}+00')""",

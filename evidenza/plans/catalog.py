@@ -14,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts() -> tuple:
-    from evidenza.plans import archive, evidence, retrieval, streams
+    from evidenza.plans import archive, evidence, recall, retrieval, streams, upkeep
 
-    return (retrieval, evidence, archive, streams)
+    return (retrieval, recall, evidence, archive, upkeep, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -83,8 +83,9 @@ def visibility_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.where(scope.in_paths(F.col("path"), ["homestead", "workshop/", "journal"])).select("doc_id", "path")
+    """Documents below three folders, and rows that are no documents."""
+    d = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.startswith("source", F.lit("vault:")), "document").otherwise("note"))
+    return d.where(scope.document_allowed(F.lit(None).cast("string"), F.col("kind"), F.col("path"), ["noisy", "calm/", "faint\\screen-62782.md"])).select("doc_id", "path")
 
 
 def locked_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ ORACLE = {
       FROM f JOIN documents d ON d.doc_id = f.id) WHERE rank <= 10""",
     "hybrid_fallback": _RRF + """ SELECT query_id, id, rank FROM r WHERE rank <= 5 AND query_id IN (SELECT query_id FROM sem) UNION ALL SELECT query_id, id, rank FROM kw WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM sem)""",
     "visibility_ceiling": MEM + " SELECT id, agent, visibility FROM m WHERE visibility IN ('private', 'shared')",
-    "path_scope_filter": "SELECT doc_id, path FROM documents WHERE " + " OR ".join(f"trim(replace(path, '\\', '/'), '/') = '{p}' OR starts_with(trim(replace(path, '\\', '/'), '/'), '{p}/')" for p in ("homestead", "workshop", "journal")),
+    "path_scope_filter": "SELECT doc_id, path FROM documents WHERE NOT coalesce(starts_with(source, 'vault:'), false) OR " + " OR ".join(f"trim(replace(path, '\\', '/'), '/') = '{p}' OR starts_with(trim(replace(path, '\\', '/'), '/'), '{p}/')" for p in ("noisy", "calm", "faint/screen-62782.md")),
     "locked_mask": r"""SELECT doc_id, locked, md5(CASE WHEN locked AND agent IS DISTINCT FROM 'agent-1' THEN '[locked]' ELSE text END) AS shown_md5 FROM (
       SELECT *, coalesce(regexp_matches(nullif(regexp_extract(text, '^---[ \t]*\r?\n([\s\S]*?)\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|$)', 1), ''), '(?m)^locked:[ \t]*true'), false) AS locked FROM documents WHERE text IS NOT NULL)""",
     "authorize_candidates": MEM + " SELECT id, agent, visibility, status FROM m WHERE id IN (SELECT memory_id FROM memory_vectors) AND status = 'active' AND (agent = 'agent-2' OR visibility = 'shared')",

@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes as Spark holds them, up to which a side may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,11 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder is the cluster's spark.checkpoint.dir; one of our own is set only where none is configured."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """The folder is the cluster's spark.checkpoint.dir. On one machine a folder of our own is set where none is; on a cluster that is an error, as executors must share it."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "evidenza-checkpoints"))
+    if shared is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "evidenza-checkpoints"))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -49,9 +52,25 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "n") -> DataFrame:
+    """The rows with their number, from 1, in the order within their group; keys aren't null.
+
+    Groups are cut into ranges of the order, so one that holds a third of all rows is spread over as many tasks; only
+    one number a group and range is brought together.
+    """
+    rows = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_held"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    rows = rows.withColumn("_at", inner).join(sizes, [*keys, "_part"])
+    return rows.withColumn(name, (F.col("_skip") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_skip")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; otherwise leave the join to the planner.
+    """Hint a broadcast only after measuring that the side is small; otherwise leave the join to the planner.
 
-    The count stops after ``rows + 1`` rows, so the check itself stays cheap.
+    The measuring stops after ``rows + 1`` rows, so it stays cheap; bytes are those of the rows as JSON.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["bytes"] <= BROADCAST_BYTES else df
