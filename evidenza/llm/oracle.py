@@ -80,4 +80,20 @@ z AS (SELECT a.s AS session_id, CASE WHEN f.s IS NULL THEN 'empty' WHEN x.bad >
 SELECT session_id, reason FROM z WHERE reason IS NOT NULL
 """
 
-ORACLE = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5}
+
+P3_SURVIVORS = P3[: P3.index("SELECT group_id, max(CASE")].replace("l.updated_at AS seen,", "l.updated_at AS seen, l.source,") + """
+SELECT group_id, max(CASE WHEN rt = 1 THEN id END) AS trusted_id, max(CASE WHEN rn = 1 THEN id END) AS newest_id, max(CASE WHEN rs = 1 AND sourced THEN id END) AS source_row_id, count(*) AS n_records,
+       max(CASE WHEN rt = 1 THEN trust END) AS built_trust, max(CASE WHEN rn = 1 THEN seen END) AS built_updated_at, max(CASE WHEN rs = 1 AND sourced THEN source END) AS built_source
+FROM t GROUP BY group_id
+"""
+
+# z ln z of the four cells, the margins and the whole
+_Z = lambda z: f"CASE WHEN {z} > 0 THEN ({z}) * ln({z}) ELSE 0 END"
+P4_PAIRS = _PAIRS + "SELECT a, b, n_ab, n_a, n_b, n, round(lift, 6) AS lift, round(2 * (" + " + ".join(_Z(z) for z in ("n_ab", "n_a - n_ab", "n_b - n_ab", "n - n_a - n_b + n_ab", "n")) + " - " + " - ".join(_Z(z) for z in ("n_a", "n - n_a", "n_b", "n - n_b")) + "), 3) AS llr FROM q"
+
+# Kept sessions in order. No message without a session quotes another in these tables, so none of them is a kept conversation.
+P5_CONVERSATIONS = P5[: P5.index("SELECT session_id, reason FROM z")] + """
+SELECT s AS conversation, row_number() OVER (PARTITION BY s ORDER BY ts, id) AS turn, id, role, ts, content FROM m WHERE role IN ('user', 'assistant') AND s IN (SELECT session_id FROM z WHERE reason IS NULL)
+"""
+
+ORACLE = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_survivors": P3_SURVIVORS, "p4_found": P4, "p4_pairs": P4_PAIRS, "p5_found": P5, "p5_conversations": P5_CONVERSATIONS}
