@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidenza.operators.components import connected_components
+from evidenza.llm.components import connected_components
 from evidenza.runtime import cut
 
 # How the roles of messages are read.
