@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidenza.operators.components import connected_components
+from evidenza.llm.components import connected_components
+from evidenza.runtime import cut
 
 
 def latest_versions(df: DataFrame, key: str = "id", updated: str = "updated_at") -> DataFrame:
@@ -34,7 +35,8 @@ def survivors(df: DataFrame, key: str = "id", by: str = "superseded_by", trust:
     chosen as the survivor is, among rows whose source is not null or blank (null if there is none). The built columns are the
     surviving record field by field: the trust of the survivor, the newest time and the source row's source.
     """
-    latest = latest_versions(df, key, updated)
+    # read several times below, without the texts
+    latest = cut(latest_versions(df.select(*dict.fromkeys((key, by, trust, updated, source))), key, updated))
     groups = superseding_groups(latest, key, by)
     t = F.col(trust).cast("double")
     kept = latest.select(
