@@ -22,6 +22,8 @@ from evidenza.runtime import broadcast_if_small, cut
 ROUNDS = 3
 #: A pattern counts with so many distinct accepted instances, and from this share of accepted ones on.
 SUPPORT, SHARE = 3, 0.5
+#: Length of the stretches by which finds of one text are compared with one another.
+STRETCH = 128
 #: Most common words that a task of the last pass holds.
 SKIPPED = 20_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -253,11 +255,22 @@ def personal(rows: DataFrame, known: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in {"email": 0, "address": 1, "phone": 2, "id_number": 2, "name": 4}.items() for x in kv])
     found = others.select(*cols, certain.alias("certain")).unionByName(names.withColumn("certain", F.lit(0.0)))
     found = found.groupBy(*cols).agg((rank[F.col("kind")] - F.max("certain")).alias("rank"))
-    # the finds of one text, of which there are never more than its words: a find gives way to a better one that it overlaps
-    own = found.groupBy("src", "row_id", "field").agg(F.collect_list(F.struct("at", "till", "rank", "kind", "item")).alias("all"))
-    over = lambda x, y: (x["at"] < y["till"]) & (y["at"] < x["till"]) & ((y["rank"] < x["rank"]) | ((y["rank"] == x["rank"]) & ((y["till"] - y["at"] > x["till"] - x["at"]) | ((y["till"] - y["at"] == x["till"] - x["at"]) & ((y["at"] < x["at"]) | ((y["at"] == x["at"]) & (y["kind"] < x["kind"])))))))
-    kept = F.filter("all", lambda x: ~F.exists("all", lambda y: over(x, y)))
-    return own.select("src", "row_id", "field", F.explode(kept).alias("x")).select("src", "row_id", "field", "x.at", "x.till", "x.kind", "x.item")
+    return _without_overlaps(found)
+
+
+def _without_overlaps(found: DataFrame) -> DataFrame:
+    """A find gives way to a better one that it overlaps: of lower rank, then longer, then earlier, then by its kind.
+
+    Finds meet by the stretches of ``STRETCH`` signs that they touch, so those of a long text are never gathered.
+    """
+    text = ["src", "row_id", "field"]
+    found = cut(found.withColumn("n", F.monotonically_increasing_id()))
+    places = found.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / STRETCH), F.floor((F.col("till") - 1) / STRETCH))))
+    worth = lambda t: F.struct(F.col(f"{t}.rank"), (F.col(f"{t}.at") - F.col(f"{t}.till")).alias("size"), F.col(f"{t}.at").alias("from"), F.col(f"{t}.kind"))
+    x, y = places.alias("x"), places.select(*text, "part", "at", "till", "rank", "kind").alias("y")
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*text, "part")])
+    lost = met.where((F.col("y.at") < F.col("x.till")) & (F.col("x.at") < F.col("y.till")) & (worth("y") < worth("x"))).select("x.n").distinct()
+    return found.join(lost, "n", "left_anti").select(*text, "at", "till", "kind", "item")
 
 
 def replaced(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -266,6 +266,16 @@ def test_personal(spark):
     assert personal.personal(rows, known.limit(0)).where("kind = 'email'").count() == 2
 
 
+def test_overlaps_give_way(spark):
+    r = random.Random(8)
+    rows = [("s", str(i % 3), "f", at, at + r.randrange(1, 300), r.choice(["name", "phone", "address"]), "i", float(r.randrange(4))) for i in range(150) for at in [r.randrange(0, 5000)]]
+    df = spark.createDataFrame(rows, "src string, row_id string, field string, at int, till int, kind string, item string, rank double").distinct()
+    got = {(x["row_id"], x["at"], x["till"], x["kind"]) for x in personal._without_overlaps(df).collect()}
+    worth = lambda x: (x[7], x[3] - x[4], x[3], x[5])
+    want = {(x[1], x[3], x[4], x[5]) for x in set(rows) if not any(y[1] == x[1] and y[3] < x[4] and x[3] < y[4] and worth(y) < worth(x) for y in rows)}
+    assert got == want
+
+
 def test_listed_names_that_are_words(spark):
     rows, known = personal_rows(spark)
     plain = [("t", f"w{k}", "f", "we mark the young plants on the hill with grace, and mark young ones twice") for k in range(6)]
