@@ -142,9 +142,11 @@ def encoded(df: DataFrame, key: str, text: str, limit: int = LEXICON, folder: st
     both = F.struct(known.alias("known"), _rank_literal(folder, name).alias("rank"))
     ids = _let(both, lambda d: F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(d["known"], w, _BUCKETS), fold(w, d["rank"])))))
 
+    shipped = spark.sparkContext.broadcast(ranks(folder, name))  # of the vocabulary's size, whatever the texts'
+
     @F.pandas_udf("array<int>")
     def heaped(lists: pd.Series) -> pd.Series:
-        table, seen = read_ranks(folder, name), {}
+        table, seen = shipped.value, {}
         out = []
         for ws in lists:
             for w in ws:
