@@ -130,7 +130,7 @@ def needs_memory(c: Column) -> Column:
 
 def transient(c: Column, words: str = TRANSIENT_WORDS, allow_temporal: bool = False) -> Column:
     """States of the moment: percentages and clock times, and unless allowed words such as now and today."""
-    hit = c.rlike(rf"(?:^|{_EDGE})[0-9]{{1,3}}\s*%[\p{{L}}\p{{N}}_]") | c.rlike(whole("percent")) | c.rlike(whole(r"[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?"))
+    hit = c.rlike(rf"(?:^|{_EDGE})[0-9]{{1,3}}\s*%") | c.rlike(whole("percent")) | c.rlike(whole(r"[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?"))
     return F.coalesce(hit if allow_temporal else hit | c.rlike(whole(words)), F.lit(False))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A recall gives at most so many rows, so nothing beyond them can be packed.
+RECALL = 100
 # Shares of the budget by class of evidence; what rounding leaves goes to the first.
 QUOTAS = {"current": 0.60, "uncertainty": 0.20, "provenance": 0.15, "recent": 0.05}
 
@@ -16,8 +18,8 @@ def greedy_fit(entries: Column, budget: Column, cost: str = "cost") -> Column:
     return F.aggregate(entries, start, step, lambda s: s["kept"])
 
 
-def greedy_packed(df: DataFrame, group: str, order: list[str], key: str, cost: str, budget: int, most: int = 200) -> DataFrame:
-    """(group, key, position, used): greedy packing of the ``most`` best entries of each group, which bounds a group's size."""
+def greedy_packed(df: DataFrame, group: str, order: list[str], key: str, cost: str, budget: int, most: int = RECALL) -> DataFrame:
+    """(group, key, position, used): greedy packing of the best entries of each group, of which a recall gives at most ``most``."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(group).orderBy(*order)
@@ -27,7 +29,7 @@ def greedy_packed(df: DataFrame, group: str, order: list[str], key: str, cost: s
     return kept.select(group, F.col("e.key").alias(key), (F.col("at") + 1).alias("position"), F.col("e.cost").alias("cost"))
 
 
-def context_packed(df: DataFrame, group: str, order: list[str], key: str, cost: str, kind: str, budget: int, least: int = 8, most: int = 200) -> DataFrame:
+def context_packed(df: DataFrame, group: str, order: list[str], key: str, cost: str, kind: str, budget: int, least: int = 8, most: int = RECALL) -> DataFrame:
     """(group, key, granted, cut): quotas by class first, then what is left over, then one entry cut to the rest.
 
     In the first pass each class takes its entries in order within its quota; in the second all others go into what is

@@ -9,21 +9,39 @@ SIZE, OVERLAP = 1200, 150
 
 
 def passages(df: DataFrame, key: str, body: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, ordinal, heading, start, length): windows of each section of a text, by heading.
+    """(key, section, window, heading, start, length): passages of a text, by headings.
 
-    Sections begin at headings of one to six signs; a section longer than ``size`` is cut into windows that overlap.
-    Offsets count from 0 in the text. Null and empty texts have no passage.
+    A text of at most ``size`` signs, without outer blanks, is one passage without heading. A longer one has a section from each
+    heading of one to six signs on, whose heading is the path of headings above it; a section longer than ``size`` is cut into windows that
+    overlap, at the last line end of their last quarter if there is one. Offsets count from 0 in the text without outer
+    blanks. Null and blank texts have no passage.
     """
-    step = size - min(overlap, size // 2)
-    cut = F.split(F.col(body), r"(?m)(?=^#{1,6} )")
-    rows = df.where(F.length(body) > 0).select(key, F.filter(cut, lambda s: s != "").alias("s"))
+    step = max(0, min(overlap, size // 2))
+    rows = df.select(key, F.regexp_replace(F.col(body), r"^\s+|\s+$", "").alias("t")).where(F.length("t") > 0)
+    cut = F.when(F.length("t") <= size, F.array("t")).otherwise(F.split("t", r"(?md)(?=^[ \t]*#{1,6}[ \t]+\S)"))
+    rows = rows.select(key, F.length("t").alias("all"), cut.alias("s"))
     starts = F.aggregate("s", F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.length(s))))
-    rows = rows.select(key, F.posexplode(F.arrays_zip("s", F.slice(starts, 1, F.size("s")).alias("o"))).alias("section", "x"))
-    rows = rows.select(key, "section", F.col("x.s").alias("s"), F.col("x.o").alias("o"))
-    n = F.greatest(F.lit(1), F.ceil((F.length("s") - (size - step)) / step)).cast("int")
-    rows = rows.select(key, "section", "s", "o", F.explode(F.sequence(F.lit(0), n - 1)).alias("w"))
-    heading = F.nullif(F.trim(F.regexp_extract("s", r"^#{1,6} ([^\n]*)", 1)), F.lit(""))
-    return rows.select(key, "section", F.col("w").alias("window"), heading.alias("heading"), (F.col("o") + F.col("w") * step).alias("start"), F.least(F.lit(size), F.length("s") - F.col("w") * step).alias("length"))
+    level = lambda s: F.length(F.regexp_extract(s, r"^[ \t]*(#{1,6})[ \t]+\S", 1))
+    title = lambda s: F.trim(F.regexp_extract(s, r"^[ \t]*#{1,6}[ \t]+([^\r\n]*)", 1))
+    none = F.array().cast("array<string>")
+    path = lambda p, s: F.when(level(s) > 0, F.concat(F.slice(p, F.lit(1), level(s) - 1), F.array(title(s)))).otherwise(p)
+    paths = F.aggregate("s", F.struct(none.alias("p"), none.alias("out")), lambda a, s: F.struct(path(a["p"], s).alias("p"), F.concat(a["out"], F.array(F.array_join(path(a["p"], s), " > "))).alias("out")), lambda a: a["out"])
+    rows = rows.select(key, "all", F.posexplode(F.arrays_zip("s", F.slice(starts, 1, F.size("s")).alias("o"), paths.alias("p"))).alias("section", "x"))
+    rows = rows.select(key, "section", F.col("x.s").alias("s"), F.col("x.o").alias("o"), F.when(F.col("all") > size, F.col("x.p")).otherwise("").alias("heading"))
+
+    def window(a, _):
+        full = F.least(F.length("s"), a["start"] + size)
+        quarter = a["start"] + size * 3 // 4
+        last = F.instr(F.reverse(F.substring(F.col("s"), quarter + 1, full - quarter)), "\n")
+        end = F.when((full < F.length("s")) & (last > 0), full - last).otherwise(full)
+        more = F.struct(F.greatest(end - step, a["start"] + 1).alias("start"), (end >= F.length("s")).alias("done"), F.concat(a["out"], F.array(F.struct(a["start"].alias("at"), end.alias("to")))).alias("out"))
+        return F.when(a["done"], a).otherwise(more)
+
+    most = F.ceil(F.length("s") / max(1, size * 3 // 4 - step)).cast("int") + 1
+    first = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<at:int,to:int>>").alias("out"))
+    rows = rows.select(key, "section", "heading", "o", "s", F.posexplode(F.aggregate(F.sequence(F.lit(1), most), first, window, lambda a: a["out"])).alias("window", "w"))
+    rows = rows.where(F.regexp_replace(F.substring(F.col("s"), F.col("w.at") + 1, F.col("w.to") - F.col("w.at")), r"\s", "") != "")
+    return rows.select(key, "section", "window", "heading", (F.col("o") + F.col("w.at")).alias("start"), (F.col("w.to") - F.col("w.at")).alias("length"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str], digest: str) -> DataFrame:

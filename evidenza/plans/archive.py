@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidenza.functions import text
 from evidenza.operators import consolidate, evaluate, feedback, graph, health, history, lifecycle, vault
 from evidenza.plans.sql import KEY, LINK_CTE, MEM, MEM_CTE, MSG_CTE, SES_CTE, SIG_CTE, TOKENS, TURN_CTE
-from evidenza.runtime import table
+from evidenza.runtime import numbered, table
 from evidenza.sources import tables
 
 NOW_EVENTS = "2024-02-01 00:00:00"
@@ -230,20 +230,28 @@ def memory_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # consolidation and evaluation
 def dream_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return consolidate.candidate_pairs(v, "vec_id", "embedding", v.where("vec_id % 20 = 0").select("vec_id"), 0.6, 5, 30).withColumn("similarity", F.round("similarity", 6))
+    """The 200 newest shareable memories beside the 500 newest, of one agent and model."""
+    v = table(spark, sf_dir, "memory_vectors").where(F.col("embedding").isNotNull() & (F.size("embedding") == F.col("dimensions"))).groupBy("memory_id", "model").agg(F.min("embedding").alias("vec"))
+    m = tables.memories(spark, sf_dir).where("status = 'active' AND visibility IN ('shared', 'fleet')").join(v.select(F.col("memory_id").alias("id")), "id", "left_semi").select(F.col("id").alias("memory_id"), "agent", "created_at")
+    newest = [F.desc_nulls_last("created_at"), "memory_id"]
+    corpus, recent = m.orderBy(*newest).limit(500), m.orderBy(*newest).limit(200)
+    rows = v.join(corpus.select("memory_id", "agent"), "memory_id")
+    return consolidate.candidate_pairs(rows, "memory_id", "vec", recent, 0.6, 5, 30, ["model", "agent"]).withColumn("similarity", F.round("similarity", 6))
 
 
 def same_fact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tables.memories(spark, sf_dir).where("superseded_by IS NOT NULL")
-    out = lifecycle.merged(m, "superseded_by", "id", "content", "tags", "created_at")
-    return out.select("superseded_by", F.md5("content").alias("content_md5"), F.size("tags").alias("n_tags"), F.col("n").cast("int").alias("n"))
+    """Each superseding memory merged with those that it supersedes."""
+    m = tables.memories(spark, sf_dir)
+    members = m.where("superseded_by IS NOT NULL AND superseded_by <> id").withColumn("merged_id", F.col("superseded_by"))
+    targets = m.withColumn("merged_id", F.col("id")).join(members.select("merged_id"), "merged_id", "left_semi")
+    out = lifecycle.merged(members.unionByName(targets), "merged_id", "id", "content", "tags", "created_at")
+    return out.select("merged_id", F.md5("content").alias("content_md5"), F.size("tags").alias("n_tags"), F.col("n").cast("int").alias("n"))
 
 
 def edit_event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories after edits derived from turns: each turn edits the memory of its number."""
-    m = tables.memories(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("agent").orderBy("id")))
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("agent-"), (F.col("user_id") % 8).cast("string")).alias("agent"), (F.col("event_id") % 40 + 1).cast("int").alias("n"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "event_type")
+    """Memories after edits derived from events: each event edits the memory of its agent and number."""
+    m = numbered(tables.memories(spark, sf_dir), ["agent"], ["id"])
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("agent-"), (F.col("user_id") % 8).cast("string")).alias("agent"), (F.col("event_id") % 40 + 1).alias("n"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "event_type")
     e = e.join(m.select("agent", "n", "id"), ["agent", "n"])
     action = F.when(F.col("event_type") == "error", "forget").when(F.col("event_type") == "signup", "restore").when(F.col("event_type") == "view", "share").when(F.col("event_type") == "purchase", "unshare").otherwise("feedback")
     e = e.select("id", "at", "seq", action.alias("action"), F.when(F.col("seq") % 3 == 0, -0.2).otherwise(0.1).alias("amount"))
@@ -354,9 +362,20 @@ ORACLE = {
     "snapshot_diff": """WITH d AS (SELECT agent, path, doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE path IS NOT NULL AND agent IS NOT NULL), o AS (SELECT agent, path, arg_max(h, doc_id) AS h FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT agent, path, arg_max(h, doc_id) AS h FROM d WHERE doc_id % 2 = 1 GROUP BY 1, 2)
       SELECT coalesce(o.agent, n.agent) AS agent, coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.agent = n.agent AND o.path = n.path""",
     "frontmatter_title": r"""SELECT doc_id, regexp_matches(text, '^---[ \t]*\r?\n[\s\S]+?\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|$)') AS has_frontmatter, coalesce(nullif(trim(regexp_extract(text, '(?m)^# ([^\r\n]+)', 1), ' '), ''), regexp_replace(list_extract(string_split(path, '/'), -1), '\.[^.]*$', '')) AS title FROM documents WHERE text IS NOT NULL""",
-    "dream_candidate_pairs": """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    "dream_candidate_pairs": MEM + """, u AS (SELECT memory_id, model, min(embedding) AS e FROM memory_vectors WHERE embedding IS NOT NULL AND len(embedding) = dimensions AND memory_id IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT id, agent, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS r FROM m WHERE status = 'active' AND visibility IN ('shared', 'fleet') AND id IN (SELECT memory_id FROM u)),
+      g AS (SELECT u.*, c.agent, c.r FROM u JOIN c ON c.id = u.memory_id WHERE c.r <= 500 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      s AS (SELECT a.memory_id AS q, b.memory_id AS id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS sim FROM g a JOIN g b ON a.r <= 200 AND a.model = b.model AND a.agent = b.agent AND len(a.e) = len(b.e) AND a.memory_id <> b.memory_id),
       k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS r FROM s WHERE sim >= 0.6), p AS (SELECT least(q, id) AS a, greatest(q, id) AS b, max(sim) AS similarity FROM k WHERE r <= 5 GROUP BY 1, 2)
       SELECT a, b, round(similarity, 6) AS similarity FROM p ORDER BY round(p.similarity, 9) DESC, a, b LIMIT 30""",
+    "same_fact_merge": MEM + """, x AS (SELECT superseded_by AS g, id, content, tags, created_at FROM m WHERE superseded_by IS NOT NULL AND superseded_by <> id), y AS (SELECT * FROM x UNION ALL SELECT id, id, content, tags, created_at FROM m WHERE id IN (SELECT g FROM x)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY created_at NULLS FIRST, id) AS n FROM y), c AS (SELECT g, content, min(n) AS n FROM o WHERE content IS NOT NULL GROUP BY 1, 2), t AS (SELECT g, count(DISTINCT t) AS k FROM (SELECT g, unnest(tags) AS t FROM o) GROUP BY 1)
+      SELECT a.g AS merged_id, md5(coalesce(c.s, '')) AS content_md5, coalesce(t.k, 0) AS n_tags, a.n FROM (SELECT g, count(*) AS n FROM o GROUP BY 1) a LEFT JOIN (SELECT g, string_agg(content, ' | ' ORDER BY n) AS s FROM c GROUP BY 1) c ON c.g = a.g LEFT JOIN t ON t.g = a.g""",
+    "edit_event_reduce": "WITH RECURSIVE " + MEM_CTE + """, k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY id) AS n FROM m),
+      e AS (SELECT k.id, ts, event_id, CASE event_type WHEN 'error' THEN 'forget' WHEN 'signup' THEN 'restore' WHEN 'view' THEN 'share' WHEN 'purchase' THEN 'unshare' ELSE 'feedback' END AS a, CASE WHEN event_id % 3 = 0 THEN -0.2 ELSE 0.1 END::DOUBLE AS d FROM events v JOIN k ON k.agent = 'agent-' || (v.user_id % 8) AND k.n = v.event_id % 40 + 1),
+      f AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS i FROM e WHERE a = 'feedback'), r(id, i, t) AS (SELECT id, 0::BIGINT, coalesce(trust, 0.5)::DOUBLE FROM m UNION ALL SELECT r.id, f.i, least(1.0, greatest(0.0, r.t + f.d)) FROM r JOIN f ON f.id = r.id AND f.i = r.i + 1),
+      z AS (SELECT id, arg_max(t, i) AS trust FROM r GROUP BY 1), s AS (SELECT id, arg_max(a, (ts, event_id)) FILTER (WHERE a IN ('forget', 'restore')) AS st, arg_max(a, (ts, event_id)) FILTER (WHERE a IN ('share', 'unshare')) AS vi FROM e GROUP BY 1)
+      SELECT m.id, CASE st WHEN 'forget' THEN 'forgotten' WHEN 'restore' THEN 'active' ELSE m.status END AS status, CASE vi WHEN 'share' THEN 'shared' WHEN 'unshare' THEN 'private' ELSE m.visibility END AS visibility, round(z.trust, 6) AS trust FROM m JOIN z ON z.id = m.id LEFT JOIN s ON s.id = m.id""",
     "tumbling_events": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "sliding_events": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) - o * INTERVAL 10 MINUTE AS start, count(*) AS n FROM events, range(0, 3) AS r(o) GROUP BY 1",
     "session_events": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, k",

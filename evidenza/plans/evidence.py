@@ -153,7 +153,7 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _scored(spark, sf_dir).withColumn("cost", text.token_estimate(F.col("content")))
-    return context.greedy_packed(m, "agent", [F.desc("score"), "id"], "id", "cost", 400, 60)
+    return context.greedy_packed(m, "agent", [F.desc("score"), "id"], "id", "cost", 400)
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ ORACLE = {
     "seen_count_rollup": "SELECT id, count(*) AS n_rows, count(DISTINCT coalesce(epoch_us(updated_at), 0)) AS n_versions, max(seen_count) AS stated FROM memories WHERE id IS NOT NULL GROUP BY id",
     "trust_decay": MEM + f" SELECT id, round(greatest(CASE WHEN coalesce(trust, 0.5) > 0 THEN coalesce(trust, 0.5) * pow(0.5, {_AGE % 'coalesce(updated_at, created_at)'} / 30) ELSE 0 END, 0.3), 6) AS decayed FROM m WHERE status = 'active'",
     "trust_histogram": MEM + " SELECT round_even(trust, 1) AS bucket, count(*) AS n FROM m WHERE trust IS NOT NULL GROUP BY 1",
-    "transient_filter": MEM + r" SELECT id FROM m WHERE regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%[\p{L}\p{N}_]') OR regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)')"
+    "transient_filter": MEM + r" SELECT id FROM m WHERE regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%') OR regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)')"
       + " OR regexp_matches(content, '" + _WHOLE % "percent|currently|now|is at|today|tonight|this morning|right now" + "')",
     "secret_scan": MEM + r" SELECT id FROM m WHERE regexp_matches(coalesce(content, '') || chr(10) || coalesce(metadata, ''), '(?i)(password|passwd|secret|token|api[_-]?key)\s*(=|:|is)\s*[A-Za-z0-9+/_.-]{6,}|sk-[A-Za-z0-9]{16,}|://[^/ :@]+:[^/ @]+@')",
     "statement_kind": MEM + " SELECT " + _classes("coalesce(content, '')", [("correction", r"correct(?:ion|ed)?|actually|not\s+[\p{L}\p{N}_]+\s+but|wrong"), ("abandoned", "abandon(?:ed|ing)?|withdrawn|dropped|rejected|no longer"), ("unresolved", "unresolved|open question|still need to decide|undecided|tbd"),
@@ -212,8 +212,18 @@ ORACLE = {
     "visibility_heuristic": MEM + " SELECT id, CASE WHEN regexp_matches(lower(content), 'timezone|name|email|prefers|hates|wants|language|region|location') THEN 'fleet' WHEN regexp_matches(lower(content), 'project|repo|hardware|server|network|decision|agreed|plan|build') THEN 'shared' ELSE 'private' END AS guess FROM m WHERE content IS NOT NULL",
     "token_estimates": "SELECT doc_id, greatest(1, ceil(len(text) / 3))::INT AS n, CASE WHEN greatest(1, ceil(len(text) / 3)) <= 50 THEN len(text) ELSE len(rtrim(substring(text, 1, 149), ' ')) + 1 END AS fitted, CASE WHEN len(text) <= 200 THEN len(text) ELSE 200 END AS head_tail FROM documents WHERE text IS NOT NULL",
     "greedy_budget_pack": "WITH RECURSIVE " + _PACK[len("WITH "):] + """ f AS (SELECT agent, n, id, cost, CASE WHEN cost <= 400 THEN cost ELSE 0 END AS used, cost <= 400 AS kept FROM r WHERE n = 1
-      UNION ALL SELECT r.agent, r.n, r.id, r.cost, f.used + CASE WHEN f.used + r.cost <= 400 THEN r.cost ELSE 0 END, f.used + r.cost <= 400 FROM f JOIN r ON r.agent = f.agent AND r.n = f.n + 1 WHERE r.n <= 60)
+      UNION ALL SELECT r.agent, r.n, r.id, r.cost, f.used + CASE WHEN f.used + r.cost <= 400 THEN r.cost ELSE 0 END, f.used + r.cost <= 400 FROM f JOIN r ON r.agent = f.agent AND r.n = f.n + 1 WHERE r.n <= 100)
       SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY n) AS position, cost FROM f WHERE kept""",
+    "context_pack": "WITH RECURSIVE " + MEM[len("WITH "):] + """, r AS (SELECT * FROM (SELECT agent, id, greatest(1, ceil(len(content) / 3))::INT AS cost, CASE WHEN status <> 'active' THEN 'uncertainty' WHEN source IN ('vault', 'import') THEN 'provenance' WHEN type = 'conversation' THEN 'recent' ELSE 'current' END AS kind,
+        row_number() OVER (PARTITION BY agent ORDER BY coalesce(confidence, 0) DESC, id) AS n FROM m WHERE content IS NOT NULL) WHERE n <= 100),
+      k AS (SELECT *, row_number() OVER (PARTITION BY agent, kind ORDER BY n) AS i, CASE kind WHEN 'current' THEN 360 WHEN 'uncertainty' THEN 120 WHEN 'provenance' THEN 90 ELSE 30 END AS q FROM r),
+      a AS (SELECT agent, kind, i, n, id, cost, CASE WHEN cost <= q THEN cost ELSE 0 END AS used, cost <= q AS kept FROM k WHERE i = 1
+        UNION ALL SELECT k.agent, k.kind, k.i, k.n, k.id, k.cost, a.used + CASE WHEN a.used + k.cost <= k.q THEN k.cost ELSE 0 END, a.used + k.cost <= k.q FROM a JOIN k ON k.agent = a.agent AND k.kind = a.kind AND k.i = a.i + 1),
+      u AS (SELECT agent, 600 - coalesce(sum(cost) FILTER (WHERE kept), 0) AS q FROM a GROUP BY 1), l AS (SELECT a.agent, a.n, a.id, a.cost, u.q, row_number() OVER (PARTITION BY a.agent ORDER BY a.n) AS i FROM a JOIN u ON u.agent = a.agent WHERE NOT kept),
+      b AS (SELECT agent, i, n, id, cost, q, CASE WHEN cost <= q THEN cost ELSE 0 END AS used, cost <= q AS kept FROM l WHERE i = 1
+        UNION ALL SELECT l.agent, l.i, l.n, l.id, l.cost, l.q, b.used + CASE WHEN b.used + l.cost <= l.q THEN l.cost ELSE 0 END, b.used + l.cost <= l.q FROM b JOIN l ON l.agent = b.agent AND l.i = b.i + 1),
+      o AS (SELECT agent, min(n) FILTER (WHERE NOT kept) AS n, max(q) - coalesce(sum(cost) FILTER (WHERE kept), 0) AS rest FROM b GROUP BY 1)
+      SELECT agent, id, cost AS granted, false AS cut FROM a WHERE kept UNION ALL SELECT agent, id, cost, false FROM b WHERE kept UNION ALL SELECT b.agent, b.id, o.rest, true FROM b JOIN o ON o.agent = b.agent AND o.n = b.n WHERE o.rest >= 8""",
     "corroboration_boost": MEM + """, """ + LINK_CTE + """, a AS (SELECT id, agent, coalesce(nullif(trust, 0), 0.5) AS t, {'t': coalesce(epoch_us(created_at), 0), 'id': id} AS at FROM m WHERE status = 'active'),
       k AS (SELECT l.memory_id, l.entity_id, a.agent, a.at, row_number() OVER (PARTITION BY memory_id ORDER BY entity_id) AS r FROM l JOIN a ON a.id = l.memory_id),
       n AS (SELECT x.memory_id AS id, count(DISTINCT y.memory_id) AS n FROM k x JOIN k y ON x.agent = y.agent AND x.entity_id = y.entity_id AND y.r <= 5 AND y.at > x.at GROUP BY 1),

@@ -32,6 +32,18 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.option("pathGlobFilter", name).parquet(folder) if path.startswith("/") and os.path.isfile(path) else reader.parquet(path)
 
 
+def with_end(stream: DataFrame, at: str) -> DataFrame:
+    """A finite stream with a row behind all others that closes every window once the rest is read: all its values are null but a far time.
+
+    Only for streams that are read in one batch; of a stream that is read in several, the row would make the later ones late.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/end"
+    far = [(F.lit("9000-01-01 00:00:00") if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*far).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there, and returns what it wrote."""
     spark, root = stream.sparkSession, shared_folder(stream.sparkSession)
@@ -66,12 +78,16 @@ def interval_joined(opened: DataFrame, closing: DataFrame, key: str, seconds: in
     return c.join(o, near).select("closing_id", "opened_id", "closed_at", "opened_at")
 
 
-def _retries(most: int) -> Callable:
+def _retries(most: int, keep_ms: int) -> Callable:
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, last = state.get if state.exists else (0, "pending")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, last, newest = state.get if state.exists else (0, "pending", 0)
         out = []
         for pdf in rows:
             for at, seq, event in pdf.sort_values(["at", "seq"])[["at", "seq", "event"]].itertuples(index=False):
+                newest = max(newest, int(at.timestamp() * 1000))
                 if last in ("ready", "dead_letter"):
                     continue
                 if event == "failed":
@@ -80,16 +96,22 @@ def _retries(most: int) -> Callable:
                 else:
                     last = {"done": "ready", "claimed": "running"}.get(event, "pending")
                 out.append((key[0], seq, last, failures, float(min(300, 2 ** (failures - 1))) if last == "retry_wait" else None))
-        state.update((failures, last))
-        yield pd.DataFrame(out, columns=["job", "seq", "state", "failures", "wait_s"])
+        state.update((failures, last, newest))
+        state.setTimeoutTimestamp(max(newest + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["job", "seq", "state", "failures", "wait_s"])
 
     return step
 
 
-def retry_transitions(stream: DataFrame, most: int = 3) -> DataFrame:
-    """Every change of state of each job from its events (job, at, seq, event): retries with doubling waits, then a dead letter."""
+def retry_transitions(stream: DataFrame, most: int = 3, late: str = "1 hour", keep_days: int = 30) -> DataFrame:
+    """Every change of state of each job from its events (job, at, seq, event): retries with doubling waits, then a dead letter.
+
+    A job that nothing was heard of for ``keep_days`` is forgotten, so the state doesn't grow with all jobs there ever were.
+    """
     kind = dict(stream.dtypes)["job"]
-    return stream.groupBy("job").applyInPandasWithState(_retries(most), f"job {kind}, seq bigint, state string, failures int, wait_s double", "failures int, last string", "append", GroupStateTimeout.NoTimeout)
+    watched = stream.withWatermark("at", late).groupBy("job")
+    return watched.applyInPandasWithState(_retries(most, keep_days * 86_400_000), f"job {kind}, seq bigint, state string, failures int, wait_s double", "failures int, last string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def batches_upserted(stream: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
