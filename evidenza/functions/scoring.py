@@ -10,6 +10,10 @@ INITIAL_TRUST = {"import": 0.9, "manual": 0.9, "vault": 0.8, "hindsight": 0.7, "
 SOURCE_WEIGHT = {"conversation": 1.3, "manual": 1.3, "import": 1.3, "hindsight": 1.3, "dream": 1.1, "cron": 1.1, "sensor": 1.1, "email": 1.1, "vault": 0.7}
 AUTHORITY = {"manual": 1.0, "conversation": 0.9, "import": 0.8, "vault": 0.85, "hindsight": 0.7, "dream": 0.55, "cron": 0.6, "sensor": 0.65, "email": 0.7}
 CALIBRATION = {"vault": 0.15, "import": 0.05, "manual": 0.10, "conversation": 0.0, "hindsight": -0.05}
+SIGNALS = {
+    "explicit_useful": (1, 1.0, "explicit"), "explicit_wrong": (-1, 1.0, "explicit"), "explicit_correction": (-1, 0.9, "explicit"), "tool_contradiction": (-1, 0.85, "inferred"),
+    "tool_supported": (1, 0.6, "inferred"), "counterfactual_support": (1, 0.4, "inferred"), "counterfactual_harm": (-1, 0.5, "inferred"), "support_assessment": (1, 0.2, "inferred"),
+}
 VISIBILITY = {"private": 0, "shared": 1, "fleet": 2}
 
 

@@ -271,3 +271,14 @@ def json_slice(c: Column) -> Column:
 def fingerprint(c: Column) -> Column:
     """Digest of a text's comparable form; null is the empty text."""
     return F.sha2(content_key(F.coalesce(c, F.lit(""))), 256)
+
+
+def iso_time(c: Column) -> Column:
+    """A moment in ISO form: Z and offsets are heeded, one without either is UTC; null if it can't be read. The session's zone is UTC."""
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"), c.try_cast("timestamp"))
+
+
+def claim_identity(subject: Column, c: Column) -> Column:
+    """Digest of what makes two statements the same: subject, predicate and object in their comparable forms."""
+    p = claim_parts(subject, c)
+    return F.sha2(F.concat_ws("\u0001", claim_value(subject), claim_value(p["predicate"]), claim_value(p["object"])), 256)

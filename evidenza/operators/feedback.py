@@ -24,6 +24,15 @@ def adjusted(results: DataFrame, utility: DataFrame, key: str, most: float = 0.1
     return rows.withColumn("adjusted", F.col("score") + F.coalesce(move, F.lit(0.0))).select(*results.columns, "adjusted")
 
 
+def mixed(signals: DataFrame, key: str, archetype: str, now: Column, share: float = 0.25) -> DataFrame:
+    """(key, archetype, pos, neg, mean, confidence): utilities of each kind of question, with a share of those over all kinds."""
+    own = utilities(signals, [key, archetype], now).select(key, archetype, "pos", "neg")
+    all_ = utilities(signals, [key], now).select(key, F.col("pos").alias("_p"), F.col("neg").alias("_n"))
+    rows = own.join(all_, key).select(key, archetype, (F.col("pos") + share * F.col("_p")).alias("pos"), (F.col("neg") + share * F.col("_n")).alias("neg"))
+    obs = F.col("pos") + F.col("neg")
+    return rows.withColumns({"mean": (2 + F.col("pos")) / (4 + obs), "confidence": 1 - F.exp(-obs / 10)})
+
+
 def synergies(signals: DataFrame, group: list[str], item: str) -> DataFrame:
     """Pairs of items next to one another in each group's order, with their synergy and its confidence."""
     w = Window.partitionBy(*group).orderBy("created_at", "id")

@@ -175,3 +175,33 @@ def promoted(sightings: DataFrame, key: list[str], member: str, least: int) -> D
 def strongest(relations: DataFrame, key: list[str], strength: str) -> DataFrame:
     """Upsert of relations: of each key the highest strength and how much evidence there is."""
     return relations.groupBy(*key).agg(F.max(strength).alias("strength"), F.count("*").alias("n_evidence"))
+
+
+def named(entities: DataFrame, links: DataFrame, memories: DataFrame) -> DataFrame:
+    """(agent, key, id): which entity of each agent a name or alias means.
+
+    ``entities`` has (id, agent, name, aliases array). An agent's own entity goes before one of no agent, which counts only if a memory of the
+    agent is linked to it; a name goes before an alias, and the smaller id before the other. Aliases are compared in their comparable form, each once.
+    """
+    each = F.concat(F.array(F.struct(F.lit(0).alias("alias"), text.entity_key(F.col("name")).alias("key"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(1).alias("alias"), text.entity_key(a).alias("key"))))
+    rows = entities.select("id", "agent", F.explode(each).alias("e")).select("id", "agent", "e.*").where(F.coalesce("key", F.lit("")) != "")
+    users = links.join(memories.select(F.col("id").alias("memory_id"), F.col("agent").alias("user")), "memory_id").select(F.col("entity_id").alias("id"), "user").distinct()
+    own = rows.where("agent IS NOT NULL").withColumn("free", F.lit(0))
+    free = rows.where("agent IS NULL").drop("agent").join(users, "id").withColumnRenamed("user", "agent").withColumn("free", F.lit(1))
+    both = own.unionByName(free.where("agent IS NOT NULL"))
+    return both.groupBy("agent", "key").agg(F.min_by("id", F.struct("alias", "free", "id")).alias("id"))
+
+
+def expanded(queries: DataFrame, names: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, name, place): up to ``most`` names to search for: entities that pieces of a question name, in order, then those one step away.
+
+    ``queries`` has (query_id, agent, phrases), ``names`` (agent, key, id) as of ``named``, ``entities`` (id, name), ``edges`` (agent, entity_a, entity_b).
+    """
+    asked = queries.select("query_id", "agent", F.posexplode("phrases").alias("at", "phrase")).withColumn("key", text.entity_key(F.col("phrase")))
+    seeds = asked.join(names, ["agent", "key"]).groupBy("query_id", "agent", "id").agg(F.min("at").alias("at"))
+    both = edges.select("agent", F.col("entity_a").alias("id"), F.col("entity_b").alias("next")).unionByName(edges.select("agent", F.col("entity_b").alias("id"), F.col("entity_a").alias("next")))
+    near = seeds.join(both, ["agent", "id"]).select("query_id", "agent", F.col("next").alias("id"), F.col("at"), F.lit(1).alias("hop"))
+    rows = seeds.withColumn("hop", F.lit(0)).unionByName(near, allowMissingColumns=True).join(entities.select("id", "name"), "id")
+    first = rows.groupBy("query_id", F.lower("name").alias("low")).agg(F.min(F.struct("hop", "at", F.lower("name").alias("low"), "name")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("f"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("query_id", F.col("f.name").alias("name"), "place")

@@ -101,8 +101,11 @@ def round_robin(messages: DataFrame, limit: int = 80) -> DataFrame:
 
 
 def matching(messages: DataFrame, words: list[str]) -> DataFrame:
-    """Visible messages that have any of the words."""
-    return messages.where(visible_message() & F.arrays_overlap(text.tokens(F.col("content")), F.array(*[F.lit(w) for w in words])))
+    """Visible messages that have any of the words; only those that hold one as a piece are read into words."""
+    low, piece = F.lower("content"), F.lit(False)
+    for w in words:
+        piece = piece | F.contains(low, F.lit(w))
+    return messages.where(visible_message() & piece).where(F.arrays_overlap(text.tokens(F.col("content")), F.array(*[F.lit(w) for w in words])))
 
 
 def version_digest(messages: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts() -> tuple:
-    from evidenza.plans import archive, evidence, recall, retrieval, streams, upkeep
+    from evidenza.plans import archive, evidence, extras, recall, retrieval, streams, upkeep
 
-    return (retrieval, recall, evidence, archive, upkeep, streams)
+    return (retrieval, recall, evidence, archive, upkeep, extras, streams)
 
 
 def queries() -> dict[str, Query]:
