@@ -44,6 +44,8 @@ def _rx(words: str) -> str:
 
 _L = r"[^\W\d_]"
 _EMAIL = re.compile(rf"(?<![\w.+-])[\w][\w.+-]*{_AT}(?:[^\W_](?:[\w-]*[^\W_])?{_DOT})+{_L}{{2,}}(?![\w-])|(?<![\w.+-])[\w][\w.+-]* at (?:[\w-]+ dot )+{_L}{{2,}}(?!\w)", re.I)
+_SPELLED = re.compile(r"[\(\[\{]\s?at|\sat\s", re.I)
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![\w@.+/-])(?:\+\s?|\()?\d(?:[\d()]|[ ./-](?=[\d(])|\) (?=\d)){5,22}(?![\w@])")
 _IDS = re.compile(rf"(?<![\w@.+/-])(?:{_L}{{2}} \d\d \d\d \d\d {_L}(?!\w)|(?:{_L}{{1,3}}-?)?\d[\dA-Za-z]*(?:[ ./-]\d[\dA-Za-z]*)*(?![\w@]))", re.I)
 _NAMEWORD = rf"{_L}(?:{_L}|['’](?={_L}))+(?:-{_L}+)*"
@@ -139,15 +141,17 @@ def _found(cased_only: bool, kinds: tuple[str, ...], skip: frozenset[str] = froz
         for batch in batches:
             rows: list[tuple] = []
             for src, row_id, field, text in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "field", "text"))):
-                mails = [(m.start(), m.end()) for m in _EMAIL.finditer(text)]
-                places = [(m.start(), m.end()) for m in _ADDRESS.finditer(text) if all(m.end() <= x or y <= m.start() for x, y in mails)]
+                # what an email, an address or a number can't do without is looked for first
+                numbered = _DIGIT.search(text) is not None
+                mails = [(m.start(), m.end()) for m in _EMAIL.finditer(text)] if "@" in text or _SPELLED.search(text) else []
+                places = [(m.start(), m.end()) for m in _ADDRESS.finditer(text) if all(m.end() <= x or y <= m.start() for x, y in mails)] if numbered else []
                 if "email" in kinds:
                     rows += [(src, row_id, field, a, b, "email", text[a:b], text[a:b].lower(), None, None, True, 1, _around(text, a, b)) for a, b in mails]
                     for a, b in places:
                         words = re.findall(rf"{_L}{{2,}}", text[a:b])
                         shape = all(w[0].isupper() or w.lower() in (*_ROMANCE.split(), "de", "du", "des", "del", "di", "la", "las", "los", "le", "les", "el") for w in words)
                         rows.append((src, row_id, field, a, b, "address", text[a:b], text[a:b].lower(), None, None, shape, 1 if shape else 0, _around(text, a, b)))
-                    for a, b, kind, item, inst, sure in _numbers(text, mails + places):
+                    for a, b, kind, item, inst, sure in _numbers(text, mails + places) if numbered else ():
                         rows.append((src, row_id, field, a, b, kind, item, inst, None, None, True, sure, _around(text, a, b)))
                 if "name" in kinds:
                     for a, b, kind, item, inst, first, last, shape in _people(text, mails + places, cased_only, skip):
