@@ -183,7 +183,7 @@ def coverage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir).select("id")
     v = table(spark, sf_dir, "memory_vectors").where("embedding IS NOT NULL").select(F.col("memory_id").alias("id"), F.lit(1).alias("v")).distinct()
     e = tables.links(spark, sf_dir).select(F.col("memory_id").alias("id"), F.lit(1).alias("e")).distinct()
-    return m.join(v, "id", "left").join(e, "id", "left").agg(F.count("*").alias("n"), F.round(F.count("v") / F.count("*"), 6).alias("embedded"), F.round(F.count("e") / F.count("*"), 6).alias("linked"))
+    return m.join(v, "id", "left").join(e, "id", "left").agg(F.count("*").alias("n"), F.round(F.try_divide(F.count("v"), F.count("*")), 6).alias("embedded"), F.round(F.try_divide(F.count("e"), F.count("*")), 6).alias("linked"))
 
 
 def pending_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:

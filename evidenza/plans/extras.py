@@ -194,6 +194,7 @@ ORACLE = {
     "near_identity_dedup": MEM + ", " + _PARTS + " SELECT agent, visibility, arg_min(id, (coalesce(epoch_us(created_at), 0), id)) AS kept_id, count(*) AS n, sum(coalesce(seen_count, 1))::BIGINT AS seen FROM cl WHERE status = 'active' GROUP BY agent, visibility, identity HAVING count(*) > 1",
     "claims_from_tags": _MADE + " SELECT id, agent, tags[1] AS subject, 'states' AS predicate, md5(rtrim(regexp_replace(trim(content, ' '), '[.?!]+$', ''), ' ')) AS object_md5 FROM m WHERE status = 'active' AND content IS NOT NULL AND len(tags) > 0 AND id NOT IN (SELECT memory_id FROM c)",
     "migrated_links": MEM + " SELECT coalesce(m.agent, '') AS agent, 1.0::DOUBLE AS strength, count(*) AS n FROM memory_entities e LEFT JOIN m ON m.id = e.memory_id WHERE e.memory_id IS NOT NULL GROUP BY 1",
+    "prefetch_context": "@PREFETCH",
     "bank_import": MEM + f" SELECT doc_id, hash FROM (SELECT sha256({KEY('text')}) AS hash, min(doc_id) AS doc_id FROM documents WHERE starts_with(source, 'import:bank') AND list_has_any({TOKENS('text')}, ['project', 'preference', 'decision', 'person', 'tool'])" + r" AND NOT (regexp_matches(text, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%') OR regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])percent(?:[^\p{L}\p{N}_]|$)') OR regexp_matches(text, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)'))"
       + f" GROUP BY 1) WHERE hash NOT IN (SELECT sha256({KEY('content')}) FROM m WHERE content IS NOT NULL) ORDER BY doc_id LIMIT 200",
     "dream_window": MEM + ", k AS (SELECT * FROM m WHERE status = 'active' AND visibility IN ('shared', 'fleet') AND created_at IS NOT NULL) SELECT id, agent FROM k JOIN (SELECT agent, max(created_at) AS n FROM k GROUP BY 1) USING (agent) WHERE n - created_at <= INTERVAL 7 DAY",
@@ -207,9 +208,23 @@ ORACLE = {
 
 
 def _late() -> None:
+    from evidenza.plans import evidence
     from evidenza.plans import recall as plans
 
     base, made = plans.ORACLE["recall_memories"], _MADE
+    from evidenza.plans import upkeep
+
+    # the terms of each turn, found by the words of each, then the greedy packing of the best five of each term
+    terms = upkeep.ORACLE["query_expansions"]
+    gate = evidence.ORACLE["archetype_classify"]
+    lane = plans._bm25("status = 'active'", "content || ' ' || coalesce(array_to_string(tags, ' '), '')", "true", 5, "visibility IN ('private', 'shared')")
+    first = lane.index("q AS (SELECT id AS query_id")
+    lane = lane[: lane.index("qw AS (")] + "q AS (SELECT query_id, agent, unnest(list_distinct(regexp_extract_all(lower(term), '[a-z0-9]+'))) AS term FROM ex)," + lane[lane.index(" st AS (", first) :]
+    ORACLE["prefetch_context"] = "WITH RECURSIVE " + MEM[len("WITH ") :] + f""", ts AS ({terms}), gt AS ({gate}), ag AS (SELECT id, any_value(agent_id) AS agent FROM turns WHERE id IS NOT NULL GROUP BY id),
+      ex AS (SELECT id || '#' || (i - 1) AS query_id, id AS turn, i - 1 AS pos, agent, l[i] AS term FROM (SELECT ts.id, agent, string_split(terms, '|') AS l FROM ts JOIN gt ON gt.id = ts.id AND gt.needs_memory JOIN ag ON ag.id = ts.id WHERE agent IS NOT NULL AND terms <> ''), unnest(range(1, len(l) + 1)) AS r(i)), {lane},
+      fo AS (SELECT turn, kw.id, min((pos, rank)) AS f FROM kw JOIN ex ON ex.query_id = kw.query_id GROUP BY 1, 2), co AS (SELECT fo.turn, fo.id, greatest(1, ceil(len(m.content) / 3))::INT AS cost, row_number() OVER (PARTITION BY fo.turn ORDER BY f, fo.id) AS n FROM fo JOIN m ON m.id = fo.id),
+      gr AS (SELECT turn, n, id, cost, CASE WHEN cost <= 200 THEN cost ELSE 0 END AS used, cost <= 200 AS kept FROM co WHERE n = 1 UNION ALL SELECT co.turn, co.n, co.id, co.cost, gr.used + CASE WHEN gr.used + co.cost <= 200 THEN co.cost ELSE 0 END, gr.used + co.cost <= 200 FROM gr JOIN co ON co.turn = gr.turn AND co.n = gr.n + 1)
+      SELECT turn::VARCHAR AS turn, count(*) AS n, sum(cost)::BIGINT AS tokens, md5(string_agg(id, ',' ORDER BY n)) AS digest FROM gr WHERE kept GROUP BY 1"""
     ORACLE["recall_claims"] = f"WITH rr AS ({base}), cc AS ({made} SELECT memory_id, arg_max(claim_id, (observed_at, claim_id)) AS claim_id, arg_max(predicate, (observed_at, claim_id)) AS predicate FROM c GROUP BY 1) SELECT query_id, rr.id, rank, claim_id, predicate FROM rr LEFT JOIN cc ON cc.memory_id = rr.id"
 
 

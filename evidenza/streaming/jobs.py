@@ -108,9 +108,10 @@ def retry_transitions(stream: DataFrame, most: int = 3, late: str = "1 hour", ke
     """Every change of state of each job from its events (job, at, seq, event): retries with doubling waits, then a dead letter.
 
     A job that nothing was heard of for ``keep_days`` is forgotten, so the state doesn't grow with all jobs there ever were.
+    Events without a job or time are left out.
     """
     kind = dict(stream.dtypes)["job"]
-    watched = stream.withWatermark("at", late).groupBy("job")
+    watched = stream.where("job IS NOT NULL AND at IS NOT NULL").withWatermark("at", late).groupBy("job")
     return watched.applyInPandasWithState(_retries(most, keep_days * 86_400_000), f"job {kind}, seq bigint, state string, failures int, wait_s double", "failures int, last string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidenza.functions import text
-from evidenza.operators import claims, graph, history, lifecycle, recall, search
+from evidenza.operators import claims, feedback, graph, history, lifecycle, recall, search
 from evidenza.runtime import numbered
+from evidenza.sources import migrate
 from evidenza.streaming import jobs
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -128,3 +129,47 @@ def test_jobs_are_forgotten(spark, tmp_path):
     spark.createDataFrame(rows, "job string, at timestamp, seq bigint, event string").coalesce(1).write.parquet(str(tmp_path / "log"))
     got = jobs.drained(jobs.retry_transitions(jobs.file_stream(spark, str(tmp_path / "log"))))
     assert {(r["seq"], r["state"]) for r in got.collect()} == {(1, "retry_wait"), (2, "ready"), (4, "running")}
+
+
+def test_names_and_aliases(spark):
+    entities = spark.createDataFrame([("e1", "x", "Old Mill", ["The Mill", "the mill", ""]), ("e2", None, "old mill", None), ("e3", None, "Kiln", []), ("e4", "y", "Mill", None), ("e5", "x", " ", ["Mill"])], "id string, agent string, name string, aliases array<string>")
+    links = spark.createDataFrame([("m1", "e3"), ("m2", "e2")], "memory_id string, entity_id string")
+    memories = spark.createDataFrame([("m1", "x"), ("m2", "x")], "id string, agent string")
+    got = {(r["agent"], r["key"]): r["id"] for r in graph.named(entities, links, memories).collect()}
+    assert got == {("x", "old mill"): "e1", ("x", "the mill"): "e1", ("x", "kiln"): "e3", ("y", "mill"): "e4", ("x", "mill"): "e5"}
+    edges = spark.createDataFrame([("x", "e1", "e3")], "agent string, entity_a string, entity_b string")
+    ask = spark.createDataFrame([(1, "x", ["go to the mill", "the mill"]), (2, "x", ["nothing"]), (3, "y", ["Mill"]), (4, "x", [])], "query_id int, agent string, phrases array<string>")
+    out = graph.expanded(ask, graph.named(entities, links, memories), entities, edges).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["name"]) for r in out] == [(1, "Old Mill"), (1, "Kiln"), (3, "Mill")]
+
+
+def test_moments_and_identities(spark):
+    got = column(spark, ["2025-01-02T03:04:05Z", "2025-01-02 03:04:05+02:00", "2025-01-02", "on 2025-01-02", None, "2025-13-02T00:00:00Z"], lambda c: F.unix_seconds(text.iso_time(c)))
+    assert got == [1735787045, 1735779845, 1735776000, None, None, None]
+    same = column(spark, ["Ada prefers tea.", "Ada  now prefers Tea", "Ada prefers milk", "Ada sleeps", None], lambda c: text.claim_identity(F.lit("Ada"), c))
+    assert same[0] != same[2] and same[0] != same[3]
+    assert column(spark, ["Ada prefers tea.", "Ada now prefers Tea!"], lambda c: text.claim_identity(F.lit("Ada"), c))[0] == column(spark, ["Ada now prefers Tea!"], lambda c: text.claim_identity(F.lit("Ada"), c))[0]
+
+
+def test_older_tables(spark):
+    rows = spark.createDataFrame([("m1", "old"), ("m9", "old"), (None, "old")], "memory_id string, agent string")
+    memories = spark.createDataFrame([("m1", "x")], "id string, agent string")
+    got = migrate.with_columns(migrate.re_owned(rows, "memory_id", memories), {"strength": ("double", 1.0), "agent": ("string", "no")}).collect()
+    assert sorted((r["agent"], r["strength"]) for r in got) == [("", 1.0), ("", 1.0), ("x", 1.0)]
+    facts = spark.createDataFrame([(1, None, None), (2, True, None), (3, False, "Hypothetical"), (4, False, "asserted")], "id int, discard boolean, modality string")
+    assert [r["id"] for r in migrate.kept_facts(facts).orderBy("id").collect()] == [1, 4]
+
+
+def test_packed_vectors_round_trip(spark):
+    rows = [(1, [0.5, -2.0, 1e-3]), (2, None), (3, []), (4, [float("nan")]), (5, [None, 1.0])]
+    got = {r["k"]: r["packed"] for r in migrate.packed(spark.createDataFrame(rows, "k int, v array<float>"), "k", "v").collect()}
+    assert migrate.unpacked(bytes(got[1])) == pytest.approx([0.5, -2.0, 1e-3]) and {k for k, v in got.items() if v is None} == {2, 3, 4, 5}
+    with pytest.raises(ValueError):
+        migrate.unpacked(b"abc")
+    assert migrate.unpacked(None) is None
+
+
+def test_utilities_by_kind(spark):
+    s = spark.createDataFrame([("m", "a", 1, 1.0, True, T0), ("m", "b", -1, 2.0, False, T0)], "memory_id string, kind string, direction int, weight double, explicit boolean, created_at timestamp")
+    got = {r["kind"]: (r["pos"], r["neg"]) for r in feedback.mixed(s, "memory_id", "kind", F.lit("2025-01-01 00:00:00").cast("timestamp")).collect()}
+    assert got == {"a": (pytest.approx(1.25), pytest.approx(0.5)), "b": (pytest.approx(0.25), pytest.approx(2.5))}
