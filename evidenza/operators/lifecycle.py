@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.runtime import cut
+from evidenza.runtime import cut, numbered
 
 
 def _kept_links(memories: DataFrame, links: DataFrame, most: int) -> DataFrame:
@@ -101,14 +101,29 @@ def merged(rows: DataFrame, group: str, key: str, content: str, tags: str, order
     return out.select(F.col("a.g").alias(group), F.coalesce(F.array_join("c.l", " | "), F.lit("")).alias("content"), F.coalesce("t.l", F.array().cast("array<string>")).alias("tags"), "replaced", "n")
 
 
-def edited(memories: DataFrame, edits: DataFrame) -> DataFrame:
+def _steps(rows: DataFrame, chunk: int) -> DataFrame:
+    """(id, k, d, lo, hi): runs of ``chunk`` steps of one record (id, k, d, lo, hi), in order, as one step.
+
+    A step takes x to min(hi, max(lo, x + d)); what several of them do in a row is again such a step.
+    """
+    start = F.struct(F.lit(0.0).alias("d"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    clamp = lambda x, e: F.least(e["hi"], F.greatest(e["lo"], x + e["d"]))
+    both = lambda s, e: F.struct((s["d"] + e["d"]).alias("d"), clamp(s["lo"], e).alias("lo"), clamp(s["hi"], e).alias("hi"))
+    lists = rows.groupBy("id", F.floor((F.col("k") - 1) / chunk).alias("at")).agg(F.array_sort(F.collect_list(F.struct("k", "d", "lo", "hi"))).alias("l"))
+    return lists.select("id", (F.col("at") + 1).alias("k"), F.aggregate("l", start, both).alias("s")).select("id", "k", "s.*")
+
+
+def edited(memories: DataFrame, edits: DataFrame, chunk: int = 1000) -> DataFrame:
     """(id, status, visibility, trust) after edit events (id, at, seq, action, amount): forget, restore, share, unshare, feedback.
 
-    Feedback adds and clamps to 0..1 step by step, in the order of the events, so it is a fold over each record's own
-    sorted events; the last of forget and restore, and of share and unshare, decide the rest.
+    Feedback adds and clamps to 0..1 step by step, in the order of the events. Steps are put together by ``chunk``, and those
+    again, so of a record that most events are of, no task holds more than a millionth. The last of forget and
+    restore, and of share and unshare, decide the rest. Events without an id are left out.
     """
     last = lambda a, b: F.max_by(F.when(F.col("action").isin(a, b), F.col("action")), F.when(F.col("action").isin(a, b), F.struct("at", "seq")))
-    per = edits.groupBy("id").agg(last("forget", "restore").alias("state"), last("share", "unshare").alias("seen"), F.array_sort(F.collect_list(F.when(F.col("action") == "feedback", F.struct("at", "seq", "amount")))).alias("f"))
-    rows = memories.select("id", "status", "visibility", F.coalesce("trust", F.lit(0.5)).alias("trust")).join(per, "id", "left")
-    fold = F.aggregate(F.coalesce("f", F.expr("cast(array() as array<struct<at:timestamp,seq:bigint,amount:double>>)")), F.col("trust"), lambda s, e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + e["amount"])))
-    return rows.select("id", F.when(F.col("state") == "forget", "forgotten").when(F.col("state") == "restore", "active").otherwise(F.col("status")).alias("status"), F.when(F.col("seen") == "share", "shared").when(F.col("seen") == "unshare", "private").otherwise(F.col("visibility")).alias("visibility"), fold.alias("trust"))
+    per = edits.groupBy("id").agg(last("forget", "restore").alias("state"), last("share", "unshare").alias("seen"))
+    steps = numbered(edits.where("action = 'feedback' AND id IS NOT NULL AND amount IS NOT NULL").select("id", "at", "seq", F.col("amount").cast("double").alias("d"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), ["id"], ["at", "seq"], "k").drop("at", "seq")
+    once = _steps(_steps(_steps(steps, chunk), chunk), 2**31 - 1).drop("k")
+    rows = memories.select("id", "status", "visibility", F.coalesce("trust", F.lit(0.5)).alias("trust")).join(per, "id", "left").join(once, "id", "left")
+    trust = F.when(F.col("d").isNull(), F.col("trust")).otherwise(F.least(F.col("hi"), F.greatest(F.col("lo"), F.col("trust") + F.col("d"))))
+    return rows.select("id", F.when(F.col("state") == "forget", "forgotten").when(F.col("state") == "restore", "active").otherwise(F.col("status")).alias("status"), F.when(F.col("seen") == "share", "shared").when(F.col("seen") == "unshare", "private").otherwise(F.col("visibility")).alias("visibility"), trust.alias("trust"))

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
+from evidenza.runtime import broadcast_if_small, numbered
 
 
 def lane_normalized(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """``relevance``: scores of each lane mapped to 0.05..1; a lane of one value gets 1 if it is positive, else 0.01."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn("relevance", F.when(hi > lo, 0.05 + 0.95 * (F.col(score) - lo) / (hi - lo)).when(F.col(score) > 0, 1.0).otherwise(0.01))
+    """``relevance``: scores of each lane mapped to 0.05..1; a lane of one value gets 1 if it is positive, else 0.01.
+
+    The bounds of a lane are aggregated before the shuffle, so a lane that holds most rows is never gathered.
+    """
+    bounds = df.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    rows = df.join(broadcast_if_small(bounds), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return rows.withColumn("relevance", F.when(hi > lo, 0.05 + 0.95 * (F.col(score) - lo) / (hi - lo)).when(F.col(score) > 0, 1.0).otherwise(0.01)).drop("_lo", "_hi", *[f"_{c}" for c in by])
 
 
 def duplicate_penalty(df: DataFrame, by: list[str], content: str, order: list, penalty: float = 0.65) -> DataFrame:
-    """``diversity``: 1 for the first of each normalized content, the penalty for the others."""
-    w = Window.partitionBy(*by, text.content_key(F.col(content))).orderBy(*order)
-    return df.withColumn("diversity", F.when(F.row_number().over(w) > 1, penalty).otherwise(1.0))
+    """``diversity``: 1 for the first of each normalized content, the penalty for the others; null contents are of one sort."""
+    rows = df.withColumn("_key", F.coalesce(text.content_key(F.col(content)), F.lit("")))
+    rows = numbered(rows, [*by, "_key"], order, "_n")
+    return rows.withColumn("diversity", F.when(F.col("_n") > 1, penalty).otherwise(1.0)).drop("_key", "_n")
 
 
 def signal(trust: Column, confidence: Column, verified: Column, seen: Column, source: Column) -> Column:

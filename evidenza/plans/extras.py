@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.operators import claims, context, feedback, graph, lifecycle, recall
+from evidenza.operators import claims, context, evaluate, feedback, graph, history, lifecycle, recall, vault
 from evidenza.plans.recall import _LANE, _W
-from evidenza.plans.sql import KEY, LINK_CTE, MEM, SIG_CTE, TOKENS
+from evidenza.plans.archive import _SEEN, _VIS
+from evidenza.plans.sql import KEY, LINK_CTE, MEM, MEM_CTE, MSG_CTE, SES_CTE, SIG_CTE, TOKENS, TURN_CTE
 from evidenza.plans.upkeep import _EKEY, _MADE, _NAMES
-from evidenza.runtime import table
+from evidenza.runtime import numbered, table
 from evidenza.sources import migrate, tables
 
 _NOW = "2024-02-01 00:00:00"
@@ -158,7 +159,86 @@ def insert_or_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(new, "id", "left").select("id", "at", "status", F.coalesce("new", F.lit(False)).alias("new"))
 
 
-QUERIES = {f.__name__: f for f in (entity_lookup, graph_expansions, entity_salience, relation_evidence, claim_identities, near_identity_dedup, claims_from_tags, migrated_links, recall_claims, prefetch_context, bank_import, dream_window, iso_times, vector_pack, signal_weights, utility_by_archetype, insert_or_replace)}
+def turn_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One queue row for each turn that says something, however often it was delivered."""
+    t = tables.turns(spark, sf_dir)
+    says = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    status = F.when(F.col("extraction_status") == "done", "done").when(F.coalesce("extraction_attempts", F.lit(0)) >= 3, "dead_letter").otherwise("pending")
+    return t.where(says("user_text") | says("assistant_text")).select("id", status.alias("status"), F.coalesce("extraction_attempts", F.lit(0)).cast("int").alias("attempts"))
+
+
+def reference_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what was known of each session at some time still holds: its visible messages are the same now."""
+    g = tables.messages(spark, sf_dir)
+    was = history.version_digest(g.where(F.col("timestamp") < F.lit("2025-03-01 00:00:00").cast("timestamp"))).select("session_id", F.col("version").alias("was"))
+    return was.join(history.version_digest(g), "session_id", "left").select("session_id", F.coalesce(F.col("was") == F.col("version"), F.lit(False)).alias("valid"))
+
+
+def telemetry_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of each kind retention drops: those older than 20 days, and all but the newest 1,500."""
+    e = table(spark, sf_dir, "events").where("event_type IS NOT NULL")
+    rows = numbered(e.select("event_type", "ts", "event_id"), ["event_type"], [F.desc("ts"), F.desc("event_id")])
+    old = F.col("ts") < F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")
+    return rows.groupBy("event_type").agg(F.count_if(old).alias("n_old"), F.count_if(~old & (F.col("n") > 1500)).alias("n_beyond"))
+
+
+def reextract_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names a memory's newest version gained and lost against its oldest."""
+    raw = table(spark, sf_dir, "memories").where("id IS NOT NULL AND content IS NOT NULL").withColumn("at", F.coalesce(F.unix_micros("updated_at"), F.lit(0)))
+    ends = raw.groupBy("id").agg(F.max(F.struct("at", "content")).alias("new"), F.min(F.struct("at", "content")).alias("old"))
+    names = lambda c: graph.entity_mentions(ends.select("id", F.col(f"{c}.content").alias("content")), "id", "content").select("id", "name_key", F.lit(True).alias(c))
+    both = names("old").distinct().join(names("new").distinct(), ["id", "name_key"], "full")
+    change = F.when(F.col("old").isNull(), "gained").when(F.col("new").isNull(), "lost").otherwise("kept")
+    return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_memories"))
+
+
+def vault_index_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What indexing does for each path whose text changed between two snapshots: passages to write and to trim."""
+    d = table(spark, sf_dir, "documents").where("path IS NOT NULL AND agent IS NOT NULL")
+    one = lambda p: d.where(F.col("doc_id") % 2 == p).groupBy("agent", "path").agg(F.max("doc_id").alias("doc_id"))
+    counts = vault.passages(d, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+    side = lambda p, c: one(p).join(counts, "doc_id", "left").select("agent", "path", F.coalesce("n", F.lit(0)).alias(c))
+    both = side(0, "was").join(side(1, "now"), ["agent", "path"], "full").na.fill(0, ["was", "now"])
+    return both.select("agent", "path", F.col("now").alias("n_written"), F.greatest(F.lit(0), F.col("was") - F.col("now")).cast("bigint").alias("n_trimmed"))
+
+
+def field_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of changes to memories: only some fields may be changed, and only to something else."""
+    m = numbered(tables.memories(spark, sf_dir), ["agent"], ["id"]).select("agent", "n", "id", "visibility", "status", "type")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("agent-"), (F.col("user_id") % 8).cast("string")).alias("agent"), (F.col("event_id") % 40 + 1).alias("n"), "event_id", "event_type")
+    field = F.when(F.col("event_type") == "view", "visibility").when(F.col("event_type") == "signup", "status").when(F.col("event_type") == "click", "type").otherwise("id")
+    value = F.when(F.col("event_type") == "view", "shared").when(F.col("event_type") == "signup", "archived").when(F.col("event_type") == "click", "fact").otherwise("x")
+    rows = e.join(m, ["agent", "n"]).withColumn("field", field).withColumn("value", value)
+    old = F.when(F.col("field") == "visibility", F.col("visibility")).when(F.col("field") == "status", F.col("status")).when(F.col("field") == "type", F.col("type"))
+    outcome = F.when(F.col("field") == "id", "rejected").when(old.eqNullSafe(F.col("value")), "unchanged").otherwise("applied")
+    return rows.groupBy("field", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_memories"))
+
+
+def claim_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that take another's place, with what stood there before and after."""
+    c = claims.projected(tables.memories(spark, sf_dir).where("status = 'active'"))
+    w = Window.partitionBy("agent", text.claim_value(F.col("subject")), "predicate").orderBy("observed_at", "claim_id")
+    c = c.select("claim_id", "object", F.lag("claim_id").over(w).alias("replaced"), F.lag("object").over(w).alias("before"))
+    return c.where(F.col("replaced").isNotNull() & (text.claim_value(F.col("before")) != text.claim_value(F.col("object")))).select("claim_id", "replaced", F.md5("before").alias("before_md5"), F.md5("object").alias("after_md5"))
+
+
+def sessions_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the archive, with how many visible sessions spoke on each and how much."""
+    s = tables.sessions(spark, sf_dir).where(history.visible_session()).select(F.col("id").alias("session_id"))
+    g = tables.messages(spark, sf_dir).where(history.visible_message() & F.col("timestamp").isNotNull()).join(s, "session_id", "left_semi")
+    return g.groupBy(F.to_date("timestamp").alias("day")).agg(F.countDistinct("session_id").alias("n_sessions"), F.count("*").alias("n_messages"))
+
+
+def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well recall finds each asking memory itself, and texts equal to it."""
+    from evidenza.plans.recall import _active, _asked, recall_memories
+
+    m = _active(spark, sf_dir)
+    judged = _asked(m).select(F.col("id").alias("query_id"), "id")
+    return evaluate.ranking_metrics(recall_memories(spark, sf_dir), judged)
+
+
+QUERIES = {f.__name__: f for f in (turn_queue, reference_validation, telemetry_retention, reextract_diff, vault_index_plan, field_updates, claim_replacements, sessions_by_day, recall_metrics, entity_lookup, graph_expansions, entity_salience, relation_evidence, claim_identities, near_identity_dedup, claims_from_tags, migrated_links, recall_claims, prefetch_context, bank_import, dream_window, iso_times, vector_pack, signal_weights, utility_by_archetype, insert_or_replace)}
 
 _ENT = f"""en AS (SELECT id, agent, name, {_EKEY} AS key, regexp_replace(trim(name, ' '), '^\\S+ +', '') AS tail FROM (SELECT id, any_value(agent) AS agent, any_value(name) AS name FROM entities WHERE id IS NOT NULL GROUP BY id) WHERE name IS NOT NULL),
   ek AS (SELECT id, agent, key, 0 AS alias FROM en UNION ALL SELECT id, agent, {_EKEY.replace('lower(name)', 'lower(tail)')}, 1 FROM en WHERE tail <> trim(name, ' ')), us AS (SELECT DISTINCT l.entity_id AS id, m.agent FROM l JOIN m ON m.id = l.memory_id),
@@ -180,7 +260,17 @@ def _named_edges() -> str:
 
 
 _EDGE_SQL = _named_edges()
+_SEEN_DIGEST = _SEEN + """, p AS (SELECT session_id, count(*) AS n, max(id) AS last, sum(('0x' || sha256(id || '|' || coalesce(role, '') || '|' || coalesce(content, ''))[1:12])::HUGEINT) AS mark FROM v GROUP BY 1) SELECT session_id, n, sha256(n || '|' || last || '|' || mark) AS version FROM p"""
 ORACLE = {
+    "turn_queue": f"WITH {TURN_CTE} SELECT id, CASE WHEN extraction_status = 'done' THEN 'done' WHEN coalesce(extraction_attempts, 0) >= 3 THEN 'dead_letter' ELSE 'pending' END AS status, coalesce(extraction_attempts, 0)::INT AS attempts FROM t WHERE trim(coalesce(user_text, ''), ' ') <> '' OR trim(coalesce(assistant_text, ''), ' ') <> ''",
+    "telemetry_retention": "SELECT event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-11') AS n_old, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-11' AND n > 1500) AS n_beyond FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IS NOT NULL) GROUP BY 1",
+    "field_updates": MEM + """, k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY id) AS n FROM m), x AS (SELECT k.id, CASE event_type WHEN 'view' THEN 'visibility' WHEN 'signup' THEN 'status' WHEN 'click' THEN 'type' ELSE 'id' END AS field, CASE event_type WHEN 'view' THEN 'shared' WHEN 'signup' THEN 'archived' WHEN 'click' THEN 'fact' ELSE 'x' END AS value,
+      CASE event_type WHEN 'view' THEN visibility WHEN 'signup' THEN status WHEN 'click' THEN type END AS old FROM events v JOIN k ON k.agent = 'agent-' || (v.user_id % 8) AND k.n = v.event_id % 40 + 1)
+      SELECT field, CASE WHEN field = 'id' THEN 'rejected' WHEN old IS NOT DISTINCT FROM value THEN 'unchanged' ELSE 'applied' END AS outcome, count(*) AS n, count(DISTINCT id) AS n_memories FROM x GROUP BY 1, 2""",
+    "claim_replacements": _MADE + r""", o AS (SELECT claim_id, object, lag(claim_id) OVER w AS replaced, lag(object) OVER w AS b FROM c WHERE status = 'active' WINDOW w AS (PARTITION BY agent, key, predicate ORDER BY observed_at NULLS FIRST, claim_id))
+      SELECT claim_id, replaced, md5(b) AS before_md5, md5(object) AS after_md5 FROM o WHERE replaced IS NOT NULL AND regexp_replace(lower(trim(b, ' .!?')), '\s+', ' ', 'g') <> regexp_replace(lower(trim(object, ' .!?')), '\s+', ' ', 'g')""",
+    "sessions_by_day": f"WITH {MSG_CTE}, {SES_CTE} SELECT (timestamp AT TIME ZONE 'UTC')::DATE AS day, count(DISTINCT session_id) AS n_sessions, count(*) AS n_messages FROM g WHERE {_VIS} AND timestamp IS NOT NULL AND session_id IN (SELECT id FROM s WHERE NOT coalesce(hidden, false) AND NOT coalesce(source IN ('kanban', 'subagent', 'tool'), false)) GROUP BY 1",
+    "reextract_diff": "WITH vv AS (SELECT id, coalesce(epoch_us(updated_at), 0) AS a, content FROM memories WHERE id IS NOT NULL AND content IS NOT NULL), no_ AS (@OLD), nn_ AS (@NEW), f AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'gained' WHEN n.id IS NULL THEN 'lost' ELSE 'kept' END AS change FROM no_ o FULL JOIN nn_ n ON o.id = n.id AND o.k = n.k) SELECT change, count(*) AS n, count(DISTINCT id) AS n_memories FROM f GROUP BY 1",
     "entity_lookup": MEM + f", {LINK_CTE}, {_ENT} SELECT * FROM nm",
     "graph_expansions": MEM + f", {LINK_CTE}, {_ENT}" + r""", wd AS (SELECT id, agent, regexp_split_to_array(trim(name, ' '), ' +') AS w FROM en WHERE agent IS NOT NULL),
       ph AS (SELECT id AS query_id, agent, list_concat(list_concat(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) ELSE [] END), w) AS p FROM wd),
@@ -211,6 +301,15 @@ def _late() -> None:
     from evidenza.plans import evidence
     from evidenza.plans import recall as plans
 
+    digest = _SEEN_DIGEST
+    early = digest.replace("AND session_id IS NOT NULL)", "AND session_id IS NOT NULL AND timestamp < TIMESTAMPTZ '2025-03-01 00:00:00+00')")
+    ORACLE["reference_validation"] = f"WITH w AS ({early}), n AS ({digest}) SELECT w.session_id, coalesce(w.version = n.version, false) AS valid FROM w LEFT JOIN n ON n.session_id = w.session_id"
+    key = _EKEY.replace("lower(name)", "lower(f[3])")
+    of = lambda pick: f"WITH m AS (SELECT id, {pick}(content, (a, content)) AS content FROM vv GROUP BY 1)" + _NAMES + f" SELECT DISTINCT id, {key} AS k FROM nt"
+    ORACLE["reextract_diff"] = ORACLE["reextract_diff"].replace("@OLD", of("arg_min")).replace("@NEW", of("arg_max"))
+    ORACLE["recall_metrics"] = f"WITH MEMR AS ({plans.ORACLE['recall_memories']}), q AS ({MEM} SELECT id FROM m WHERE status = 'active' AND ('0x' || md5(id)[1:4])::INT % 20 = 0) SELECT q.id AS query_id, @R(1) AS recall_1, @R(3) AS recall_3, @R(5) AS recall_5, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS mrr, round(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END, 6) AS ndcg_5 FROM q LEFT JOIN MEMR ON MEMR.query_id = q.id AND MEMR.id = q.id"
+    for k in (1, 3, 5):
+        ORACLE["recall_metrics"] = ORACLE["recall_metrics"].replace(f"@R({k})", f"round(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE, 6)")
     base, made = plans.ORACLE["recall_memories"], _MADE
     from evidenza.plans import upkeep
 

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]")
