@@ -27,7 +27,7 @@ TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
 #: Most distinct words that are carried to every task.
 LEXICON = 32_768
-#: Texts with a longer run of signs without blanks, or of blanks, are folded with a heap, in Python: the expression takes quadratic time.
+#: Texts with a word (also a run of blanks is one) of so many signs are folded with a heap, in Python: the expression takes quadratic time.
 LONG = 64
 _BUCKETS = 1 << 14
 # The pattern of the tokenizer in the syntax of Java, where \s and \S are spelled out, as Java's know ASCII only.
@@ -85,12 +85,13 @@ def fold(word: Column, rank: Column) -> Column:
 
 
 def _runs(text: Column) -> Column:
-    """Whether a text may have a word of ``LONG`` signs or blanks: said of too many rather than of too few, as it only picks the way.
+    """Whether a text has a word of ``LONG`` signs or more. Only texts that may have one are read into words for that.
 
     Pieces between blanks bound the words without blanks; many blank pieces may be one long run of mixed blanks.
     """
     pieces = F.split(text, " ")
-    return F.contains(text, F.lit(" " * LONG)) | _let(pieces, lambda p: F.exists(p, lambda w: F.length(w) >= LONG) | (F.size(F.filter(p, lambda w: F.btrim(w, F.lit(_BLANKS)) == "")) >= LONG // 2))
+    may = F.contains(text, F.lit(" " * LONG)) | _let(pieces, lambda p: F.exists(p, lambda w: F.length(w) >= LONG) | (F.size(F.filter(p, lambda w: F.btrim(w, F.lit(_BLANKS)) == "")) >= LONG // 2))
+    return may & F.exists(words(text), lambda w: F.length(w) >= LONG)
 
 
 def _rank_literal(folder: str, name: str) -> Column:
