@@ -134,12 +134,40 @@ def transient(c: Column, words: str = TRANSIENT_WORDS, allow_temporal: bool = Fa
     return F.coalesce(hit if allow_temporal else hit | c.rlike(whole(words)), F.lit(False))
 
 
-SECRET = r"(?i)(password|passwd|secret|token|api[_-]?key)\s*(=|:|is)\s*[A-Za-z0-9+/_.-]{6,}|sk-[A-Za-z0-9]{16,}|://[^/ :@]+:[^/ @]+@"
+# Literal credentials by rule, and words that only point to one.
+SECRETS = {
+    "assignment": r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*(?:=|:|is)\s*[\"']?[A-Za-z0-9+/_.-]{6,}",
+    "key": r"sk-[A-Za-z0-9]{16,}",
+    "credentials": r"://[^/ :@]+:[^/ @]+@",
+}
+SECRET = "|".join(SECRETS.values())
+_TOKEN = r"[A-Za-z0-9_+/=-]{24,}"
+_POINTER = rf"(?i)(?:^|{_EDGE})(?:passwords?|passwd|secrets?|api[ _-]?keys?|credentials?)"
+
+
+def _mixed(w: Column) -> Column:
+    """A long word of capitals, small letters and digits that is no path."""
+    return w.rlike("[A-Z]") & w.rlike("[a-z]") & w.rlike("[0-9]") & ~F.startswith(w, F.lit("/"))
+
+
+def secret_counts(c: Column) -> Column:
+    """array of struct(class, subclass, n): literal credentials (secret-like) by rule, and words that only point to one (review-pointer)."""
+    found = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    row = lambda k, sub, n: F.struct(F.lit(k).alias("class"), F.lit(sub).alias("subclass"), n.alias("n"))
+    token = F.size(F.filter(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), _mixed))
+    rows = [row("secret-like", name, found(p)) for name, p in SECRETS.items()] + [row("secret-like", "token", token)]
+    pointer = F.greatest(F.lit(0), found(_POINTER) - found(SECRETS["assignment"]))
+    return F.filter(F.array(*rows, row("review-pointer", "pointer", pointer)), lambda x: x["n"] > 0)
 
 
 def has_secret(c: Column) -> Column:
-    """Literal credentials: a keyword with a value, key-shaped words, addresses with a password. Words that only point to one don't count."""
-    return F.coalesce(c.rlike(SECRET), F.lit(False))
+    """Literal credentials: a keyword with a value, key-shaped words, addresses with a password, long mixed tokens. Words that only point to one don't count."""
+    return F.coalesce(c.rlike(SECRET) | F.exists(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), _mixed), F.lit(False))
+
+
+def redacted(c: Column, field: str) -> Column:
+    """The text with literal credentials replaced by a mark that names the field."""
+    return F.regexp_replace(F.regexp_replace(c, SECRET, f"[SECRET-LIKE field={field}]"), r"(?<![A-Za-z0-9_+/=-])(?=[^\s/])(?=[A-Za-z0-9_+/=-]*[A-Z])(?=[A-Za-z0-9_+/=-]*[a-z])(?=[A-Za-z0-9_+/=-]*[0-9])[A-Za-z0-9_+/=-]{24,}", f"[SECRET-LIKE field={field}]")
 
 
 def _classed(t: Column, classes: list[tuple[str, str]], otherwise: str) -> Column:

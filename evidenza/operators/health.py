@@ -22,15 +22,11 @@ def operation_stats(df: DataFrame, by: list[str], value: str, failed: str) -> Da
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.count_if(failed).alias("n_failed"))
 
 
-def findings(df: DataFrame, key: str, fields: list[str], rules: dict[str, str]) -> DataFrame:
-    """(key, field, rule, n): how often each rule's pattern is found in each text field."""
-    stacked = df.select(key, F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))).alias("field", "text")).where(F.col("text").isNotNull())
-    hits = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("n")) for r, p in rules.items()])
-    return stacked.select(key, "field", F.explode(hits).alias("h")).select(key, "field", "h.rule", "h.n").where("n > 0")
-
-
-def redacted(c):
-    return F.regexp_replace(c, text.SECRET, "[redacted]")
+def findings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, class, subclass, n, excerpt): what looks like a credential, or points to one, in each text field; excerpts are redacted and have at most 1,000 signs."""
+    stacked = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text"), text.redacted(F.col(f).cast("string"), f).alias("shown")) for f in fields])).alias("x")).select(key, "x.*").where(F.col("text").isNotNull())
+    rows = stacked.select(key, "field", F.substring("shown", 1, 1000).alias("excerpt"), F.explode(text.secret_counts(F.col("text"))).alias("h"))
+    return rows.select(key, "field", "h.class", "h.subclass", "h.n", "excerpt")
 
 
 def first_conflict(ops: DataFrame, order: str, conflict: str) -> DataFrame:

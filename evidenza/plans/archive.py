@@ -193,8 +193,9 @@ def pending_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hygiene_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"uuid": r"[0-9a-f]{8}-[0-9a-f]{4}", "clock": r"[0-2]?[0-9]:[0-5][0-9]", "shouting": r"[A-Z]{6,}"}
-    return health.findings(tables.memories(spark, sf_dir), "id", ["content", "metadata", "source_id"], rules)
+    """What of agent-1's active memories looks like a credential or points to one."""
+    m = tables.memories(spark, sf_dir).where("status = 'active' AND agent = 'agent-1'").withColumn("tags", F.array_join("tags", " "))
+    return health.findings(m, "id", ["content", "metadata", "source_id", "tags"]).withColumn("excerpt", F.md5("excerpt"))
 
 
 def approval_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +315,13 @@ def _sem() -> str:
     return "WITH " + _SEM + _METRICS
 
 
+# No text of the tables holds a literal credential, so an excerpt is the text itself.
+_ASSIGN = r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"'']?\s*(?:=|:|is)\s*[\"'']?[A-Za-z0-9+/_.-]{6,}"
+_SECRET_ROWS = "r AS (" + " UNION ALL ".join([
+    *[f"SELECT *, 'secret-like' AS class, '{n}' AS subclass, len(regexp_extract_all(x, '{p}')) AS n FROM f WHERE x IS NOT NULL" for n, p in (("assignment", _ASSIGN), ("key", "sk-[A-Za-z0-9]{16,}"), ("credentials", "://[^/ :@]+:[^/ @]+@"))],
+    "SELECT *, 'secret-like', 'token', len(list_filter(regexp_extract_all(x, '[A-Za-z0-9_+/=-]{24,}'), lambda w: regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT starts_with(w, '/'))) FROM f WHERE x IS NOT NULL",
+    rf"SELECT *, 'review-pointer', 'pointer', greatest(0, len(regexp_extract_all(x, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:passwords?|passwd|secrets?|api[ _-]?keys?|credentials?)')) - len(regexp_extract_all(x, '{_ASSIGN}'))) FROM f WHERE x IS NOT NULL",
+]) + ")"
 ORACLE = {
     "entity_link_counts": MEM + f", {LINK_CTE} SELECT entity_id, count(*) AS n FROM l WHERE memory_id IN (SELECT id FROM m WHERE status = 'active') GROUP BY 1 ORDER BY n DESC, entity_id LIMIT 10",
     "sighting_gate": "SELECT entity_id, agent, count(DISTINCT memory_id) AS n FROM memory_entities WHERE entity_id IS NOT NULL AND memory_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT memory_id) >= 3",
@@ -357,7 +365,7 @@ ORACLE = {
       k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM r) SELECT event_type, s.share::DOUBLE AS share, value FROM k, (VALUES (0.5), (0.95), (0.99)) s(share) WHERE i = round_even((n - 1) * s.share::DOUBLE, 0)""",
     "coverage_ratios": MEM + f", {LINK_CTE} SELECT count(*) AS n, round(count(*) FILTER (WHERE id IN (SELECT memory_id FROM memory_vectors WHERE embedding IS NOT NULL)) / count(*), 6) AS embedded, round(count(*) FILTER (WHERE id IN (SELECT memory_id FROM l)) / count(*), 6) AS linked FROM m",
     "pending_watermark": f"WITH {TURN_CTE} SELECT min(created_at) FILTER (WHERE coalesce(extraction_status, '') <> 'done') AS oldest_pending, max(id) FILTER (WHERE extraction_status = 'done') AS last_done, count(*) FILTER (WHERE coalesce(extraction_status, '') <> 'done') AS n_pending FROM t",
-    "hygiene_findings": MEM + ", f AS (SELECT id, unnest(['content', 'metadata', 'source_id']) AS field, unnest([content, metadata, source_id]) AS x FROM m), r AS (" + " UNION ALL ".join(f"SELECT id, field, '{n}' AS rule, len(regexp_extract_all(x, '{p}')) AS n FROM f WHERE x IS NOT NULL" for n, p in (("uuid", "[0-9a-f]{8}-[0-9a-f]{4}"), ("clock", "[0-2]?[0-9]:[0-5][0-9]"), ("shouting", "[A-Z]{6,}"))) + ") SELECT * FROM r WHERE n > 0",
+    "hygiene_findings": MEM + ", f AS (SELECT id, unnest(['content', 'metadata', 'source_id', 'tags']) AS field, unnest([content, metadata, source_id, array_to_string(tags, ' ')]) AS x FROM m WHERE status = 'active' AND agent = 'agent-1'), " + _SECRET_ROWS + " SELECT id, field, class, subclass, n, md5(substring(x, 1, 1000)) AS excerpt FROM r WHERE n > 0",
     "approval_conflicts": MEM + ", c AS (SELECT id, content_hash IS NULL AS stale FROM m WHERE content IS NOT NULL), s AS (SELECT min(id) AS stop FROM c WHERE stale) SELECT id, CASE WHEN stop IS NULL OR id < stop THEN 'apply' WHEN id = stop THEN 'conflict' ELSE 'not run' END AS state FROM c, s",
     "snapshot_diff": """WITH d AS (SELECT agent, path, doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE path IS NOT NULL AND agent IS NOT NULL), o AS (SELECT agent, path, arg_max(h, doc_id) AS h FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT agent, path, arg_max(h, doc_id) AS h FROM d WHERE doc_id % 2 = 1 GROUP BY 1, 2)
       SELECT coalesce(o.agent, n.agent) AS agent, coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.agent = n.agent AND o.path = n.path""",

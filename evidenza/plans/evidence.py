@@ -125,7 +125,10 @@ def transient_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.memories(spark, sf_dir).where(text.has_secret(F.col("content")) | text.has_secret(F.col("metadata"))).select("id")
+    """How many findings of each class and kind the contents and metadata of all memories give."""
+    m = tables.memories(spark, sf_dir)
+    rows = m.select("id", F.explode(F.array("content", "metadata")).alias("x")).where("x IS NOT NULL").select("id", F.explode(text.secret_counts(F.col("x"))).alias("h"))
+    return rows.groupBy("h.class", "h.subclass").agg(F.sum("h.n").alias("n"), F.countDistinct("id").alias("n_memories"))
 
 
 def statement_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +204,7 @@ ORACLE = {
     "trust_histogram": MEM + " SELECT round_even(trust, 1) AS bucket, count(*) AS n FROM m WHERE trust IS NOT NULL GROUP BY 1",
     "transient_filter": MEM + r" SELECT id FROM m WHERE regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%') OR regexp_matches(content, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)')"
       + " OR regexp_matches(content, '" + _WHOLE % "percent|currently|now|is at|today|tonight|this morning|right now" + "')",
-    "secret_scan": MEM + r" SELECT id FROM m WHERE regexp_matches(coalesce(content, '') || chr(10) || coalesce(metadata, ''), '(?i)(password|passwd|secret|token|api[_-]?key)\s*(=|:|is)\s*[A-Za-z0-9+/_.-]{6,}|sk-[A-Za-z0-9]{16,}|://[^/ :@]+:[^/ @]+@')",
+    "secret_scan": "@SECRETS",
     "statement_kind": MEM + " SELECT " + _classes("coalesce(content, '')", [("correction", r"correct(?:ion|ed)?|actually|not\s+[\p{L}\p{N}_]+\s+but|wrong"), ("abandoned", "abandon(?:ed|ing)?|withdrawn|dropped|rejected|no longer"), ("unresolved", "unresolved|open question|still need to decide|undecided|tbd"),
       ("conflict", "conflict|contradict(?:ion|s|ory)?|disagree|both options"), ("decision", "decid(?:e|ed|ing)|agreed|selected|adopted|we will|choose|chosen"), ("proposal", "propos(?:e|ed|al)|suggest(?:ed|ion)?|could|might|should")], "discussion") + " AS kind, type, count(*) AS n FROM m GROUP BY 1, 2",
     "archetype_classify": "SELECT id, " + _classes("x", [("historical", r"when|before|previously|used to|historical|history|at that time|last time|in [0-9]{4}|[0-9]{4}-[01][0-9]-[0-3][0-9]"), ("document_lookup", "file|document|note|vault|markdown|folder|path"),
@@ -245,3 +248,12 @@ ORACLE = {
       v AS (SELECT *, CASE WHEN r <> b THEN regexp_replace(lower(regexp_extract(r, @P, 1)), '\s+', '_', 'g') ELSE '' END AS v FROM r)
       SELECT id, CASE WHEN v <> '' THEN v ELSE 'states' END AS predicate, md5(CASE WHEN v <> '' THEN trim(regexp_extract(r, @P, 2), ' ') ELSE b END) AS object_md5 FROM v""".replace("@P", r"'(?i)^(prefers?|likes?|uses?|works on|owns?|lives in|is named)\s+([^\n]+)\z'"),
 }
+
+
+def _late() -> None:
+    from evidenza.plans.archive import _SECRET_ROWS
+
+    ORACLE["secret_scan"] = MEM + ", f AS (SELECT id, unnest([content, metadata]) AS x FROM m), " + _SECRET_ROWS + " SELECT class, subclass, sum(n)::BIGINT AS n, count(DISTINCT id) AS n_memories FROM r WHERE n > 0 GROUP BY 1, 2"
+
+
+_late()

@@ -116,7 +116,7 @@ def dream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shareable active memories of the last day before each agent's newest."""
     m = tables.memories(spark, sf_dir).where("status = 'active' AND visibility IN ('shared', 'fleet') AND created_at IS NOT NULL")
     newest = m.groupBy("agent").agg(F.max("created_at").alias("newest"))
-    return m.join(newest, "agent").where(F.unix_micros("newest") - F.unix_micros("created_at") <= 86_400_000_000 * 7).select("id", "agent")
+    return m.join(newest, "agent").where(F.unix_micros("newest") - F.unix_micros("created_at") <= 86_400_000_000).select("id", "agent")
 
 
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ ORACLE = {
     "prefetch_context": "@PREFETCH",
     "bank_import": MEM + f" SELECT doc_id, hash FROM (SELECT sha256({KEY('text')}) AS hash, min(doc_id) AS doc_id FROM documents WHERE starts_with(source, 'import:bank') AND list_has_any({TOKENS('text')}, ['project', 'preference', 'decision', 'person', 'tool'])" + r" AND NOT (regexp_matches(text, '(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\s*%') OR regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])percent(?:[^\p{L}\p{N}_]|$)') OR regexp_matches(text, '(?:^|[^\p{L}\p{N}_])[0-9]{1,2}:[0-9]{2}(?:\s*[aApP][mM])?(?:[^\p{L}\p{N}_]|$)'))"
       + f" GROUP BY 1) WHERE hash NOT IN (SELECT sha256({KEY('content')}) FROM m WHERE content IS NOT NULL) ORDER BY doc_id LIMIT 200",
-    "dream_window": MEM + ", k AS (SELECT * FROM m WHERE status = 'active' AND visibility IN ('shared', 'fleet') AND created_at IS NOT NULL) SELECT id, agent FROM k JOIN (SELECT agent, max(created_at) AS n FROM k GROUP BY 1) USING (agent) WHERE n - created_at <= INTERVAL 7 DAY",
+    "dream_window": MEM + ", k AS (SELECT * FROM m WHERE status = 'active' AND visibility IN ('shared', 'fleet') AND created_at IS NOT NULL) SELECT id, agent FROM k JOIN (SELECT agent, max(created_at) AS n FROM k GROUP BY 1) USING (agent) WHERE n - created_at <= INTERVAL 1 DAY",
     "iso_times": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE date_trunc('second', created_at) - CASE WHEN doc_id % 4 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END END AS at FROM documents WHERE created_at IS NOT NULL",
     "vector_pack": "SELECT memory_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 THEN len(embedding)::INT END AS n FROM (SELECT DISTINCT memory_id, embedding FROM memory_vectors WHERE memory_id IS NOT NULL AND embedding IS NOT NULL)",
     "signal_weights": "SELECT user_id, round(sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN -1.0 WHEN 'click' THEN 0.6 WHEN 'signup' THEN 0.4 WHEN 'view' THEN 0.2 ELSE 0 END::DOUBLE), 6) AS total, count(*) FILTER (WHERE event_type IN ('purchase', 'error')) AS n_explicit FROM events GROUP BY 1",

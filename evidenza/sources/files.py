@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidenza.functions import text
+
 
 def markdown_folder(spark: SparkSession, root: str, excluded: list[str] | None = None) -> DataFrame:
     """(path, text, modified, hash) of the Markdown files below a folder; files whose first folder begins with an excluded prefix are left out.
@@ -32,35 +37,66 @@ def entry_lines(df: DataFrame, key: str, body: str) -> DataFrame:
     return lines.where(~F.col("raw").rlike(r"^[ \t]*(#{1,6} |[-*_]{3,}[ \t]*$|\|)") & (F.trim("raw") != "")).select(key, "line", entry.alias("entry"))
 
 
+_TURN = T.StructType([T.StructField(n, T.StringType()) for n in ("user", "assistant", "label")])
+_SESSION = T.StructType([T.StructField("observed_at", T.StringType()), T.StructField("turns", T.ArrayType(_TURN))])
 CASE = T.StructType([
-    T.StructField("schema_version", T.IntegerType()), T.StructField("case_id", T.StringType()), T.StructField("persona", T.StringType()), T.StructField("category", T.StringType()),
+    T.StructField("schema_version", T.IntegerType()), T.StructField("case_id", T.StringType()), T.StructField("persona", T.StringType()), T.StructField("category", T.StringType()), T.StructField("sessions", T.ArrayType(_SESSION)),
     T.StructField("query", T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.StringType()), T.StructField("agent", T.StringType()), T.StructField("strategy", T.StringType())])),
-    T.StructField("expected", T.StructType([T.StructField("supporting_memory_labels", T.ArrayType(T.StringType())), T.StructField("stale_memory_labels", T.ArrayType(T.StringType()))])),
+    T.StructField("expected", T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("supporting_memory_labels", "stale_memory_labels", "answer_contains", "answer_must_not_contain")])),
 ])
+# The kinds of evaluation cases.
+CATEGORIES = "dynamic_update static_false_contradiction conditional_fact stable_long_time historical_query unresolved_conflict duplicate_paraphrase distractor_entity immediate_next_turn vault_vs_conversation visibility_scope runtime_isolation".split()
 
 
 def cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): evaluation cases of a JSON-lines file; rejected ones carry the first reason."""
-    rows = spark.read.schema(CASE).json(path)
+    """(valid, rejected): evaluation cases of a JSON-lines file or one JSON array; rejected ones carry the first reason.
+
+    A turn without a label is called by its place. Cases that share a case_id are rejected, all of them.
+    """
+    rows = spark.read.schema(CASE).option("multiLine", not path.endswith(".jsonl")).json(path)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    time = lambda c: text.iso_time(c).isNull()
+    named = lambda s, i: s.withField("turns", F.transform(s["turns"], lambda t, j: t.withField("label", F.when(blank(t["label"]), F.concat(F.lit("session-"), i.cast("string"), F.lit("-turn-"), j.cast("string"))).otherwise(t["label"]))))
+    rows = rows.withColumn("sessions", F.transform("sessions", named))
+    labels = F.flatten(F.transform("sessions", lambda s: F.transform(s["turns"], lambda t: t["label"])))
+    empty = F.exists("sessions", lambda s: s["turns"].isNull() | (F.size(s["turns"]) < 1))
+    supporting = F.col("expected.supporting_memory_labels")
     reason = (
-        F.when(F.col("case_id").isNull(), "no case_id").when(F.coalesce("schema_version", F.lit(0)) != 1, "schema_version").when(F.col("query.text").isNull() | F.to_timestamp("query.at").isNull(), "query")
-        .when(F.col("expected.supporting_memory_labels").isNull(), "no labels")
+        F.when(F.coalesce("schema_version", F.lit(0)) != 1, "schema_version").when(blank(F.col("case_id")), "case_id").when(~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)), "category").when(blank(F.col("persona")), "persona")
+        .when(F.col("sessions").isNull() | (F.size("sessions") < 1), "sessions").when(F.exists("sessions", lambda s: time(s["observed_at"])), "observed_at").when(empty, "turns").when(F.exists("sessions", lambda s: F.exists(s["turns"], lambda t: blank(t["user"]))), "user")
+        .when(F.size(labels) != F.size(F.array_distinct(labels)), "labels").when(blank(F.col("query.text")) | time(F.col("query.at")), "query").when(supporting.isNull() | (F.size(supporting) < 1), "expected").when(F.size(F.array_except(supporting, labels)) > 0, "unknown labels")
     )
-    rows = rows.withColumn("reason", reason)
+    twice = rows.groupBy("case_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.withColumn("reason", reason).join(twice, "case_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_n") > 1, "case_id"))).drop("_n")
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
 
 
+def canonical_digest(value: object) -> str:
+    """SHA-256 of a value as JSON with sorted keys: equal for equal values however they are written."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False, default=str).encode()).hexdigest()
+
+
+def stable_report(value: object, drop: tuple[str, ...] = ("elapsed_ms", "started_at", "finished_at"), mask: tuple[str, ...] = ("run_id",)) -> object:
+    """A report that is the same at every run: without times, and with ids of the run masked."""
+    if isinstance(value, dict):
+        return {k: "*" if k in mask else stable_report(v, drop, mask) for k, v in sorted(value.items()) if k not in drop}
+    return [stable_report(v, drop, mask) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def safe_cell(c):
     """A cell that a spreadsheet doesn't take for a formula."""
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A CSV report with safe cells, and beside it a manifest with its number of rows and a digest of its content."""
-    cols = [safe_cell(F.col(c).cast("string")).alias(c) for c in df.columns]
-    safe = df.select(*cols)
-    safe.write.mode("errorifexists").option("header", "true").csv(f"{path}/report")
-    safe.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest")).write.mode("errorifexists").json(f"{path}/manifest")
+def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A CSV report with safe cells, or one of JSON lines, and beside it a manifest with its form, columns, number of rows and a digest of its content."""
+    if form not in ("csv", "json"):
+        raise ValueError("a report is csv or json")
+    out = df.select(*[safe_cell(F.col(c).cast("string")).alias(c) for c in df.columns]) if form == "csv" else df
+    writer = out.write.mode("errorifexists")
+    writer.option("header", "true").csv(f"{path}/report") if form == "csv" else writer.json(f"{path}/report")
+    manifest = out.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+    manifest.withColumns({"form": F.lit(form), "columns": F.lit(",".join(df.columns))}).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def write_log(df: DataFrame, path: str) -> None:

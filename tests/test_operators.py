@@ -1,5 +1,6 @@
 """Operators on small inputs with nulls, ties, repeats and empty tables."""
 
+import json
 import random
 import re
 from collections import defaultdict
@@ -296,9 +297,30 @@ def test_files(spark, tmp_path):
         files.restore(spark, str(tmp_path / "b"), (3, "0"))
     best, conflicts = files.recovered([t, spark.createDataFrame([("ok", 7)], "a string, b int")], ["a"])
     assert {(r["a"], r["b"]) for r in best.collect()} == {("=1+1", 1), ("ok", None)} and conflicts.count() == 1
-    (tmp_path / "c.jsonl").write_text('{"schema_version":1,"case_id":"x","query":{"text":"q","at":"2025-01-01T00:00:00Z"},"expected":{"supporting_memory_labels":["m"]}}\n{"case_id":"y"}\n')
-    good, bad = files.cases(spark, str(tmp_path / "c.jsonl"))
-    assert good.count() == 1 and bad.first()["reason"] == "schema_version"
+    case = {"schema_version": 1, "case_id": "x", "persona": "p", "category": "historical_query", "sessions": [{"observed_at": "2025-01-01T00:00:00Z", "turns": [{"user": "u"}]}], "query": {"text": "q", "at": "2025-01-01T00:00:00Z"}, "expected": {"supporting_memory_labels": ["session-0-turn-0"]}}
+    wrong = {"schema_version": {"schema_version": 2}, "category": {"category": "other"}, "persona": {"persona": " "}, "sessions": {"sessions": []}, "turns": {"sessions": [{"observed_at": "2025-01-01", "turns": []}]}, "observed_at": {"sessions": [{"observed_at": "soon", "turns": [{"user": "u"}]}]}, "query": {"query": {"text": "q"}}, "unknown labels": {"expected": {"supporting_memory_labels": ["m"]}}, "user": {"sessions": [{"observed_at": "2025-01-01", "turns": [{"user": ""}]}]}}
+    lines = [case, *[case | w | {"case_id": f"w{i}"} for i, w in enumerate(wrong.values())], case | {"case_id": "two"}, case | {"case_id": "two"}]
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    (tmp_path / "c.json").write_text(json.dumps(lines, indent=1))
+    for name in ("c.jsonl", "c.json"):
+        good, bad = files.cases(spark, str(tmp_path / name))
+        assert [r["case_id"] for r in good.collect()] == ["x"]
+        assert {r["case_id"]: r["reason"] for r in bad.collect()} == {f"w{i}": k for i, k in enumerate(wrong)} | {"two": "case_id"}
+    assert files.canonical_digest({"b": 1, "a": [2]}) == files.canonical_digest({"a": [2], "b": 1}) != files.canonical_digest({"a": [2], "b": 2})
+    assert files.stable_report({"b": [{"elapsed_ms": 3, "x": 1}], "run_id": "r"}) == {"b": [{"x": 1}], "run_id": "*"}
+    files.write_report(t, str(tmp_path / "j"), "json")
+    assert spark.read.json(str(tmp_path / "j/manifest")).first()["n_rows"] == 2
+
+
+def test_secrets(spark):
+    long = "AbCdEfGhIjKlMnOp12ZaYbXcWd34"
+    rows = [f"api_key={long}; the password is written in the vault", "/home/alice/Project2026/notes/Memory.md", f"{long[:14]}/{long[14:]}", "see http://u:pass@x.test/y", "nothing", None, "sk-" + "a1" * 10]
+    got = [one(spark, x, text.has_secret) for x in rows]
+    assert got == [True, False, True, True, False, False, True]
+    found = one(spark, "the password is kept; api-key of it", text.secret_counts)
+    assert [(x["class"], x["n"]) for x in found] == [("review-pointer", 2)]
+    shown = one(spark, rows[0], lambda c: text.redacted(c, "content"))
+    assert long not in shown and "[SECRET-LIKE field=content]" in shown
 
 
 def test_streams(spark, tmp_path):
