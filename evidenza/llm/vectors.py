@@ -1,6 +1,7 @@
 """Most similar vectors for every vector: a forest of sorted hash strings.
 
-Each tree writes a vector as a string of ``BITS`` random-hyperplane signs, and keeps the strings as one sorted array. The
+Each tree writes a vector as a string of ``BITS`` random-hyperplane signs and its place along one more random direction,
+which sets vectors apart that are too close for the signs, and keeps the strings as one sorted array. The
 strings that share the longest prefix with a given one stand directly around it, and those of every shorter prefix in a
 stretch around these. So a vector descends to its own place in each tree, and ascends in all trees at once, a sign of the
 prefix at a time, until all its stretches together hold ``wanted`` candidates. Those are compared by cosine.
@@ -48,7 +49,13 @@ def usable(df: DataFrame, key: str, vector: str, group: str, dims: str) -> DataF
 
 
 def _planes(dim: int, trees: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, trees * BITS)).astype(np.float32)
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, trees * (BITS + 1))).astype(np.float32)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Numbers as four bytes each that sort as they do."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
+    return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(">u4")
 
 
 def _strings(trees: int):
@@ -65,18 +72,21 @@ def _strings(trees: int):
                 if dim not in planes:
                     planes[dim] = _planes(int(dim), trees)
                 unit = (x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]).astype(np.float32)
-                codes = np.packbits(unit @ planes[dim] > 0, axis=1).reshape(len(at), trees, BITS // 8)
+                along = unit @ planes[dim]
+                codes = np.empty((len(at), trees, BITS // 8 + 4), np.uint8)
+                codes[:, :, : BITS // 8] = np.packbits(along[:, : trees * BITS] > 0, axis=1).reshape(len(at), trees, BITS // 8)
+                codes[:, :, BITS // 8 :] = _ordered(along[:, trees * BITS :]).view(np.uint8).reshape(len(at), trees, 4)
                 rows = batch.take(pa.array(at))
                 for t in range(trees):
-                    code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes[:, t]).tobytes())]).cast(pa.binary())
+                    code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8 + 4), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes[:, t]).tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([rows.column("grp"), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), t, np.int32)), code, rows.column("rep")], names=["grp", "dim", "tree", "code", "rep"])
 
     return run
 
 
 def _numbers(codes: pa.Array) -> np.ndarray:
-    """Strings of signs as whole numbers in the same order."""
-    return np.frombuffer(b"".join(codes.to_pylist()), ">u8").astype(np.uint64)
+    """The signs of strings as whole numbers in the same order."""
+    return np.frombuffer(b"".join([c[: BITS // 8] for c in codes.to_pylist()]), ">u8").astype(np.uint64)
 
 
 def _segments(*columns: np.ndarray) -> list[tuple[int, int]]:

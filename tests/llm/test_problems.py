@@ -92,6 +92,20 @@ def test_stretches_and_borders(spark, monkeypatch):
     assert len(results[0] ^ results[1]) <= 0.02 * len(results[0])
 
 
+def test_dense_cluster(spark, monkeypatch):
+    """A third of all vectors lie so close together that the signs can't tell them apart, and reach is far shorter than the cluster."""
+    monkeypatch.setattr(vectors, "PLACES", 256)
+    monkeypatch.setattr(vectors, "REACH", 128)
+    r = np.random.default_rng(6)
+    centre = r.standard_normal(24)
+    rows = [(f"c{i:04d}", "x", [float(v) for v in centre + 1e-3 * r.standard_normal(24)], 24, "") for i in range(1000)]
+    rows += [(f"d{i:04d}", "x", [float(v) for v in r.standard_normal(24)], 24, "") for i in range(2000)]
+    got = {(g["grp"], g["id"], g["other"]) for g in vectors.similar_vectors(spark.createDataFrame(rows, VEC)).collect()}
+    want = near_truth(rows, 8, 0.8)
+    assert len(got & want) >= 0.85 * len(want)
+    assert np.all(np.diff(vectors._ordered(np.array([-5.0, -1e-9, 0.0, 1e-9, 7.0])).astype(np.int64)) > 0)
+
+
 def test_hot_set_of_equal_vectors(spark):
     """A third of all rows are copies: every one has its eight, and no list of all pairs is made."""
     rows = [(f"c{i:04d}", "x", [1.0, 2.0, 3.0], 3, "") for i in range(300)] + [(f"d{i:04d}", "x", [float(i), 1.0, -float(i)], 3, "") for i in range(600)]
