@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evidenza.operators.lifecycle import upserted
 from evidenza.runtime import ensure_checkpoint_dir
 
 
@@ -115,8 +116,13 @@ def retry_transitions(stream: DataFrame, most: int = 3, late: str = "1 hour", ke
     return watched.applyInPandasWithState(_retries(most, keep_days * 86_400_000), f"job {kind}, seq bigint, state string, failures int, wait_s double", "failures int, last string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def batches_upserted(stream: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Keeps a table by versions: each batch is merged into the newest version and written as the next.
+    """Keeps a small table by versions: each batch is merged into the newest version and written as the next.
 
     A batch that is run again after a failure writes the same version anew from the version before it, so nothing counts twice.
     """
@@ -124,14 +130,41 @@ def batches_upserted(stream: DataFrame, folder: str, merge: Callable[[DataFrame,
 
     def run(batch: DataFrame, number: int) -> None:
         before = f"{folder}/version={number - 1}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(before)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        out = merge(spark.read.parquet(before), batch) if there else batch
+        out = merge(spark.read.parquet(before), batch) if _exists(spark, before) else batch
         out.write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
+def newest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The rows of a table kept by ``buckets_upserted``, each bucket in its newest version (of those before a number); null without any."""
+    if not _exists(spark, f"{folder}/rows"):
+        return None
+    rows = spark.read.parquet(f"{folder}/rows")
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    marks = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row a bucket
+    return rows.join(F.broadcast(marks), ["bucket", "version"], "left_semi")
+
+
+def buckets_upserted(stream: DataFrame, folder: str, key: list[str], order: list[str], buckets: int = 64) -> None:
+    """Keeps a large table by buckets of its keys: a batch rewrites only the buckets that it touches, as a new version of each.
+
+    Of each key the row that is latest by ``order`` stays, of equal ones the one that came later. A batch that is run again
+    writes the same versions anew from those before it. Read the table by ``newest``; older versions may be deleted.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        held = newest(spark, folder, number)
+        touched = rows.select("bucket").distinct()  # at most ``buckets`` rows
+        stored = rows.limit(0) if held is None else held.join(F.broadcast(touched), "bucket", "left_semi").select(*rows.columns)
+        merged = upserted(stored, rows, key, order).withColumn("version", F.lit(number))
+        merged.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "version").parquet(f"{folder}/rows")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+
+
 def lifo(batch: DataFrame, order: Column, most: int) -> DataFrame:
     """The newest entries of a batch first, so many at most: what a worker takes next."""
     return batch.orderBy(order).limit(most)

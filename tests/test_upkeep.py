@@ -1,5 +1,6 @@
 """Recall, graph search, claims from texts, numbering and upkeep on small inputs with nulls, ties, repeats and empty tables."""
 
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -7,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidenza.functions import text
-from evidenza.operators import claims, feedback, graph, history, lifecycle, recall, search
+from evidenza.operators import claims, evaluate, feedback, graph, history, lifecycle, recall, search
 from evidenza.runtime import numbered
-from evidenza.sources import migrate
+from evidenza.sources import files, migrate
 from evidenza.streaming import jobs
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -173,3 +174,23 @@ def test_utilities_by_kind(spark):
     s = spark.createDataFrame([("m", "a", 1, 1.0, True, T0), ("m", "b", -1, 2.0, False, T0)], "memory_id string, kind string, direction int, weight double, explicit boolean, created_at timestamp")
     got = {r["kind"]: (r["pos"], r["neg"]) for r in feedback.mixed(s, "memory_id", "kind", F.lit("2025-01-01 00:00:00").cast("timestamp")).collect()}
     assert got == {"a": (pytest.approx(1.25), pytest.approx(0.5)), "b": (pytest.approx(0.25), pytest.approx(2.5))}
+
+
+def test_scenarios(spark, tmp_path):
+    turn = lambda label, user: {"user": user, "assistant": "", "label": label}
+    case = lambda i, ask, stale=None: {"schema_version": 1, "case_id": i, "persona": "p", "category": "historical_query", "sessions": [{"observed_at": "2025-01-01T00:00:00Z", "turns": [turn("new", "The copper kettle is in the shed"), turn("old", "The tin kettle was sold"), turn("x", "Nothing of note")]}],
+                                       "query": {"text": ask, "at": "2025-01-02T00:00:00Z"}, "expected": {"supporting_memory_labels": ["new"], "stale_memory_labels": stale or []}}
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in [case("a", "Where is the copper kettle?"), case("b", "Where is the kettle?", ["old"]), case("c", "Where is the pan?")]))
+    good, bad = files.cases(spark, str(tmp_path / "c.jsonl"))
+    got = {r["query_id"]: (r["recall_5"], r["stale"], r["passed"]) for r in evaluate.scenarios(good).collect()}
+    assert bad.count() == 0 and got == {"a": (1.0, 0, True), "b": (1.0, 1, False), "c": (0.0, 0, False)}
+
+
+def test_upsert_by_buckets(spark, tmp_path):
+    rows = [(k % 7, T0 + timedelta(minutes=k), k) for k in range(30)]
+    for part in range(5):  # files come one a batch
+        spark.createDataFrame(rows[part * 6 : part * 6 + 6], "k int, at timestamp, seq bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    jobs.buckets_upserted(jobs.file_stream(spark, str(tmp_path / "log"), 1), str(tmp_path / "t"), ["k"], ["seq"], 4)
+    got = {r["k"]: r["seq"] for r in jobs.newest(spark, str(tmp_path / "t")).collect()}
+    assert got == {k: max(s for j, _, s in rows if j == k) for k in range(7)}
+    assert jobs.newest(spark, str(tmp_path / "none")) is None
