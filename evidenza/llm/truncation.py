@@ -42,6 +42,7 @@ _HELD = 1_500_000
 _LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)]|#{1,6}|>)\s")
 _TOKEN = re.compile(r"#?[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_+")
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|\ufffd+))+$")
+_MARKS = ("…", "...", "]", ")", "\ufffd")  # what a mark of omission ends with
 _BLANK = " \t\r\n\x0b\x0c\x85\xa0           ​‌‍    ⁠　﻿"
 _TERMS_SET = frozenset(".!?。！？")
 _TERMS, _STOPS, _CLOSERS = ".!?。！？", ".!?。！？…", "\"'”’»)]}*_`"
@@ -93,7 +94,7 @@ def _ended(text: str) -> tuple:
     """What a text ends with: kind is closed, cut (for certain), or list, prose, ellipsis (to be judged by its words), link. end is equal for texts with the same
     last characters; own is 1 if ``_Tally`` takes the text's own last words as an ending of its kind."""
     body = text.rstrip(_BLANK)
-    mark = _MARK.search(body)
+    mark = _MARK.search(body) if body.endswith(_MARKS) else None
     bare = body[: mark.start()].rstrip(_BLANK) if mark else body
     line = bare[bare.rfind("\n") + 1 :]
     toks, stop = _ending(line)
@@ -187,10 +188,11 @@ class _Tally:
                 if at == len(lines):
                     self.total["f"][0][own] += 1
             if not _TERMS_SET.isdisjoint(toks):
-                for i, t in enumerate(toks):
-                    if t in _TERMS_SET and i and (i + 1 == len(toks) or toks[i + 1] not in _TERMS_SET):
-                        any_words.append(last[i - 1])
-                        any_places.append(ctx[i - 1])
+                stops = [i for i, t in enumerate(toks) if i and t in _TERMS_SET]
+                # of stops behind one another the last one counts
+                stops = [i - 1 for i, after in zip(stops, [*stops[1:], -1]) if after != i + 1]
+                any_words += [last[i] for i in stops]
+                any_places += [ctx[i] for i in stops]
         for counted, found in ((self.total, said), (self.ends, ended)):
             for sort, lists in found.items():
                 for counter, keys in zip(counted[sort], lists):
