@@ -290,7 +290,7 @@ def evidence_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's benchmark recipe in closed form: 5,000 vectors of 768 elements, seven probes, ten nearest each."""
+    """The published benchmark recipe in closed form: 5,000 vectors of 768 elements, seven probes, ten nearest each."""
     from evidenza.operators import search
 
     return search.semantic(recipe_vectors(spark), "id", "vec", recipe_probes(spark), 10, -1.0).withColumn("score", F.round("score", 6))
