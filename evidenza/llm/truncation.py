@@ -17,7 +17,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -48,10 +47,9 @@ _TERMS_SET = frozenset(".!?。！？")
 _TERMS, _STOPS, _CLOSERS = ".!?。！？", ".!?。！？…", "\"'”’»)]}*_`"
 
 
-@lru_cache(1 << 16)
 def _closer(t: str) -> bool:
     """Closing signs, and pictures, which may stand behind a complete ending."""
-    return t in _CLOSERS or len(t) == 1 and t != "\ufffd" and unicodedata.category(t) in ("So", "Sk", "Mn", "Cf")
+    return t in _CLOSERS or len(t) == 1 and (t > "\x7f" or t == "^") and t != "\ufffd" and unicodedata.category(t) in ("So", "Sk", "Mn", "Cf")
 
 
 def _norm(t: str) -> tuple[str, str]:
