@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.runtime import broadcast_if_small, cut
+from evidenza.runtime import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors of a block, and bytes of queries up to which their blocks are broadcast.
 BLOCK, BROADCAST_BYTES = 256, 64 << 20
+#: Of keyword search: words of a block of documents, pairs of a set and a document looked at together, parts of the corpus, rows a part holds before it gives them away, and how near scores may be equal at nine decimals.
+BLOCK_WORDS, PAIRS, PARTS, HELD, NEAR = 1_000_000, 1 << 20, 32, 500_000, 2e-9
 
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -24,32 +27,245 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
     return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _lean(a: np.ndarray) -> bytes:
+    """Counts and places in as few bytes each as the largest needs, after a sign for the type."""
+    kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
+    return kind.char.encode() + a.astype(kind).tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, chr(b[0]), offset=1).astype(np.int64)
+
+
+def _row(schema: pa.Schema, **values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := values[f.name], pa.Array) else pa.array([v], f.type) for f in schema], schema=schema)
+
+
+def _lists(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, owner, ok, t) as blocks, each with the words of all its documents (terms, and in how many each is: seen) and the postings of those that are ok, by owner and id."""
+    for batch in batches:
+        offsets = np.asarray(batch.column("t").offsets, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_WORDS, "right")) - 1), batch.num_rows)
+            part, starts = batch.slice(at, to - at), offsets[at : to + 1]
+            words = batch.column("t").values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+            n, size, dl = to - at, max(1, len(words.dictionary)), np.diff(starts)
+            key, tf = np.unique(np.repeat(np.arange(n), dl) * size + np.asarray(words.indices, np.int64), return_counts=True)
+            doc, code = key // size, key % size
+            order = np.asarray(pc.sort_indices(pa.Table.from_batches([part.select(["owner", "id"])]), sort_keys=[("owner", "ascending"), ("id", "ascending")]))
+            order = order[np.asarray(part.column("ok").cast(pa.uint8()))[order] > 0]
+            place = np.full(n, -1)
+            place[order] = np.arange(len(order))
+            kept = np.flatnonzero(place[doc] >= 0)
+            kept = kept[np.argsort(place[doc[kept]], kind="stable")]
+            owner = part.column("owner").take(pa.array(order)).dictionary_encode()
+            runs = np.bincount(np.asarray(owner.indices, np.int64), minlength=len(owner.dictionary))
+            schema = pa.schema([("terms", pa.list_(pa.string())), ("seen", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.int64()), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("ids", pa.list_(part.column("id").type)), ("dls", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()), ("tfs", pa.binary())])
+            yield _row(schema, terms=_lists(words.dictionary), seen=_lists(pa.array(np.bincount(code, minlength=len(words.dictionary)))), n=n, words=int(dl.sum()), owners=_lists(owner.dictionary), runs=_lean(runs), ids=_lists(part.column("id").take(pa.array(order))), dls=_lean(dl[order]), held=_lean(np.bincount(place[doc[kept]], minlength=len(order))), codes=_lean(code[kept]), tfs=_lean(tf[kept]))
+            at = to
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of words (owner, query_id, terms) as blocks."""
+    for batch in batches:
+        owner, words = batch.column("owner").dictionary_encode(), batch.column("terms").flatten().dictionary_encode()
+        schema = pa.schema([("terms", pa.list_(pa.string())), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("asked", pa.list_(batch.column("query_id").type)), ("held", pa.binary()), ("codes", pa.binary())])
+        yield _row(schema, terms=_lists(words.dictionary), owners=_lists(owner.dictionary), runs=_lean(np.asarray(owner.indices, np.int64)), asked=_lists(batch.column("query_id")), held=_lean(np.asarray(pc.list_value_length(batch.column("terms")), np.int64)), codes=_lean(np.asarray(words.indices, np.int64)))
+
+
+class _Asked:
+    """What is asked, of all blocks: by owner, the rarest term of each set first; sets with a term that no document has are left out."""
+
+    def __init__(self, rows: list[dict]):
+        vocabulary = [r for r in rows if r["idf"].is_valid]
+        self.terms = pa.concat_arrays([r["terms"].values for r in vocabulary]) if vocabulary else pa.array([], pa.string())
+        self.idf = np.concatenate([np.asarray(r["idf"].values) for r in vocabulary]) if vocabulary else np.zeros(0)
+        held, codes, owner, ids, self.owners = [], [], [], [], {}
+        for r in (r for r in rows if not r["idf"].is_valid):
+            code = np.asarray(pc.index_in(r["terms"].values, value_set=self.terms).fill_null(-1), np.int64)
+            names = np.array([self.owners.setdefault(x, len(self.owners)) for x in r["owners"].values.to_pylist()])
+            held.append(_wide(r["held"].as_py())), codes.append(code[_wide(r["codes"].as_py())]), owner.append(names[_wide(r["runs"].as_py())]), ids.append(r["asked"].values)
+        if not ids:
+            self.n, self.ids = 0, None
+            return
+        n, code, owner = np.concatenate(held), np.concatenate(codes), np.concatenate(owner)
+        fine = np.minimum.reduceat(code, np.cumsum(n) - n) >= 0
+        code, kept = code[np.repeat(fine, n)], np.flatnonzero(fine)
+        order = np.argsort(owner[kept], kind="stable")
+        rank = np.empty(len(kept), np.int64)
+        rank[order] = np.arange(len(kept))
+        by = np.lexsort((code, -self.idf[code], np.repeat(rank, n[kept])))
+        kept = kept[order]
+        self.n, self.size, self.codes, self.ids = len(kept), n[kept], code[by], pa.concat_arrays(ids).take(pa.array(kept))
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.range = np.searchsorted(owner[kept], np.arange(len(self.owners) + 1))
+        self.kth = np.full(self.n, -np.inf)
+
+
+def _matches(asked: _Asked, lo: int, hi: int, g: np.ndarray, doc: np.ndarray, part: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, document, score) of the sets from lo to hi whose words are all in a document, of n documents with postings (g, doc, part)."""
+    slot = np.full(len(asked.terms), -1)
+    slot[g] = 0
+    used = np.flatnonzero(slot == 0)
+    slot[used] = np.arange(len(used))
+    terms = slot[asked.codes[asked.start[lo] : asked.start[hi]]]
+    first = asked.start[lo:hi] - asked.start[lo]
+    alive = np.flatnonzero(np.minimum.reduceat(terms, first) >= 0)
+    if not len(alive):
+        return
+    key = slot[g] * n + doc
+    order = np.argsort(key)
+    key, part = key[order], part[order]
+    bits = np.empty((len(used), -(-n // 64)), np.uint64)  # of each word, the documents that have it
+    for a in range(0, len(used), 1024):
+        b = min(a + 1024, len(used))
+        dense = np.zeros((b - a, bits.shape[1] * 64), bool)
+        i, j = np.searchsorted(key, [a * n, b * n])
+        dense[key[i:j] // n - a, key[i:j] % n] = True
+        bits[a:b] = np.packbits(dense, axis=1, bitorder="little").view(np.uint64)
+    step = max(1, PAIRS // n)
+    for at in range(0, len(alive), step):
+        q = alive[at : at + step]
+        size, begin = asked.size[lo + q], first[q]
+        acc, most = bits[terms[begin]], int(size.max())
+        for j in range(1, most):
+            more = np.flatnonzero(size > j)
+            if j > 2:
+                more = more[acc[more].any(axis=1)]
+            acc[more] &= bits[terms[begin[more] + j]]
+        row, word = np.nonzero(acc)
+        if not len(row):
+            continue
+        hit, bit = np.nonzero(np.unpackbits(acc[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        row, at_doc = row[hit], word[hit] * 64 + bit
+        score = np.zeros(len(row))
+        for j in range(int(size[row].max())):
+            more = slice(None) if (size[row] > j).all() else np.flatnonzero(size[row] > j)
+            score[more] += part[np.searchsorted(key, terms[begin[row[more]] + j] * n + at_doc[more])]
+        yield lo + q[row], at_doc, score
+
+
+def _first(q: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows by set, falling score and id: which can be among the k best of their set, and the sets that have k with their k-th best score. Of one score only k can be."""
+    new = np.concatenate([[True], q[1:] != q[:-1]])
+    starts = np.flatnonzero(new)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    same = np.flatnonzero(new | np.concatenate([[True], score[1:] != score[:-1]]))
+    twin = np.arange(len(q)) - np.repeat(same, np.diff(np.append(same, len(q))))
+    full = starts[np.diff(np.append(starts, len(q))) >= k]
+    least = np.full(len(starts), -np.inf)
+    least[np.diff(np.append(starts, len(q))) >= k] = score[full + k - 1]
+    return (place < k) | (twin < k) & (score >= np.repeat(least, np.diff(np.append(starts, len(q)))) - NEAR), q[full], score[full + k - 1]
+
+
+def _best(k: int, avgdl: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, asked, held, fresh = [], None, None, []
+
+        def merged() -> pa.Table:
+            t = pa.concat_tables([*([held] if held is not None else []), *fresh])
+            t = t.take(pc.sort_indices(t, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
+            keep, q, kth = _first(np.asarray(t["q"]), np.asarray(t["score"]), k)
+            asked.kth[q] = np.maximum(asked.kth[q], kth)
+            fresh.clear()
+            return t.filter(pa.array(keep))
+
+        def out(t: pa.Table | None) -> Iterator[pa.RecordBatch]:
+            for a in range(0, t.num_rows if t is not None else 0, 50_000):
+                b = t.slice(a, 50_000).combine_chunks()
+                yield from pa.table({"query_id": asked.ids.take(b["q"].combine_chunks()), "id": b["id"], "score": b["score"]}).combine_chunks().to_batches()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                if not r["ids"].is_valid:
+                    assert asked is None, "what is asked comes before the documents"
+                    rows.append(r)
+                    continue
+                if asked is None:
+                    asked = _Asked(rows)
+                    rows.clear()
+                if not asked.n:
+                    continue
+                g = np.asarray(pc.index_in(r["terms"].values, value_set=asked.terms).fill_null(-1), np.int64)[_wide(r["codes"].as_py())]
+                doc, dl, tf = np.repeat(np.arange(len(r["ids"].values)), _wide(r["held"].as_py())), _wide(r["dls"].as_py()), _wide(r["tfs"].as_py())
+                known = np.flatnonzero(g >= 0)
+                g, doc, tf = g[known], doc[known], tf[known]
+                part = asked.idf[g] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                ends = np.cumsum(_wide(r["runs"].as_py()))
+                for name, a, b in zip(r["owners"].values.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    if name not in asked.owners or b == a:
+                        continue
+                    lo, hi = asked.range[asked.owners[name] : asked.owners[name] + 2]
+                    i0, i1 = np.searchsorted(doc, [a, b])
+                    if hi == lo or i1 == i0:
+                        continue
+                    for q, d, s in _matches(asked, lo, hi, g[i0:i1], doc[i0:i1] - a, part[i0:i1], b - a):
+                        good = np.flatnonzero(s >= asked.kth[q] - NEAR)
+                        q, d, s = q[good], d[good], s[good]
+                        order = np.lexsort((d, -s, q))
+                        q, d, s = q[order], d[order], s[order]
+                        if len(q):
+                            keep = np.flatnonzero(_first(q, s, k)[0])
+                            fresh.append(pa.table({"q": q[keep], "score": s[keep], "id": r["ids"].values.take(pa.array(d[keep] + a))}))
+                    if sum(t.num_rows for t in fresh) > 100_000 + (held.num_rows if held is not None else 0) // 2:
+                        held = merged()
+                if held is not None and held.num_rows > HELD:
+                    yield from out(held)
+                    held = None
+        if fresh:
+            held = merged()
+        yield from out(held)
+
+    return run
+
+
 def bm25(docs: DataFrame, key: str, body: str, queries: DataFrame, k: int = 10, eligible: Column | None = None, owner: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best documents that have all terms of a query.
 
-    ``queries`` has (query_id, terms); ``eligible`` may name a condition on documents, applied before ranking while the statistics
-    stay those of all documents. With ``owner``, an expression on documents, queries also have a column ``owner`` and find
-    only documents of their own. The documents of a query's rarest term are its only candidates, so common terms never
-    fan out. Score ties go to the smaller id; a query without terms finds nothing.
+    ``queries`` has (query_id, terms), each query_id once; ``eligible`` may name a condition on documents, applied before ranking while
+    the statistics stay those of all documents. With ``owner``, an expression on documents, queries also have a column ``owner`` and find
+    only documents of their own. Score ties go to the smaller id; a query without terms finds nothing.
+
+    The corpus is read into words once and packed into blocks; what is asked goes, as blocks too, to each of a bounded number of parts of
+    it. A part finds the documents that have all words by the words' bit rows and keeps k a query, so no candidate is shuffled or
+    stored. Queries of equal words and owner are asked once.
     """
-    own = owner if owner is not None else F.lit("")
-    terms = queries.select("query_id", *(["owner"] if owner is not None else [F.lit("").alias("owner")]), F.explode(F.array_distinct("terms")).alias("term"))
-    # the corpus is read into words once; the empty word stands for the document itself, whose length the statistics need
-    wanted = broadcast_if_small(terms.select("term").unionByName(queries.select(F.lit("").alias("term"))).distinct())
-    rows = docs.select(F.col(key).alias("id"), own.alias("owner"), (eligible if eligible is not None else F.lit(True)).alias("ok"), text.tokens(F.col(body)).alias("t"))
-    hits = rows.select("id", "owner", "ok", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(wanted, "term", "left_semi")
-    hits = cut(hits.groupBy("id", "owner", "ok", "dl", "term").agg(F.count("*").alias("tf")))
-    sizes = hits.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    need = known.groupBy("query_id", "owner").agg(F.count("*").alias("n_terms"), F.min(F.struct("df", "term")).alias("rarest"))
-    hits = hits.where("ok")
-    cand = need.where(F.col("rarest.df") > 0).select("query_id", "owner", "n_terms", F.col("rarest.term").alias("term")).join(hits.select("term", "owner", "id"), ["term", "owner"]).drop("term", "owner")
-    full = cand.join(known.drop("owner"), "query_id").join(hits.drop("owner"), ["id", "term"]).join(F.broadcast(sizes))  # one row
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = full.groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("found")).where(F.col("found") == F.col("n_terms"))
-    return ranked(scored, "query_id", k)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    own = owner.cast("string") if owner is not None else F.lit("")
+    asked = queries.select("query_id", (F.col("owner").cast("string") if owner is not None else F.lit("")).alias("owner"), F.array_sort(F.array_distinct("terms")).alias("terms"))
+    asked = cut(asked.where(F.col("query_id").isNotNull() & F.col("owner").isNotNull() & (F.size("terms") > 0) & F.forall("terms", lambda t: t.isNotNull())))
+    sets = asked.groupBy("owner", "terms").agg(F.min("query_id").alias("first"))
+    qkind = dict(sets.dtypes)["first"]
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(own, F.lit("")).alias("owner"), (F.coalesce(eligible if eligible is not None else F.lit(True), F.lit(False)) & F.col(key).isNotNull() & own.isNotNull()).alias("ok"), text.tokens(F.col(body)).alias("t"))
+    blocks = cut(rows.mapInArrow(_docs, f"terms array<string>, seen array<bigint>, n bigint, words bigint, owners array<string>, runs binary, ids array<{kind}>, dls binary, held binary, codes binary, tfs binary"))
+    wanted = cut(sets.select("owner", F.col("first").alias("query_id"), "terms").mapInArrow(_asked, f"terms array<string>, owners array<string>, runs binary, asked array<{qkind}>, held binary, codes binary"))
+    sizes = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    avgdl = sizes["words"] / max(1, sizes["n"]) or 1.0
+    df = blocks.select(F.explode(F.arrays_zip("terms", "seen")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.seen").alias("df"))
+    idf = F.greatest(F.log((F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    known = df.join(wanted.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("term", idf.alias("idf"))
+    known = cut(known.groupBy(F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("at")).agg(F.collect_list(F.struct("term", "idf")).alias("x")).select(F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")))
+    size = wanted.agg(F.coalesce(F.sum(sum(F.length(c) for c in ("runs", "held", "codes")) + F.size("asked") * 40), F.lit(0)).alias("n")).first()["n"]
+    across = min(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))  # each part of the corpus gives k a query
+    down = max(1, -(-size // BROADCAST_BYTES))
+    every = lambda n, of: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of))
+    number = F.monotonically_increasing_id()
+    parts = blocks.drop("seen", "n", "words").withColumn("_at", F.pmod(F.shiftright(number, 33) + F.pmod(number, F.lit(1 << 33)), F.lit(across)))
+    parts = parts.withColumn("part", every(down, lambda i: i * across + F.col("_at"))).drop("_at").withColumn("side", F.lit(1))
+    wanted = wanted.withColumn("_at", F.pmod(F.xxhash64("codes", "held"), F.lit(down))).withColumn("part", every(across, lambda i: F.col("_at") * across + i)).drop("_at")
+    known = known.withColumn("part", every(across * down, lambda i: i))
+    both = parts.unionByName(wanted.withColumn("side", F.lit(0)), True).unionByName(known.withColumn("side", F.lit(0)), True)
+    both = both.withColumn("part", F.col("part").cast("int")).repartitionById(across * down, "part").sortWithinPartitions("side").drop("part", "side")
+    found = both.mapInArrow(_best(k, avgdl), f"query_id {qkind}, id {kind}, score double")
+    found = ranked(found, "query_id", k).withColumnRenamed("query_id", "first")
+    each = asked.join(sets, ["owner", "terms"]).select("query_id", "first")
+    return each.join(found, "first").select("query_id", "id", "score", "rank")
 
 
 def ranked(scored: DataFrame, query: str, k: int) -> DataFrame:

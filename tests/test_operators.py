@@ -1,6 +1,7 @@
 """Operators on small inputs with nulls, ties, repeats and empty tables."""
 
 import json
+import math
 import random
 import re
 from collections import defaultdict
@@ -80,6 +81,69 @@ def test_search_without_hits(spark):
     assert {(r["query_id"], r["id"]) for r in got} == {(8, 1), (8, 3)}
 
 
+@pytest.mark.parametrize("owned", [False, True])
+def test_keyword_search_against_every_pair(spark, monkeypatch, owned):
+    """Many blocks, ties, copies, null and long texts, documents that only count, equal and hopeless questions."""
+    for name, value in (("BLOCK_WORDS", 150), ("PAIRS", 64), ("HELD", 200), ("PARTS", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(3)
+    word = lambda: f"w{min(int(rng.expovariate(0.15)), 40)}"
+    docs = [(f"d{i:03d}", None if i % 50 == 7 else " ".join(word() for _ in range(rng.choice([1, 3, 8, 12, 400 if i % 90 == 0 else 9]))), rng.choice("xyz") if i % 40 else None, i % 7 != 3) for i in range(300)]
+    docs += [(f"e{i:03d}", *d[1:]) for i, d in enumerate(docs[:60])]
+    asked = [(i, rng.choice("xyzq"), [word() for _ in range(rng.choice([1, 1, 2, 3, 5]))]) for i in range(80)] + [(98, "x", ["w0", "nowhere"]), (99, "x", []), (100, "x", None), (101, None, ["w1"]), (102, "x", ["w1", None])]
+    words = {d[0]: re.findall("[a-z0-9]+", (d[1] or "").lower()) for d in docs}
+    avgdl = sum(map(len, words.values())) / len(words)
+    df = defaultdict(int)
+    for w in words.values():
+        for t in set(w):
+            df[t] += 1
+    want = {}
+    for q, own, terms in asked:
+        if not terms or None in terms or owned and own is None:
+            continue
+        hits = []
+        for ident, _, mine, ok in docs:
+            if ok and (not owned or mine == own) and set(terms) <= set(words[ident]):
+                tf = {t: words[ident].count(t) for t in set(terms)}
+                hits.append((sum(max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(words[ident]) / avgdl)) for t in tf), ident))
+        for rank, (score, ident) in enumerate(sorted(hits, key=lambda h: (-round(h[0], 9), h[1]))[:4], 1):
+            want[q, ident] = (round(score, 6), rank)
+    d = spark.createDataFrame(docs, "id string, t string, agent string, ok boolean").repartition(3)
+    q = spark.createDataFrame(asked, "query_id bigint, owner string, terms array<string>")
+    got = search.bm25(d, "id", "t", q, 4, F.col("ok"), F.col("agent") if owned else None).collect()
+    assert len(want) > 100 and {(r["query_id"], r["id"]): (round(r["score"], 6), r["rank"]) for r in got} == want
+
+
+def test_keyword_search_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "id bigint, t string")
+    q = spark.createDataFrame([(7, ["a"])], "query_id bigint, terms array<string>")
+    assert search.bm25(docs.where("id > 5"), "id", "t", q).collect() == []
+    assert search.bm25(docs, "id", "t", q.where("query_id = 0")).collect() == []
+
+
+def moved(spark, run):
+    """Rows that the shuffles of a run write."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    wait = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    wait()
+    sums = lambda: sum(s.shuffleWriteRecords() for s in [all_.apply(i) for i in range(all_.size())])
+    all_ = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = sums()
+    run()
+    wait()
+    all_ = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sums() - before
+
+
+def test_keyword_search_moves_no_candidates(spark):
+    """300 questions, 2,000 documents that have the words of all of them: 600,000 pairs, of which 10 a question come out."""
+    docs = spark.range(2000).select("id", F.concat(F.lit("common "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), i)), " "), F.lit(" "), F.col("id")).alias("t")).repartition(4, F.md5("t"))
+    q = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id"))).alias("terms"))
+    found = []
+    assert moved(spark, lambda: found.extend(search.bm25(docs, "id", "t", q).collect())) < 60_000
+    assert len(found) == 3000 and {r["id"] for r in found} == set(range(10))
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
