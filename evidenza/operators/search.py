@@ -17,7 +17,7 @@ K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors of a block, and bytes of queries up to which their blocks are broadcast.
 BLOCK, BROADCAST_BYTES = 256, 64 << 20
 #: Of keyword search: words of a block of documents, pairs of a set and a document looked at together, parts of the corpus, rows a part holds before it gives them away, and how near scores may be equal at nine decimals.
-BLOCK_WORDS, PAIRS, PARTS, HELD, NEAR = 1_000_000, 1 << 20, 32, 500_000, 2e-9
+BLOCK_WORDS, PAIRS, PARTS, HELD, NEAR = 500_000, 1 << 20, 32, 500_000, 2e-9
 
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -366,8 +366,9 @@ def strategy(name: str, keyword: DataFrame, vector: DataFrame, k: int) -> DataFr
         return keyword.where(F.col("rank") <= k)
     if name == "semantic":
         return vector.where(F.col("rank") <= k)
-    both = fused([keyword, vector], k)
     if name == "hybrid":
-        return both
+        return fused([keyword, vector], k)
+    keyword, vector = cut(keyword), cut(vector)  # each is read more than once
+    both = fused([keyword, vector], k)
     lone = keyword.join(vector.select("query_id").distinct(), "query_id", "left_anti").where(F.col("rank") <= k)
     return both.join(vector.select("query_id").distinct(), "query_id", "left_semi").unionByName(lone)

@@ -144,6 +144,22 @@ def test_keyword_search_moves_no_candidates(spark):
     assert len(found) == 3000 and {r["id"] for r in found} == set(range(10))
 
 
+def crowd(spark, n=300):
+    """Documents that have all words of all questions, and the questions, for the tests of what a search moves."""
+    docs = spark.range(2000).select("id", F.concat(F.lit("common "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("w"), i)), " "), F.lit(" "), F.col("id")).alias("t")).repartition(4, F.md5("t"))
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.lit("a").alias("owner"), F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id"))).alias("terms"))
+    return docs, q
+
+
+def test_fallback_moves_no_candidates(spark):
+    """The keyword lane is read twice; it must be found once."""
+    docs, q = crowd(spark)
+    found = []
+    vector = q.where("query_id % 2 = 0").select("query_id", F.lit(7).cast("bigint").alias("id"), F.lit(1).alias("rank"))
+    assert moved(spark, lambda: found.extend(search.strategy("auto", search.bm25(docs, "id", "t", q.drop("owner")), vector, 5).collect())) < 60_000
+    assert len(found) == 1500 and {(r["query_id"] % 2, r["id"]) for r in found if r["rank"] == 1} == {(0, 7), (1, 0)}
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
