@@ -151,6 +151,14 @@ def crowd(spark, n=300):
     return docs, q
 
 
+def test_fused_lanes_move_no_candidates(spark):
+    docs, q = crowd(spark)
+    found = []
+    vector = q.select("query_id", F.lit(7).cast("bigint").alias("id"), F.lit(1).alias("rank"))
+    assert moved(spark, lambda: found.extend(search.fused([search.bm25(docs, "id", "t", q.drop("owner")), vector], 10).collect())) < 60_000
+    assert len(found) == 3000 and {r["id"] for r in found if r["rank"] == 1} == {7}
+
+
 def test_fallback_moves_no_candidates(spark):
     """The keyword lane is read twice; it must be found once."""
     docs, q = crowd(spark)
