@@ -182,6 +182,14 @@ def test_scoped_keyword_search_moves_no_candidates(spark):
     assert len(found) == 1500 and {r["id"] for r in found} == set(range(100, 105))
 
 
+def test_weighted_lanes_move_no_candidates(spark):
+    docs, q = crowd(spark)
+    found = []
+    sources = docs.select("id", F.when(F.col("id") == 9, "manual").otherwise("vault").alias("source"))
+    assert moved(spark, lambda: found.extend(search.weighted(search.fused([search.bm25(docs, "id", "t", q.drop("owner"))]), sources, 10).collect())) < 60_000
+    assert len(found) == 3000 and {r["id"] for r in found if r["rank"] == 1} == {9}
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
