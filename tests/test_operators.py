@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.operators import claims, context, evaluate, feedback, graph, health, history, lifecycle, ranking, scope, search, vault
+from evidenza.operators import claims, context, evaluate, feedback, graph, health, history, lifecycle, ranking, recall, scope, search, vault
 from evidenza.runtime import broadcast_if_small
 from evidenza.sources import files
 
@@ -190,6 +190,16 @@ def test_weighted_lanes_move_no_candidates(spark):
     assert len(found) == 3000 and {r["id"] for r in found if r["rank"] == 1} == {9}
 
 
+def test_keyword_lane_moves_no_candidates(spark):
+    """As a prefetch asks: many questions of the same words are found once, and each gets its rows."""
+    docs, q = crowd(spark, 150)
+    m = docs.select(F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), F.lit("a").alias("agent"), F.lit("shared").alias("visibility"), F.lit("manual").alias("source"), F.lit("fact").alias("type"), F.lit(None).cast("string").alias("source_id"), F.col("t").alias("content"), F.array(F.lit("common")).alias("tags"))
+    q = q.select(F.explode(F.array(*[F.concat_ws("#", "query_id", F.lit(i).cast("string")) for i in range(3)])).alias("query_id"), "owner", "terms")
+    found = []
+    assert moved(spark, lambda: found.extend(recall.keyword_lane(m, q, 5).collect())) < 60_000
+    assert len(found) == 150 * 3 * 5 and {r["id"] for r in found} == {f"m000{i}" for i in range(5)}
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
