@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring, text
-from evidenza.runtime import cut
+from evidenza.runtime import cut, opened, packed_cut, shut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors of a block, and bytes of queries up to which their blocks are broadcast.
@@ -28,13 +28,21 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def _lean(a: np.ndarray) -> bytes:
-    """Counts and places in as few bytes each as the largest needs, after a sign for the type."""
+    """Counts and places in as few bytes each as the largest needs, compressed, after a sign for the type and their length."""
     kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-    return kind.char.encode() + a.astype(kind).tobytes()
+    return kind.char.encode() + len(raw := a.astype(kind).tobytes()).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _wide(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, chr(b[0]), offset=1).astype(np.int64)
+    return np.frombuffer(pa.decompress(b[9:], int.from_bytes(b[1:9], "little"), "zstd", asbytes=True), chr(b[0])).astype(np.int64)
+
+
+def _shut(a: pa.Array) -> bytes:
+    return shut(pa.record_batch([a], ["x"]))
+
+
+def _opened(b: bytes) -> pa.Array:
+    return opened(b).column(0)
 
 
 def _row(schema: pa.Schema, **values: object) -> pa.RecordBatch:
@@ -65,17 +73,31 @@ def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = kept[np.argsort(place[doc[kept]], kind="stable")]
             owner = part.column("owner").take(pa.array(order)).dictionary_encode()
             runs = np.bincount(np.asarray(owner.indices, np.int64), minlength=len(owner.dictionary))
-            schema = pa.schema([("terms", pa.list_(pa.string())), ("seen", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.int64()), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("ids", pa.list_(part.column("id").type)), ("dls", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()), ("tfs", pa.binary())])
-            yield _row(schema, terms=_lists(words.dictionary), seen=_lists(pa.array(np.bincount(code, minlength=len(words.dictionary)))), n=n, words=int(dl.sum()), owners=_lists(owner.dictionary), runs=_lean(runs), ids=_lists(part.column("id").take(pa.array(order))), dls=_lean(dl[order]), held=_lean(np.bincount(place[doc[kept]], minlength=len(order))), codes=_lean(code[kept]), tfs=_lean(tf[kept]))
+            schema = pa.schema([("terms", pa.list_(pa.string())), ("seen", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.int64()), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("ids", pa.binary()), ("dls", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()), ("tfs", pa.binary())])
+            yield _row(schema, terms=_lists(words.dictionary), seen=_lists(pa.array(np.bincount(code, minlength=len(words.dictionary)))), n=n, words=int(dl.sum()), owners=_lists(owner.dictionary), runs=_lean(runs), ids=_shut(part.column("id").take(pa.array(order))), dls=_lean(dl[order]), held=_lean(np.bincount(place[doc[kept]], minlength=len(order))), codes=_lean(code[kept]), tfs=_lean(tf[kept]))
             at = to
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of words (owner, query_id, terms) as blocks."""
-    for batch in batches:
+    """Sets of words (owner, set, terms), by ascending number, as blocks of about BLOCK_WORDS words: each word and number is in it once, in few bytes, as a block goes to every part."""
+    schema = pa.schema([("said", pa.binary()), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("asked", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()), ("sets", pa.int64()), ("words", pa.int64())])
+    rows, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        rows.clear()
         owner, words = batch.column("owner").dictionary_encode(), batch.column("terms").flatten().dictionary_encode()
-        schema = pa.schema([("terms", pa.list_(pa.string())), ("owners", pa.list_(pa.string())), ("runs", pa.binary()), ("asked", pa.list_(batch.column("query_id").type)), ("held", pa.binary()), ("codes", pa.binary())])
-        yield _row(schema, terms=_lists(words.dictionary), owners=_lists(owner.dictionary), runs=_lean(np.asarray(owner.indices, np.int64)), asked=_lists(batch.column("query_id")), held=_lean(np.asarray(pc.list_value_length(batch.column("terms")), np.int64)), codes=_lean(np.asarray(words.indices, np.int64)))
+        return _row(schema, said=_shut(words.dictionary), owners=_lists(owner.dictionary), runs=_lean(np.asarray(owner.indices, np.int64)), asked=_lean(np.diff(np.asarray(batch.column("set")), prepend=0)), held=_lean(np.asarray(pc.list_value_length(batch.column("terms")), np.int64)), codes=_lean(np.asarray(words.indices, np.int64)), sets=batch.num_rows, words=len(words))
+
+    for batch in batches:
+        if batch.num_rows:
+            rows.append(batch)
+            n += len(batch.column("terms").flatten())
+        if n >= BLOCK_WORDS:
+            yield out()
+            n = 0
+    if rows:
+        yield out()
 
 
 class _Asked:
@@ -87,9 +109,9 @@ class _Asked:
         self.idf = np.concatenate([np.asarray(r["idf"].values) for r in vocabulary]) if vocabulary else np.zeros(0)
         held, codes, owner, ids, self.owners = [], [], [], [], {}
         for r in (r for r in rows if not r["idf"].is_valid):
-            code = np.asarray(pc.index_in(r["terms"].values, value_set=self.terms).fill_null(-1), np.int64)
+            code = np.asarray(pc.index_in(_opened(r["said"].as_py()), value_set=self.terms).fill_null(-1), np.int64)
             names = np.array([self.owners.setdefault(x, len(self.owners)) for x in r["owners"].values.to_pylist()])
-            held.append(_wide(r["held"].as_py())), codes.append(code[_wide(r["codes"].as_py())]), owner.append(names[_wide(r["runs"].as_py())]), ids.append(r["asked"].values)
+            held.append(_wide(r["held"].as_py())), codes.append(code[_wide(r["codes"].as_py())]), owner.append(names[_wide(r["runs"].as_py())]), ids.append(np.cumsum(_wide(r["asked"].as_py())))
         if not ids:
             self.n, self.ids = 0, None
             return
@@ -101,7 +123,7 @@ class _Asked:
         rank[order] = np.arange(len(kept))
         by = np.lexsort((code, -self.idf[code], np.repeat(rank, n[kept])))
         kept = kept[order]
-        self.n, self.size, self.codes, self.ids = len(kept), n[kept], code[by], pa.concat_arrays(ids).take(pa.array(kept))
+        self.n, self.size, self.codes, self.ids = len(kept), n[kept], code[by], np.concatenate(ids)[kept]
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.range = np.searchsorted(owner[kept], np.arange(len(self.owners) + 1))
         self.kth = np.full(self.n, -np.inf)
@@ -178,7 +200,7 @@ def _best(k: int, avgdl: float):
         def out(t: pa.Table | None) -> Iterator[pa.RecordBatch]:
             for a in range(0, t.num_rows if t is not None else 0, 50_000):
                 b = t.slice(a, 50_000).combine_chunks()
-                yield from pa.table({"query_id": asked.ids.take(b["q"].combine_chunks()), "id": b["id"], "score": b["score"]}).combine_chunks().to_batches()
+                yield from pa.table({"set": pa.array(asked.ids[np.asarray(b["q"])]), "id": b["id"], "score": b["score"]}).combine_chunks().to_batches()
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -192,8 +214,9 @@ def _best(k: int, avgdl: float):
                     rows.clear()
                 if not asked.n:
                     continue
+                ids = _opened(r["ids"].as_py())
                 g = np.asarray(pc.index_in(r["terms"].values, value_set=asked.terms).fill_null(-1), np.int64)[_wide(r["codes"].as_py())]
-                doc, dl, tf = np.repeat(np.arange(len(r["ids"].values)), _wide(r["held"].as_py())), _wide(r["dls"].as_py()), _wide(r["tfs"].as_py())
+                doc, dl, tf = np.repeat(np.arange(len(ids)), _wide(r["held"].as_py())), _wide(r["dls"].as_py()), _wide(r["tfs"].as_py())
                 known = np.flatnonzero(g >= 0)
                 g, doc, tf = g[known], doc[known], tf[known]
                 part = asked.idf[g] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
@@ -212,7 +235,7 @@ def _best(k: int, avgdl: float):
                         q, d, s = q[order], d[order], s[order]
                         if len(q):
                             keep = np.flatnonzero(_first(q, s, k)[0])
-                            fresh.append(pa.table({"q": q[keep], "score": s[keep], "id": r["ids"].values.take(pa.array(d[keep] + a))}))
+                            fresh.append(pa.table({"q": q[keep], "score": s[keep], "id": ids.take(pa.array(d[keep] + a))}))
                     if sum(t.num_rows for t in fresh) > 100_000 + (held.num_rows if held is not None else 0) // 2:
                         held = merged()
                 if held is not None and held.num_rows > HELD:
@@ -234,38 +257,36 @@ def bm25(docs: DataFrame, key: str, body: str, queries: DataFrame, k: int = 10,
 
     The corpus is read into words once and packed into blocks; what is asked goes, as blocks too, to each of a bounded number of parts of
     it. A part finds the documents that have all words by the words' bit rows and keeps k a query, so no candidate is shuffled or
-    stored. Queries of equal words and owner are asked once.
+    stored. Queries of equal words and owner are asked once, under a number, and what is stored or sent to all parts is compressed.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     own = owner.cast("string") if owner is not None else F.lit("")
     asked = queries.select("query_id", (F.col("owner").cast("string") if owner is not None else F.lit("")).alias("owner"), F.array_sort(F.array_distinct("terms")).alias("terms"))
-    asked = cut(asked.where(F.col("query_id").isNotNull() & F.col("owner").isNotNull() & (F.size("terms") > 0) & F.forall("terms", lambda t: t.isNotNull())))
-    sets = asked.groupBy("owner", "terms").agg(F.min("query_id").alias("first"))
-    qkind = dict(sets.dtypes)["first"]
+    asked = packed_cut(asked.where(F.col("query_id").isNotNull() & F.col("owner").isNotNull() & (F.size("terms") > 0) & F.forall("terms", lambda t: t.isNotNull())))
+    sets = packed_cut(asked.select("owner", "terms").distinct().withColumn("set", F.monotonically_increasing_id()))
     rows = docs.select(F.col(key).alias("id"), F.coalesce(own, F.lit("")).alias("owner"), (F.coalesce(eligible if eligible is not None else F.lit(True), F.lit(False)) & F.col(key).isNotNull() & own.isNotNull()).alias("ok"), text.tokens(F.col(body)).alias("t"))
-    blocks = cut(rows.mapInArrow(_docs, f"terms array<string>, seen array<bigint>, n bigint, words bigint, owners array<string>, runs binary, ids array<{kind}>, dls binary, held binary, codes binary, tfs binary"))
-    wanted = cut(sets.select("owner", F.col("first").alias("query_id"), "terms").mapInArrow(_asked, f"terms array<string>, owners array<string>, runs binary, asked array<{qkind}>, held binary, codes binary"))
+    blocks = cut(rows.mapInArrow(_docs, "terms array<string>, seen array<bigint>, n bigint, words bigint, owners array<string>, runs binary, ids binary, dls binary, held binary, codes binary, tfs binary"))
+    wanted = cut(sets.select("owner", "set", "terms").mapInArrow(_asked, "said binary, owners array<string>, runs binary, asked binary, held binary, codes binary, sets bigint, words bigint"))
     sizes = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     avgdl = sizes["words"] / max(1, sizes["n"]) or 1.0
     df = blocks.select(F.explode(F.arrays_zip("terms", "seen")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.seen").alias("df"))
     idf = F.greatest(F.log((F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    known = df.join(wanted.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("term", idf.alias("idf"))
+    known = df.join(sets.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("term", idf.alias("idf"))
     known = cut(known.groupBy(F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("at")).agg(F.collect_list(F.struct("term", "idf")).alias("x")).select(F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")))
-    size = wanted.agg(F.coalesce(F.sum(sum(F.length(c) for c in ("runs", "held", "codes")) + F.size("asked") * 40), F.lit(0)).alias("n")).first()["n"]
+    size = wanted.agg(F.coalesce(F.sum(F.col("sets") * 16 + F.col("words") * 4), F.lit(0)).alias("n")).first()["n"]
     across = min(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))  # each part of the corpus gives k a query
     down = max(1, -(-size // BROADCAST_BYTES))
     every = lambda n, of: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of))
     number = F.monotonically_increasing_id()
     parts = blocks.drop("seen", "n", "words").withColumn("_at", F.pmod(F.shiftright(number, 33) + F.pmod(number, F.lit(1 << 33)), F.lit(across)))
     parts = parts.withColumn("part", every(down, lambda i: i * across + F.col("_at"))).drop("_at").withColumn("side", F.lit(1))
-    wanted = wanted.withColumn("_at", F.pmod(F.xxhash64("codes", "held"), F.lit(down))).withColumn("part", every(across, lambda i: F.col("_at") * across + i)).drop("_at")
+    wanted = wanted.drop("sets", "words").withColumn("_at", F.pmod(F.xxhash64("codes", "held"), F.lit(down))).withColumn("part", every(across, lambda i: F.col("_at") * across + i)).drop("_at")
     known = known.withColumn("part", every(across * down, lambda i: i))
     both = parts.unionByName(wanted.withColumn("side", F.lit(0)), True).unionByName(known.withColumn("side", F.lit(0)), True)
     both = both.withColumn("part", F.col("part").cast("int")).repartitionById(across * down, "part").sortWithinPartitions("side").drop("part", "side")
-    found = both.mapInArrow(_best(k, avgdl), f"query_id {qkind}, id {kind}, score double")
-    found = ranked(found, "query_id", k).withColumnRenamed("query_id", "first")
-    each = asked.join(sets, ["owner", "terms"]).select("query_id", "first")
-    return each.join(found, "first").select("query_id", "id", "score", "rank")
+    found = both.mapInArrow(_best(k, avgdl), f"set bigint, id {kind}, score double")
+    each = asked.join(sets, ["owner", "terms"]).select("query_id", "set")
+    return each.join(ranked(found, "set", k), "set").select("query_id", "id", "score", "rank")
 
 
 def ranked(scored: DataFrame, query: str, k: int) -> DataFrame:

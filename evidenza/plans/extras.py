@@ -95,7 +95,9 @@ def prefetch_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = each.select(F.concat_ws("#", F.col("id").cast("string"), F.col("at").cast("string")).alias("query_id"), F.col("agent_id").alias("owner"), text.tokens(F.col("term")).alias("terms"))
     m = tables.memories(spark, sf_dir).where("status = 'active'")
     found = recall.keyword_lane(m, q, 5).withColumn("turn", F.split_part("query_id", F.lit("#"), F.lit(1))).withColumn("at", F.split_part("query_id", F.lit("#"), F.lit(2)).cast("int"))
-    first = found.groupBy("turn", "id").agg(F.min(F.struct("at", "rank")).alias("f")).join(m.select("id", text.token_estimate(F.col("content")).alias("cost")), "id")
+    costs = tables.memories(spark, sf_dir, cost=text.token_estimate(F.col("content"))).where("status = 'active'").select("id", "cost")
+    first = found.select("turn", "at", "id", "rank").join(costs, "id").repartition("turn")  # a turn has few rows; all that follows stays with it
+    first = first.groupBy("turn", "id", "cost").agg(F.min(F.struct("at", "rank")).alias("f"))
     packed = context.greedy_packed(first, "turn", ["f", "id"], "id", "cost", 200)
     return packed.groupBy("turn").agg(F.count("*").alias("n"), F.sum("cost").alias("tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]), ",")).alias("digest"))  # at most 100 a turn
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidenza.functions import scoring
@@ -12,15 +12,18 @@ from evidenza.runtime import table
 NOW = "2025-06-30 00:00:00"
 
 
-def latest(df: DataFrame, key: str, updated: str) -> DataFrame:
-    """The newest row of each key, a missing time being oldest; of equal times the greatest by content."""
+def latest(df: DataFrame, key: str, updated: str, **derived: Column) -> DataFrame:
+    """The newest row of each key, a missing time being oldest; of equal times the greatest by content.
+
+    ``derived`` are further columns made of a stored row; where they are wanted in a long text's stead, the text isn't shuffled.
+    """
     order = Window.partitionBy(key).orderBy(F.desc_nulls_last(updated), F.desc(F.xxhash64(*[F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))])))
-    return df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
+    return df.withColumns(derived).where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memories(spark: SparkSession, sf_dir: str, **derived: Column) -> DataFrame:
     """The newest version of each memory, with source in one spelling, impossible trust as null and defaults for null scope."""
-    rows = latest(table(spark, sf_dir, "memories"), "id", "updated_at")
+    rows = latest(table(spark, sf_dir, "memories"), "id", "updated_at", **derived)
     return rows.withColumns({
         "source": F.coalesce(scoring.source_name(F.col("source")), F.lit("unknown")), "trust": scoring.valid_trust(F.col("trust_score")),
         "agent": F.coalesce("agent", F.lit("")), "visibility": F.coalesce("visibility", F.lit("private")), "status": F.coalesce("status", F.lit("active")),

@@ -2,6 +2,7 @@
 
 import json
 import math
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -10,10 +11,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from evidenza import runtime
 from evidenza.functions import scoring, text
 from evidenza.operators import claims, context, evaluate, feedback, graph, health, history, lifecycle, ranking, recall, scope, search, vault
 from evidenza.runtime import broadcast_if_small
-from evidenza.sources import files
+from evidenza.sources import files, tables
 
 
 def test_broadcast_is_checked(spark):
@@ -200,6 +202,55 @@ def test_keyword_lane_moves_no_candidates(spark):
     assert len(found) == 150 * 3 * 5 and {r["id"] for r in found} == {f"m000{i}" for i in range(5)}
 
 
+def moved_bytes(spark, run):
+    """Bytes that the shuffles of a run write."""
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    sums = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000) or sum(s.shuffleWriteBytes() for s in [all_.apply(i) for all_ in [stages()] for i in range(all_.size())])
+    before = sums()
+    run()
+    return sums() - before
+
+
+def many(spark, owned=False):
+    """20,000 questions of different words and long ids, each of which one document answers."""
+    docs = spark.range(0, 20_000, 1, 4).select(F.md5(F.col("id").cast("string")).alias("id"), F.lit("a").alias("agent"), F.concat(F.lit("common w"), F.col("id")).alias("t"))
+    q = spark.range(0, 20_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("query_id"), F.lit("a").alias("owner"), F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id"))).alias("terms"))
+    return docs, q if owned else q.drop("owner")
+
+
+def with_partitions(spark, n, run):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_questions_go_to_all_parts_without_their_ids(spark):
+    docs, q = many(spark, owned=True)
+    found = []
+    n = with_partitions(spark, 16, lambda: moved_bytes(spark, lambda: found.extend(search.bm25(docs, "id", "t", q, 5, owner=F.col("agent")).collect())))
+    assert len(found) == 20_000 and {r["rank"] for r in found} == {1} and n < 15_000_000, n
+
+
+def test_packed_cut_stores_few_bytes(spark):
+    rows = spark.range(0, 20_000, 1, 2).select("id", F.array(F.lit("common"), F.lit("word"), F.when(F.col("id") > 0, F.concat(F.lit("w"), F.col("id")))).alias("terms"), F.lit(None).cast("string").alias("owner"))
+    kept, where = runtime.packed_cut(rows), spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    sizes = {p: sum(f.stat().st_size for f in p.iterdir()) for p in pathlib.Path(where.removeprefix("file:")).iterdir()}
+    assert sizes[max(sizes, key=lambda p: int(p.name.removeprefix("rdd-")))] < 400_000
+    assert kept.dtypes == rows.dtypes and sorted(kept.collect()) == sorted(rows.collect())
+
+
+def test_costs_are_shuffled_without_the_texts(spark, tmp_path):
+    """Prefetch packs by costs; the texts they come from needn't be moved."""
+    rows = spark.range(2000).select(F.col("id").cast("string"), F.expr("concat_ws('', transform(sequence(1, 30), i -> md5(concat(id, '-', i))))").alias("content"), F.lit("active").alias("status"), F.lit("fact").alias("type"), F.lit("a").alias("agent"), F.lit("shared").alias("visibility"), F.lit("manual").alias("source"), F.lit(0.5).alias("trust_score"), F.lit("2025-01-01").cast("timestamp").alias("updated_at"))
+    rows.unionByName(rows.withColumns({"updated_at": F.lit("2024-01-01").cast("timestamp"), "content": F.lit("old")})).write.parquet(f"{tmp_path}/memories.parquet")
+    found = []
+    n = moved_bytes(spark, lambda: found.extend(tables.memories(spark, str(tmp_path), cost=text.token_estimate(F.col("content"))).select("id", "cost").collect()))
+    assert len(found) == 2000 and {r["cost"] for r in found} == {320} and n < 300_000, n
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
