@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidenza.functions import text
@@ -21,9 +21,12 @@ def _asked(m: DataFrame) -> DataFrame:
     return m.where(F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 20 == 0)
 
 
-def _questions(m: DataFrame) -> DataFrame:
-    long = F.filter(F.array_distinct(text.tokens(F.col("content"))), lambda w: F.length(w) >= 6)
-    return m.select(F.col("id").alias("query_id"), F.col("agent").alias("owner"), F.slice(long, 1, 3).alias("terms")).where(F.size("terms") > 0)
+def _words() -> Column:
+    return F.slice(F.filter(F.array_distinct(text.tokens(F.col("content"))), lambda w: F.length(w) >= 6), 1, 3)
+
+
+def _questions(m: DataFrame, terms: Column | None = None) -> DataFrame:
+    return m.select(F.col("id").alias("query_id"), F.col("agent").alias("owner"), (_words() if terms is None else terms).alias("terms")).where(F.size("terms") > 0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,8 @@ def memory_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight likeliest stored facts of the same owner for every active fact."""
     m = _active(spark, sf_dir).where("type = 'fact'")
-    return search.bm25(m, "id", "content", _questions(m), 8, owner=F.col("agent")).select("query_id", "id", "rank")
+    asking = tables.memories(spark, sf_dir, words=_words()).where("status = 'active' AND type = 'fact'")  # their words are shuffled, not their content
+    return search.bm25(m, "id", "content", _questions(asking, F.col("words")), 8, owner=F.col("agent")).select("query_id", "id", "rank")
 
 
 def memory_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

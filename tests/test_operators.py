@@ -15,6 +15,7 @@ from evidenza import runtime
 from evidenza.functions import scoring, text
 from evidenza.operators import claims, context, evaluate, feedback, graph, health, history, lifecycle, ranking, recall, scope, search, vault
 from evidenza.runtime import broadcast_if_small
+from evidenza.plans import recall as plans_recall
 from evidenza.sources import files, tables
 
 
@@ -251,6 +252,16 @@ def test_costs_are_shuffled_without_the_texts(spark, tmp_path):
     assert len(found) == 2000 and {r["cost"] for r in found} == {320} and n < 300_000, n
 
 
+def test_candidates_shuffle_the_texts_once(spark, tmp_path):
+    """Of the facts that ask, only the words they ask with need be moved."""
+    noise = "translate(concat_ws('', transform(sequence(1, 30), i -> md5(concat(id, '-', i)))), '0123456789abcdef', '!@#$%^&*()~+=-:;')"
+    rows = spark.range(2000).select(F.col("id").cast("string"), F.expr(f"concat('stored w', 100000 + id, ' ', {noise})").alias("content"), F.lit("active").alias("status"), F.lit("fact").alias("type"), F.lit("a").alias("agent"), F.lit("shared").alias("visibility"), F.lit("manual").alias("source"), F.lit(0.5).alias("trust_score"), F.lit("2025-01-01").cast("timestamp").alias("updated_at"))
+    rows.write.parquet(f"{tmp_path}/memories.parquet")
+    found = []
+    n = moved_bytes(spark, lambda: found.extend(plans_recall.memory_candidates(spark, str(tmp_path)).collect()))
+    assert {(r["query_id"], r["id"], r["rank"]) for r in found} == {(str(i), str(i), 1) for i in range(2000)} and n < 3_500_000, n
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
