@@ -235,6 +235,14 @@ def test_questions_go_to_all_parts_without_their_ids(spark):
     assert len(found) == 20_000 and {r["rank"] for r in found} == {1} and n < 15_000_000, n
 
 
+def test_fused_lanes_send_questions_without_their_ids(spark):
+    docs, q = many(spark)
+    found = []
+    vector = q.limit(1).select("query_id", F.lit("near").alias("id"), F.lit(1).alias("rank"))
+    n = with_partitions(spark, 16, lambda: moved_bytes(spark, lambda: found.extend(search.fused([search.bm25(docs, "id", "t", q), vector], 10).collect())))
+    assert len(found) == 20_001 and n < 25_000_000, n
+
+
 def test_packed_cut_stores_few_bytes(spark):
     rows = spark.range(0, 20_000, 1, 2).select("id", F.array(F.lit("common"), F.lit("word"), F.when(F.col("id") > 0, F.concat(F.lit("w"), F.col("id")))).alias("terms"), F.lit(None).cast("string").alias("owner"))
     kept, where = runtime.packed_cut(rows), spark.sparkContext._jsc.sc().getCheckpointDir().get()
