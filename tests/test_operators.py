@@ -250,6 +250,14 @@ def test_scoped_search_sends_questions_without_their_ids(spark):
     assert len(found) == 2000 and n < 15_000_000, n
 
 
+def test_weighted_lanes_send_questions_without_their_ids(spark):
+    docs, q = many(spark)
+    found = []
+    sources = docs.select("id", F.lit("vault").alias("source"))
+    n = with_partitions(spark, 16, lambda: moved_bytes(spark, lambda: found.extend(search.weighted(search.fused([search.bm25(docs, "id", "t", q)]), sources, 10).collect())))
+    assert len(found) == 20_000 and n < 25_000_000, n
+
+
 def test_packed_cut_stores_few_bytes(spark):
     rows = spark.range(0, 20_000, 1, 2).select("id", F.array(F.lit("common"), F.lit("word"), F.when(F.col("id") > 0, F.concat(F.lit("w"), F.col("id")))).alias("terms"), F.lit(None).cast("string").alias("owner"))
     kept, where = runtime.packed_cut(rows), spark.sparkContext._jsc.sc().getCheckpointDir().get()
