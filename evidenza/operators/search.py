@@ -121,9 +121,13 @@ class _Asked:
         order = np.argsort(owner[kept], kind="stable")
         rank = np.empty(len(kept), np.int64)
         rank[order] = np.arange(len(kept))
-        by = np.lexsort((code, -self.idf[code], np.repeat(rank, n[kept])))
+        rarest = np.argsort(-self.idf, kind="stable")
+        place = np.empty(len(rarest), np.int64)
+        place[rarest] = np.arange(len(rarest))
+        key = np.repeat(rank, n[kept]) * len(rarest) + place[code]
+        key.sort()
         kept = kept[order]
-        self.n, self.size, self.codes, self.ids = len(kept), n[kept], code[by], np.concatenate(ids)[kept]
+        self.n, self.size, self.codes, self.ids = len(kept), n[kept], rarest.astype(np.int32)[key % max(1, len(rarest))], np.concatenate(ids)[kept]
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.range = np.searchsorted(owner[kept], np.arange(len(self.owners) + 1))
         self.kth = np.full(self.n, -np.inf)
@@ -154,16 +158,22 @@ def _matches(asked: _Asked, lo: int, hi: int, g: np.ndarray, doc: np.ndarray, pa
     for at in range(0, len(alive), step):
         q = alive[at : at + step]
         size, begin = asked.size[lo + q], first[q]
-        acc, most = bits[terms[begin]], int(size.max())
-        for j in range(1, most):
+        acc = bits[terms[begin]]
+        for j in (1, 2):
             more = np.flatnonzero(size > j)
-            if j > 2:
-                more = more[acc[more].any(axis=1)]
             acc[more] &= bits[terms[begin[more] + j]]
         row, word = np.nonzero(acc)
+        acc = acc[row, word]  # few are left of what the rarest words left
+        for j in range(3, int(size.max())):
+            more = np.flatnonzero(size[row] > j)
+            if not len(more):
+                break
+            acc[more] &= bits[terms[begin[row[more]] + j], word[more]]
+            more = np.flatnonzero(acc)
+            row, word, acc = row[more], word[more], acc[more]
         if not len(row):
             continue
-        hit, bit = np.nonzero(np.unpackbits(acc[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        hit, bit = np.nonzero(np.unpackbits(acc.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         row, at_doc = row[hit], word[hit] * 64 + bit
         score = np.zeros(len(row))
         for j in range(int(size[row].max())):

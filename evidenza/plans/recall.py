@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidenza.functions import text
 from evidenza.operators import recall, search
 from evidenza.plans.sql import KEY, MEM
-from evidenza.runtime import table
+from evidenza.runtime import packed_cut, table
 from evidenza.sources import tables
 
 
@@ -22,11 +22,12 @@ def _asked(m: DataFrame) -> DataFrame:
 
 
 def _words() -> Column:
-    return F.slice(F.filter(F.array_distinct(text.tokens(F.col("content"))), lambda w: F.length(w) >= 6), 1, 3)
+    """The content's distinct words of six signs or more, in order."""
+    return F.filter(F.array_distinct(text.tokens(F.col("content"))), lambda w: F.length(w) >= 6)
 
 
 def _questions(m: DataFrame, terms: Column | None = None) -> DataFrame:
-    return m.select(F.col("id").alias("query_id"), F.col("agent").alias("owner"), (_words() if terms is None else terms).alias("terms")).where(F.size("terms") > 0)
+    return m.select(F.col("id").alias("query_id"), F.col("agent").alias("owner"), (F.slice(_words(), 1, 3) if terms is None else terms).alias("terms")).where(F.size("terms") > 0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +51,9 @@ def memory_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight likeliest stored facts of the same owner for every active fact."""
-    m = _active(spark, sf_dir).where("type = 'fact'")
-    asking = tables.memories(spark, sf_dir, words=_words()).where("status = 'active' AND type = 'fact'")  # their words are shuffled, not their content
-    return search.bm25(m, "id", "content", _questions(asking, F.col("words")), 8, owner=F.col("agent")).select("query_id", "id", "rank")
+    """The eight likeliest stored facts of the same owner for every active fact, which is asked with all its long words."""
+    m = packed_cut(_active(spark, sf_dir).where("type = 'fact'").select("id", "agent", "content"))  # they ask and are found, from one reading
+    return search.bm25(m, "id", "content", _questions(m, _words()), 8, owner=F.col("agent")).select("query_id", "id", "rank")
 
 
 def memory_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,10 @@ def recall_unsaid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (recall_memories, memory_keyword_search, memory_candidates, memory_semantic_search, lanes_union, recall_unsaid)}
 
 
-def _bm25(where: str, body: str, asked: str, k: int, seen: str = "true") -> str:
+def _bm25(where: str, body: str, asked: str, k: int, seen: str = "true", words: str = "list_slice(w, 1, 3)") -> str:
     return f"""d AS (SELECT id, agent, {seen} AS ok, regexp_extract_all(lower(coalesce({body}, '')), '[a-z0-9]+') AS t FROM m WHERE {where}),
     qw AS (SELECT id, agent, list_filter(list_filter(t, lambda x, i: list_position(t, x) = i), lambda x: len(x) >= 6) AS w FROM (SELECT id, agent, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS t FROM m WHERE {where} AND {asked})),
-    q AS (SELECT id AS query_id, agent, unnest(list_slice(w, 1, 3)) AS term FROM qw), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+    q AS (SELECT id AS query_id, agent, unnest({words}) AS term FROM qw), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
     tf AS (SELECT id, agent, ok, len(t) AS dl, x.term, count(*) AS tf FROM d, unnest(t) AS x(term) WHERE x.term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), nq AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1),
     sc AS (SELECT q.query_id, tf.id, sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / st.avgdl))) AS score, count(*) AS found FROM q JOIN tf ON q.term = tf.term AND q.agent = tf.agent AND tf.ok JOIN df ON df.term = q.term CROSS JOIN st GROUP BY 1, 2),
     kw AS (SELECT * FROM (SELECT sc.query_id, sc.id, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY round(score, 9) DESC, sc.id) AS rank FROM sc JOIN nq ON nq.query_id = sc.query_id AND nq.k = sc.found) WHERE rank <= {k})"""
@@ -102,7 +102,7 @@ _AUTH = "CASE source WHEN 'manual' THEN 1.0 WHEN 'conversation' THEN 0.9 WHEN 'i
 _PLAIN = lambda c: KEY(f"trim({c}, ' .,!?;:')")
 ORACLE = {
     "memory_keyword_search": MEM + ", " + _LANE(10) + " SELECT query_id, id, round(score, 6) AS score, rank FROM kw",
-    "memory_candidates": MEM + ", " + _bm25("status = 'active' AND type = 'fact'", "content", "true", 8) + " SELECT query_id, id, rank FROM kw",
+    "memory_candidates": MEM + ", " + _bm25("status = 'active' AND type = 'fact'", "content", "true", 8, words="w") + " SELECT query_id, id, rank FROM kw",
     "memory_semantic_search": MEM + ", " + _SEM(10) + " SELECT query_id, id, round(score, 6) AS score, rank FROM sem",
     "lanes_union": MEM + ", " + _LANE(10) + ", " + _SEM(10) + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS place FROM (SELECT query_id, id, min(lane * 1000 + rank) AS f FROM (SELECT query_id, id, rank, 0 AS lane FROM kw UNION ALL SELECT query_id, id, rank, 1 FROM sem) GROUP BY 1, 2)",
     "recall_memories": MEM + ", " + _LANE(30) + ", " + _SEM(30) + f""", f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM sem) GROUP BY 1, 2),

@@ -17,6 +17,7 @@ from evidenza.operators import claims, context, evaluate, feedback, graph, healt
 from evidenza.runtime import broadcast_if_small
 from evidenza.plans import recall as plans_recall
 from evidenza.sources import files, tables
+from tests.compare import connect, differ
 
 
 def test_broadcast_is_checked(spark):
@@ -285,6 +286,26 @@ def test_candidates_shuffle_the_texts_once(spark, tmp_path):
     assert {(r["query_id"], r["id"], r["rank"]) for r in found} == {(str(i), str(i), 1) for i in range(2000)} and n < 3_500_000, n
 
 
+def facts(spark, where, texts):
+    """Stored facts of (id, agent, content)."""
+    rows = spark.createDataFrame(texts, "id string, agent string, content string")
+    rows.select("*", F.lit("active").alias("status"), F.lit("fact").alias("type"), F.lit("shared").alias("visibility"), F.lit("manual").alias("source"), F.lit(0.5).alias("trust_score"), F.lit("2025-01-01").cast("timestamp").alias("updated_at")).write.parquet(f"{where}/memories.parquet")
+
+
+def test_candidates_have_all_long_words_of_a_fact(spark, tmp_path):
+    """A fact asks with its whole text: what only begins like it is no candidate."""
+    same = "silver harbour lantern"
+    facts(spark, tmp_path, [("1", "a", f"{same} by winter morning"), ("2", "a", f"{same} by summer evening"), ("3", "a", f"{same} by winter morning, gardens"), ("4", "b", f"{same} by winter morning"), ("5", "a", same), ("6", "a", "Red sky")])
+    got = {(r["query_id"], r["id"]): r["rank"] for r in plans_recall.memory_candidates(spark, str(tmp_path)).collect()}
+    assert got == {("1", "1"): 1, ("1", "3"): 2, ("2", "2"): 1, ("3", "3"): 1, ("4", "4"): 1, ("5", "5"): 1, ("5", "1"): 2, ("5", "2"): 3, ("5", "3"): 4}
+
+
+def test_candidates_of_many_words_equal_sql(spark, tmp_path):
+    rnd, words = random.Random(5), [f"harbour{i}" for i in range(16)]
+    facts(spark, tmp_path, [(f"m{i}", rnd.choice("ab"), " ".join(rnd.choices(words, k=rnd.randint(1, 24)))) for i in range(600)])
+    assert differ(plans_recall.memory_candidates(spark, str(tmp_path)), connect(str(tmp_path)), plans_recall.ORACLE["memory_candidates"]) == ""
+
+
 def test_semantic_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.1])], "id bigint, v array<double>")
     got = search.semantic(v, "id", "v", v.select(F.col("id").alias("query_id"), F.col("v").alias("vec")), 1).collect()
